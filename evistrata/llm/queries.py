@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistrata.llm import exact_dedup, mixing, token_files
+from evistrata.llm import exact_dedup, mixing, substring_dedup, token_files
 from evistrata.llm._shared import table
 
 #: The id that ends a document in the token files.
@@ -27,6 +27,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op6_mix_sources": op6_mix_sources,
+        "op7_substring_dedup": op7_substring_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
