@@ -11,6 +11,7 @@ memory, so a document is a slice without parsing.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise, new_folder, text_or_empty
 
-#: Word pieces kept by a worker; beyond it the memo starts anew, which bounds its memory.
-MEMO_ENTRIES = 1_000_000
+#: Chunks kept by a worker, which bounds its memory; those met first are mostly the frequent ones.
+MEMO_ENTRIES = 1_600_000
 
 MANIFEST = "shard int, path string, n_docs long, n_null_ids long, n_tokens long"
 
 _chunk = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_plain_break = re.compile(r"[ \n][ \n]|[^\S \n]")  # else single spaces and newlines alone part the words
 _other_space = re.compile(r"[^\S \t-\r]")  # white space outside ASCII
 _encoders: dict[tuple, ChunkEncoder] = {}
 
@@ -57,24 +59,32 @@ class ChunkEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+        pack = struct.Struct
+        kind = np.dtype(self.dtype).char
+        return [pack(f"<{len(ids)}{kind}").pack(*ids) for ids in [x.ids for x in found]]
+
+    def _keys(self, text: str) -> list[str]:
+        """A text's chunks: a bare key stands behind a space, one that begins with a carriage return for what follows it."""
+        if not _plain_break.search(text):
+            return ("\r" + text.replace("\n", " \n")).split(" ")
+        if not _other_space.search(text):
+            return ["\r" + x for x in _chunk.findall(text)]
+        return ["\r" + text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         out: list[bytes] = []
-        memo, step = self.memo, 200
+        memo, step = self.memo, 1000
         for at in range(0, len(texts), step):
-            part = texts[at : at + step]
-            split = [_chunk.findall(x) if self.by_chunk and not _other_space.search(x) else None for x in part]
-            missing = {c for chunks in split if chunks for c in chunks if c not in memo}
-            if len(memo) + len(missing) > MEMO_ENTRIES:
-                memo.clear()
-                missing = {c for chunks in split if chunks for c in chunks}
-            if missing:
-                new = list(missing)
-                memo.update(zip(new, self._encode(new)))
-            for text, chunks in zip(part, split):
-                out.append(self._encode([text])[0] if chunks is None else b"".join([memo[c] for c in chunks]))
+            keys = [self._keys(x) if self.by_chunk else ["\r" + x] for x in texts[at : at + step]]
+            new = list(set().union(*keys).difference(memo))
+            encoded = self._encode([x if x[:1] == "\n" else x[1:] if x[:1] == "\r" else " " + x for x in new])
+            memo.update(zip(new, encoded))
+            of = memo.__getitem__
+            out += [b"".join(map(of, x)) for x in keys]
+            if len(memo) > MEMO_ENTRIES:  # what is new has served these texts alone
+                for x in new:
+                    del memo[x]
         return out
 
 
