@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.llm._shared import materialise, text_or_empty
+from evistrata.llm._shared import materialise
 from evistrata.llm._tasks import record
 from evistrata.llm._words import slices, split_words
 
@@ -89,11 +89,13 @@ def _unseen(word: str, grams: list[dict[str, np.ndarray]], none: np.ndarray) ->
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score) for every whole text, with the columns in ``keep``.
+    """(id, lang_pred, score) for every whole text, and a struct ``kept`` of the columns in ``keep``.
 
     ``und`` with score 0 where the text is null or has no letters, or nothing was learned. Equal
-    sums go to the first language in order.
+    sums go to the first language in order. ``keep`` is empty or holds ``text_col``.
     """
+    if keep and text_col not in keep:
+        raise ValueError("keep must hold the text column")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     languages, none = model.languages, np.zeros(len(model.languages))
@@ -103,7 +105,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         known = shared.value
         value_set = pa.array(known.words, pa.string())
         for batch in batches:
-            texts = batch.column(1)
+            texts = pc.fill_null(batch.column(1) if text_col not in keep else batch.column(1).field(keep.index(text_col)), "")
             for a, b in slices(texts):
                 lowered = pc.replace_substring_regex(pc.utf8_lower(texts.slice(a, b - a)), r"[^\pL]+", " ")
                 offsets, words = split_words(lowered)
@@ -125,12 +127,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 best = total.argmax(axis=1) if languages else np.zeros(b - a, np.int64)
                 share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if languages else np.zeros(b - a)
                 names = [UNKNOWN if e else languages[k] for e, k in zip(empty, best)]
-                rest = {c: batch.column(c).slice(a, b - a) for c in keep}
+                rest = {"kept": batch.column(1).slice(a, b - a)} if text_col in keep else {}
                 yield record(id=batch.column(0).slice(a, b - a), lang_pred=pa.array(names, pa.string()), score=np.where(empty, 0.0, share), **rest)
 
-    kinds = dict(docs.dtypes)
-    schema = "id long, lang_pred string, score double" + "".join(f", {c} {kinds[c]}" for c in keep)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *keep).mapInArrow(rows, schema).withColumnRenamed("id", id_col)
+    whole = F.struct(*keep).alias("kept") if text_col in keep else F.col(text_col)
+    schema = "id long, lang_pred string, score double" + (f", kept {dict(docs.select(whole).dtypes)['kept']}" if text_col in keep else "")
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole).mapInArrow(rows, schema).withColumnRenamed("id", id_col)
 
 
 def held_out(col: str = "doc_id") -> Column:

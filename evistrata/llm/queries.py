@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistrata.llm import exact_dedup, mixing, ngram_join, substring_dedup, token_files
+from evistrata.llm import exact_dedup, language_id, line_dedup, media, mixing, ngram_join, secret_scan, sentencepiece_codec, substring_dedup, token_files
 from evistrata.llm._shared import table
 
 #: The id that ends a document in the token files.
@@ -23,10 +23,22 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.codec_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,10 +47,55 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+#: Line dedup over a table ``input_documents`` to (doc_id, text, n_lines, kept, n_dropped).
+LINES_SQL = r"""
+lines AS (
+  SELECT doc_id, text, spot, line, len(tokens) AS n_tokens,
+         array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS lead, tokens
+  FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS tokens FROM (
+    SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS spot FROM input_documents))
+  WHERE len(tokens) >= 4),
+leaves AS (SELECT n_tokens, lead FROM lines GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT DISTINCT n_tokens, lead, line, tokens, doc_id FROM lines SEMI JOIN leaves USING (n_tokens, lead)),
+distinct_lines AS (SELECT n_tokens, lead, line, tokens, count(*) AS docs FROM inside GROUP BY ALL),
+places AS (SELECT n_tokens, lead, line, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM distinct_lines),
+supports AS (SELECT *, sum(docs) OVER (PARTITION BY n_tokens, lead, place, token) >= 10 AS fixed FROM places),
+parsed AS (
+  SELECT n_tokens, lead, line, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
+  FROM supports GROUP BY ALL HAVING count(*) FILTER (WHERE fixed) >= 0.5 * n_tokens),
+recurring AS (
+  SELECT lead, template FROM parsed JOIN inside USING (n_tokens, lead, line) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+found AS (SELECT DISTINCT line FROM parsed SEMI JOIN recurring USING (lead, template)),
+hits AS (SELECT doc_id, list(spot) AS spots, sum(n_tokens) AS words FROM lines SEMI JOIN found USING (line) GROUP BY doc_id),
+deduped AS (
+  SELECT d.*, string_split(coalesce(text, ''), chr(10)) AS split,
+         CASE WHEN words <= 0.5 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) THEN spots END AS dropped
+  FROM input_documents d LEFT JOIN hits h ON d.doc_id = h.doc_id)
+"""
+
+OP2_SQL = (
+    "WITH input_documents AS (SELECT doc_id, text FROM documents),"
+    + LINES_SQL
+    + r"""
+SELECT doc_id, CAST(len(split) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+       sha256(array_to_string(list_filter(split, lambda x, i: dropped IS NULL OR NOT list_contains(dropped, i)), chr(10))) AS kept_sha256
+FROM deduped
+"""
+)
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS size,
@@ -75,12 +132,17 @@ FROM n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
+        "op4_media_columns": op4_media_columns,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_mix_sources": OP6_SQL, "op10_exact_dedup": OP10_SQL}
