@@ -1,11 +1,22 @@
-"""The registered queries of the reference operators and their SQL."""
+"""The registered queries of the evidence operators and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+from evistrata.plans import q_ranking
+from evistrata.plans.registry import QUERIES, SQL, Query
 
+MODULES = (q_ranking,)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["m33_composite_ranking"](spark, sf_dir)
