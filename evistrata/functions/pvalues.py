@@ -14,11 +14,11 @@ _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def normal_two_sided(z: np.ndarray) -> np.ndarray:
-    return _erfc(np.abs(np.asarray(z, float)) / math.sqrt(2)).astype(float)
+    return np.asarray(_erfc(np.abs(np.asarray(z, float)) / math.sqrt(2)), float)
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

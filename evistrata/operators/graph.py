@@ -43,3 +43,133 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         before = state
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def induced(edges: DataFrame, nodes: DataFrame, least: float = 0.0, src: str = "src", dst: str = "dst", weight: str = "weight") -> DataFrame:
+    """Undirected edges (u < v, w) between the given nodes with a weight of at least ``least``; no loops, the heaviest of duplicates."""
+    n = nodes.select("node").distinct()
+    e = edges.filter((F.col(src) != F.col(dst)) & (F.col(weight) >= least)).select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v"), F.col(weight).alias("w"))
+    kept = e.join(n.withColumnRenamed("node", "u"), "u", "left_semi").join(n.withColumnRenamed("node", "v"), "v", "left_semi")
+    return kept.groupBy("u", "v").agg(F.max("w").alias("w"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+
+
+def strengths(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Degree and summed absolute weight of each node; isolated ones among ``nodes`` get 0."""
+    per = both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"), F.sum(F.abs("w")).alias("strength"))
+    return per if nodes is None else nodes.select("node").distinct().join(per, "node", "left").na.fill(0)
+
+
+def modules(edges: DataFrame, least: int = 10) -> DataFrame:
+    """(node, module) of components with at least ``least`` nodes."""
+    c = connected_components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    big = c.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("component")
+    return c.join(big, "component", "left_semi").select("node", F.col("component").alias("module"))
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(node, pagerank) of an undirected weighted graph; nodes without edges share their rank with all."""
+    all_nodes = nodes.select("node").distinct()
+    n = all_nodes.count()
+    arcs = both_ways(edges)
+    out = arcs.groupBy("u").agg(F.sum("w").alias("total"))
+    share = _checkpointed(arcs.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p")))
+    rank = all_nodes.withColumn("r", F.lit(1.0 / max(1, n)))
+    for i in range(rounds):
+        got = rank.join(share, rank["node"] == share["u"]).groupBy("v").agg(F.sum(F.col("r") * F.col("p")).alias("got"))
+        loose = rank.join(out, rank["node"] == out["u"], "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
+        rank = all_nodes.join(got, all_nodes["node"] == got["v"], "left").crossJoin(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))  # one row
+        if i % 5 == 4:
+            rank = _checkpointed(rank)
+    return rank.withColumnRenamed("r", "pagerank")
+
+
+def centralities(edges: DataFrame, by: str = "graph") -> DataFrame:
+    """Betweenness and closeness of every node of many small graphs, a group each (Brandes' algorithm).
+
+    A graph is one group of a task: for graphs of a few thousand nodes.
+    """
+    import pandas as pd
+
+    def of_graph(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["u"]) | set(pdf["v"]))
+        place = {x: i for i, x in enumerate(names)}
+        near: list[list[int]] = [[] for _ in names]
+        for a, b in zip(pdf["u"], pdf["v"]):
+            near[place[a]].append(place[b])
+            near[place[b]].append(place[a])
+        n = len(names)
+        between, close = [0.0] * n, [0.0] * n
+        for s in range(n):
+            order, before, paths, far = [], [[] for _ in range(n)], [0.0] * n, [-1] * n
+            paths[s], far[s], queue = 1.0, 0, [s]
+            for x in queue:
+                order.append(x)
+                for y in near[x]:
+                    if far[y] < 0:
+                        far[y] = far[x] + 1
+                        queue.append(y)
+                    if far[y] == far[x] + 1:
+                        paths[y] += paths[x]
+                        before[y].append(x)
+            total = sum(far[x] for x in order)
+            close[s] = (len(order) - 1) / total * (len(order) - 1) / (n - 1) if total else 0.0
+            share = [0.0] * n
+            for x in reversed(order):
+                for y in before[x]:
+                    share[y] += paths[y] / paths[x] * (1 + share[x])
+                if x != s:
+                    between[x] += share[x]
+        scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+        return pd.DataFrame({by: pdf[by].iloc[0], "node": names, "betweenness": [b * scale for b in between], "closeness": close})
+
+    kinds = dict(edges.dtypes)
+    return edges.select(by, "u", "v").groupBy(by).applyInPandas(of_graph, f"{by} {kinds[by]}, node {kinds['u']}, betweenness double, closeness double")
+
+
+def greedy_communities(edges: DataFrame, by: str = "graph") -> DataFrame:
+    """Communities of many small graphs, a group each: pairs of communities merge while modularity grows most."""
+    import pandas as pd
+
+    def of_graph(pdf: pd.DataFrame) -> pd.DataFrame:
+        w: dict = {}
+        for a, b, x in zip(pdf["u"], pdf["v"], pdf["w"]):
+            w.setdefault(a, {})[b] = w.get(a, {}).get(b, 0.0) + x
+            w.setdefault(b, {})[a] = w[a][b]
+        total = sum(sum(v.values()) for v in w.values())
+        heat = {a: sum(v.values()) / total for a, v in w.items()}
+        members = {a: [a] for a in w}
+        while True:
+            gains = ((2 * (x / total - heat[a] * heat[b]), a, b) for a, v in w.items() for b, x in v.items() if a < b)
+            best = max(gains, key=lambda g: g[0], default=None)
+            if best is None or best[0] <= 1e-12:
+                break
+            _, a, b = best
+            for c, x in w.pop(b).items():
+                w[c].pop(b)
+                if c != a:
+                    w[a][c] = w[a].get(c, 0.0) + x
+                    w[c][a] = w[a][c]
+            heat[a] += heat.pop(b)
+            members[a] += members.pop(b)
+        rows = [(x, min(m)) for m in members.values() for x in m]
+        return pd.DataFrame({by: pdf[by].iloc[0], "node": [r[0] for r in rows], "community": [r[1] for r in rows]})
+
+    kinds = dict(edges.dtypes)
+    return edges.select(by, "u", "v", "w").groupBy(by).applyInPandas(of_graph, f"{by} {kinds[by]}, node {kinds['u']}, community {kinds['u']}")
+
+
+def preservation(mods: DataFrame, fold: str, module: str, node: str) -> DataFrame:
+    """Per module of a fold its best Jaccard similarity with a module of each other fold, averaged."""
+    size = mods.groupBy(fold, module).agg(F.count("*").alias("n"))
+    a, b = (mods.select(F.col(fold).alias(f"f_{x}"), F.col(module).alias(f"m_{x}"), node) for x in "ab")
+    shared = a.join(b, node).filter("f_a <> f_b").groupBy("f_a", "m_a", "f_b", "m_b").agg(F.count("*").alias("s"))
+    na, nb = (size.select(F.col(fold).alias(f"f_{x}"), F.col(module).alias(f"m_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    best = shared.join(na, ["f_a", "m_a"]).join(nb, ["f_b", "m_b"]).groupBy("f_a", "m_a", "f_b").agg(F.max(F.col("s") / (F.col("n_a") + F.col("n_b") - F.col("s"))).alias("j"))
+    others = mods.agg((F.count_distinct(fold) - 1).alias("others"))
+    per = best.groupBy("f_a", "m_a").agg(F.sum("j").alias("j"))
+    every = size.select(F.col(fold).alias("f_a"), F.col(module).alias("m_a")).join(per, ["f_a", "m_a"], "left").crossJoin(F.broadcast(others))  # one row
+    return every.select(F.col("f_a").alias(fold), F.col("m_a").alias(module), (F.coalesce("j", F.lit(0.0)) / F.greatest(F.lit(1), F.col("others"))).alias("preservation"))

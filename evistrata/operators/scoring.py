@@ -102,7 +102,7 @@ def scheme_scores(master: DataFrame, schemes: dict[str, tuple[float, float, floa
 def pathway_evidence(rows: DataFrame) -> DataFrame:
     """(term, source, direction, k, fdr, term_size, genes) over many K to one row a term, source and direction."""
     weight = neg_log10(F.when(F.col("fdr") <= 0, 1e-300).otherwise(F.col("fdr")))
-    genes = F.filter(F.transform(F.split("genes", "/"), F.trim), lambda g: g != "")
+    genes = F.filter(F.transform(F.split("genes", "/"), lambda g: F.trim(g)), lambda g: g != "")
     return rows.groupBy("term", "source", "direction").agg(
         F.count_distinct("k").alias("support_k"), F.min("fdr").alias("best_fdr"), F.avg("fdr").alias("mean_fdr"), F.sum(weight).alias("pathway_weight"),
         F.avg("term_size").alias("avg_term_size"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(genes)))).alias("all_genes"),
@@ -141,7 +141,7 @@ def drug_ranking(weighted: DataFrame, drug: str = "drug", gene: str = "gene") ->
         F.sum("weight").alias("drug_score"), F.count_distinct(gene).alias("n_target_genes"), F.min("gene_rank").alias("best_gene_rank"),
         F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"), F.max_by("phase_label", F.struct(level, F.col("phase_label"))).alias("max_phase"),
     )
-    return ranked(d, [F.round("drug_score", 6).desc(), F.desc("n_target_genes"), F.asc("best_gene_rank"), F.asc(drug)], name="drug_rank")
+    return ranked(d, [F.round("drug_score", 4).desc(), F.desc("n_target_genes"), F.asc("best_gene_rank"), F.asc(drug)], name="drug_rank")
 
 
 def shuffle_key(seed: int, rep: Column, key: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistrata.plans import q_ranking
+from evistrata.plans import q_ranking, q_scoring, q_stats, q_tables
 from evistrata.plans.registry import QUERIES, SQL, Query
 
-MODULES = (q_ranking,)
+MODULES = (q_ranking, q_scoring, q_stats, q_tables)
 
 
 def queries() -> dict[str, Query]:
