@@ -40,7 +40,7 @@ def pocket_probability(score: Column, volume: Column, hydrophobicity: Column, de
         (0.10, density, F.least(density / 15.0, F.lit(1.0))),
         (0.10, polarity, F.when(polarity.between(0.2, 0.6), 1.0).otherwise(0.6)),
     )
-    total = sum(F.coalesce(w * value, F.lit(0.0)) for w, _, value in terms)
+    total = sum(F.when(field.isNotNull(), w * value).otherwise(0.0) for w, field, value in terms)
     weight = sum(F.when(field.isNotNull(), w).otherwise(0.0) for w, field, _ in terms)
     return F.when(weight > 0, total / weight).otherwise(0.0)
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words handled at once; a longer text is a slice of its own.
-SLICE_WORDS = 2_000_000
+#: Text handled at once; a longer text is a slice of its own.
+SLICE_BYTES = 8_000_000
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -38,11 +38,11 @@ def hashed(words: pa.Array) -> np.ndarray:
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of bounded size: 12 MB of text, or one longer text."""
+    """Row ranges of bounded size: ``SLICE_BYTES`` of text, or one longer text."""
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, size[at] + 12_000_000, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(size, size[at] + SLICE_BYTES, "right")) - 1)
         yield at, to
         at = to
 

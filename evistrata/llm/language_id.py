@@ -22,14 +22,14 @@ from evistrata.llm._tasks import record
 from evistrata.llm._words import slices, split_words
 
 #: Labelled texts to learn from, about; chosen by a hash of text and label.
-SAMPLE_TEXTS = 20_000
+SAMPLE_TEXTS = 10_000
 #: Entries of the model: words, and n-grams of each order.
-MODEL_WORDS, MODEL_GRAMS = 100_000, 30_000
+MODEL_WORDS, MODEL_GRAMS = 40_000, 15_000
 LONGEST = 4
 UNKNOWN = "und"
 
 #: Unseen words kept with their scores by a worker.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 150_000
 
 
 @dataclass
@@ -65,16 +65,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         grams = words.select("lang", "n", F.explode(F.transform(places, lambda i, k=order: F.substring(padded, i, k))).alias("item"))
         tables.append((grams.groupBy("lang", "item").agg(F.sum("n").alias("n")), MODEL_GRAMS))
     languages = [r[0] for r in words.groupBy("lang").count().orderBy("lang").select("lang").collect()]
-    place = {x: i for i, x in enumerate(languages)}
     parts = []
     for counts, most in tables:
-        by_item = counts.groupBy("item").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("n"), "item").limit(most)
-        found = by_item.select("item", "by").collect()
-        table = np.zeros((len(found), len(languages)))
-        for row, (_, by) in enumerate(found):
-            for lang, n in by.items():
-                table[row, place[lang]] = n
-        parts.append(([x for x, _ in found], _scores(table, table.sum(axis=0))))
+        of = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)]
+        found = counts.groupBy("item").agg(F.sum("n").alias("n"), *of).orderBy(F.desc("n"), "item").limit(most).drop("n").toPandas()
+        table = found.drop(columns="item").to_numpy(float).reshape(len(found), len(languages))
+        parts.append((found["item"].tolist(), _scores(table, table.sum(axis=0))))
     return Model(languages, *parts[0], [dict(zip(*x)) for x in parts[1:]])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from evistrata.llm._shared import SPACE_CLASS, WORD, materialise, text_or_empty
 
 #: Leading tokens in the tree, documents that make a template recur, tokens and constant share it needs.
-DEPTH, MIN_DOCS, MIN_TOKENS, MIN_CONSTANT, MAX_SHARE = 3, 10, 4, 0.5, 0.5
+DEPTH, MIN_DOCS, MIN_TOKENS, MIN_CONSTANT, MAX_SHARE = 5, 10, 4, 0.5, 0.5
 VARIABLE = "<*>"
 #: Rows of line hashes or of document decisions joined by broadcast up to this many; beyond, by sort-merge join.
 BROADCAST_ROWS = 200_000
@@ -29,7 +29,8 @@ def _masked(token: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", ""), rf"{SPACE_CLASS}+")
+    """Words of a line; a blank line has one empty word."""
+    return F.split(F.trim(line, F.lit(" \t\n\x0b\x0c\r")), rf"{SPACE_CLASS}+")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -39,9 +40,9 @@ def _small(df: DataFrame) -> DataFrame:
 def document_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, doc_hash, text) to the lines long enough: doc_id, doc_hash, at, line, n_tokens, lead."""
     lines = docs.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    counted = lines.withColumn("n_tokens", F.regexp_count("line", F.lit(WORD))).filter(F.col("n_tokens") >= min_tokens)
-    heads = F.slice(F.split(F.regexp_replace("line", rf"^{SPACE_CLASS}+", ""), rf"{SPACE_CLASS}+", depth + 1), 1, depth)
-    return counted.withColumn("lead", F.array_join(F.transform(heads, _masked), " "))
+    counted = lines.withColumn("tokens", _tokens(F.col("line"))).withColumn("n_tokens", F.size("tokens")).filter(F.col("n_tokens") >= min_tokens)
+    lead = F.array_join(F.transform(F.slice("tokens", 1, depth), _masked), " ")
+    return counted.select("doc_id", "doc_hash", "at", "line", "n_tokens", lead.alias("lead"))
 
 
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
@@ -75,7 +76,7 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
     """
     keyed = docs.withColumn("__hash", F.xxhash64(text_or_empty(text_col)))
     bare = keyed.select(F.col(id_col).alias("doc_id"), F.col("__hash").alias("doc_hash"), text_or_empty(text_col).alias("text"))
-    lines = document_lines(bare, depth, min_tokens)
+    lines = materialise(document_lines(bare, depth, min_tokens), "lines")
     found = recurring_lines(lines, min_docs, min_constant)
     hits = lines.join(_small(found.select(F.col("line").alias("f_line"))), F.col("line") == F.col("f_line"), "left_semi")
     per_doc = hits.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__h")).agg(F.collect_set("at").alias("__at"), F.sum(F.col("n_tokens").cast("long")).alias("__words"))

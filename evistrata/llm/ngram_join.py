@@ -1,13 +1,14 @@
 """N-gram Jaccard join by groups of equal prefixes, and the components of its links.
 
 A document is its set of word shingles. Two sets with ``percent`` of Jaccard similarity share one
-of their first n - ceil(percent * n / 100) + 1 shingles in any common order. The order here puts
-shingles that many documents share last and else goes by hash, so that a passage of many documents
-brings few candidates.
+of their first n - ceil(percent * n / 100) + 1 shingles in any common order. The order here puts shingles
+of one document first, then those of a few, then those of many, and within each kind goes by hash;
+so a shared passage brings candidates only where hardly anything else is in a text.
 
 - Equal sets are one class. Classes with equal prefixes and sizes are one group, and only groups
   are listed by shingle, paired and filtered by size and by the places of the shared shingle.
-- First every list is a star: its smallest group against the others. Pairs are expanded to class
+- First every list is a star: the group with the fewest shingles of its own, as an original has
+  against its edited copies, against the others. Pairs are expanded to class
   representatives, filtered by bucket counts and verified on the texts; the links give components.
 - Then the pairs of a list are formed between different components only, expanded to all member
   classes, and verified too. Pairs inside a component can no longer change the result. So a group
@@ -30,6 +31,8 @@ from evistrata.llm._tasks import column, concat_ranges, key_chunks, record
 from evistrata.llm._words import gram_hashes, hashed, mixed, slices, split_words
 from evistrata.operators.graph import connected_components
 
+#: Bits that mark, by hash, shingles of two documents or more (16 MB, sent to every task).
+SHARED_BITS = 27
 #: A shingle in so many documents is common and comes last in the order.
 COMMON_DOCS = 50
 #: At most so many common shingles are told apart (8 bytes each, sent to every task); the rest only cost time.
@@ -92,19 +95,30 @@ def _document_frequencies(words: int, percent: int):
     return rows
 
 
-def _prefixes(words: int, percent: int, common: np.ndarray):
-    """A row for each document: size and class key; for a class's first row in a slice, prefix and bucket counts too."""
+def _levels(hashes: np.ndarray, shared: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """0 for shingles of one document as far as counted, 1 for those of a few, 2 for common ones."""
+    at = hashes & np.uint64((1 << SHARED_BITS) - 1)
+    level = (shared[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.int8)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        level += common[place] == hashes
+    return level
+
+
+def _prefixes(words: int, percent: int, marks):
+    """A row for each document: size and class key; for a class's first row in a slice, prefix, own shingles in it and bucket counts too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, common = marks.value
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 offsets, hashes = shingle_sets(batch.column("text").slice(a, b - a), words)
                 n, keys = np.diff(offsets), set_keys(offsets, hashes)
                 doc = np.repeat(np.arange(len(n)), n)
-                place = np.searchsorted(common, hashes) if len(common) else np.zeros(len(hashes), np.int64)
-                late = common[np.minimum(place, len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
-                order = np.lexsort((late, doc))  # stable: by hash within both kinds
+                level = _levels(hashes, shared, common)
+                order = np.lexsort((level, doc))  # stable: by hash within a kind
                 ordered = hashes[order]
+                own = np.concatenate([[0], np.cumsum(level[order] == 0)])
                 first = np.zeros(len(n), bool)
                 first[np.unique(keys, return_index=True)[1]] = True
                 first &= n > 0
@@ -114,7 +128,7 @@ def _prefixes(words: int, percent: int, common: np.ndarray):
                 counts = np.bincount(doc * BUCKETS + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(n) * BUCKETS)
                 sketch = np.minimum(counts, 255).astype(np.uint8).tobytes()
                 buckets = [sketch[i * BUCKETS : (i + 1) * BUCKETS] if f else None for i, f in enumerate(first)]
-                yield record(doc_id=batch.column("doc_id").slice(a, b - a), n=n, class_key=keys.view(np.int64), is_first=first, prefix=lists, buckets=pa.array(buckets, pa.binary()))
+                yield record(doc_id=batch.column("doc_id").slice(a, b - a), n=n, class_key=keys.view(np.int64), is_first=first, own=own[offsets[:-1] + sizes] - own[offsets[:-1]], prefix=lists, buckets=pa.array(buckets, pa.binary()))
 
     return rows
 
@@ -127,7 +141,7 @@ def _may_link(n1: np.ndarray, i: np.ndarray, n2: np.ndarray, j: np.ndarray, perc
 
 
 def _lists(percent: int):
-    """Of postings sorted by shingle and size: the entries of lists with two or more, and star pairs."""
+    """Of postings sorted by shingle and own shingles: the entries of lists with two or more, and star pairs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_chunks(batches, 300_000):
@@ -142,7 +156,7 @@ def _lists(percent: int):
             while len(rest):  # each turn: the first entry left of every list is a centre
                 head = np.append(True, shingle[rest][1:] != shingle[rest][:-1])
                 at = rest[np.flatnonzero(head)][np.cumsum(head) - 1]
-                near = 100 * n[at] >= percent * n[rest]
+                near = 100 * np.minimum(n[at], n[rest]) >= percent * np.maximum(n[at], n[rest])
                 good = near & (at != rest) & _may_link(n[at], pos[at], n[rest], pos[rest], percent)
                 pairs.append(np.stack([group[at[good]], group[rest[good]]], axis=1))
                 rest = rest[~near]
@@ -241,17 +255,23 @@ class _Join:
         self.words, self.percent = words, percent
         self.docs = docs
         texts = docs.select("text")
-        counted = texts.mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        counted = texts.mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = materialise(counted, "shingles-shared")
+        at = F.col("shingle").bitwiseAND((1 << SHARED_BITS) - 1)
+        bits = counted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits")).toPandas()  # at most 2 ** (SHARED_BITS - 6) rows
+        shared = np.zeros(1 << (SHARED_BITS - 6), np.uint64)
+        shared[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toPandas()
         common = np.sort(frequent["shingle"].to_numpy(np.int64).view(np.uint64))
-        self.facts = materialise(docs.mapInArrow(_prefixes(words, percent, common), "doc_id long, n long, class_key long, is_first boolean, prefix array<long>, buckets binary"), "shingle-sets")
-        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("buckets").alias("buckets"))
+        marks = docs.sparkSession.sparkContext.broadcast((shared, common))
+        self.facts = materialise(docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, n long, class_key long, is_first boolean, own long, prefix array<long>, buckets binary"), "shingle-sets")
+        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("own").alias("own"), F.first("buckets").alias("buckets"))
         self.classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
-        self.members = self.classes.drop("prefix")
-        groups = self.classes.groupBy("group_key", "n").agg(F.min_by("prefix", "class_key").alias("prefix"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
+        self.members = self.classes.drop("prefix", "own")
+        groups = self.classes.groupBy("group_key", "n").agg(F.min_by("prefix", "class_key").alias("prefix"), F.min("own").alias("own"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
         self.groups = materialise(groups, "shingle-groups")
-        postings = self.groups.select("n", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos")
-        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(_lists(percent), PAIR), "shingle-lists")
+        postings = self.groups.select("n", "own", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "own", "group_key", "n", "pos")
+        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "own", "n", "group_key").mapInArrow(_lists(percent), PAIR), "shingle-lists")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of class pairs (class_a, class_b) those that verify on the texts."""

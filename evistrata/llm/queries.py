@@ -63,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = r"""
 lines AS (
   SELECT doc_id, text, spot, line, len(tokens) AS n_tokens,
-         array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS lead, tokens
+         array_to_string(list_transform(tokens[1:5], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS lead, tokens
   FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS tokens FROM (
     SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS spot FROM input_documents))

@@ -27,8 +27,8 @@ from evistrata.llm._shared import text_or_empty
 from evistrata.llm._tasks import concat_ranges, record
 
 SPACE = "▁"
-#: Chunks and pair verdicts kept by a worker.
-MEMO_ENTRIES, PAIR_ENTRIES = 1_000_000, 2_000_000
+#: Chunks and pair verdicts kept by a worker, and chunks in one suffix array; all bound its memory.
+MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHUNKS = 600_000, 500_000, 40_000
 
 _chunk = re.compile(" *[^ ]+| +")
 _codecs: dict[str, Codec] = {}
@@ -179,8 +179,9 @@ class Codec:
         for at in range(0, len(texts), step):
             split = [_chunk.findall(" " + x) if x else [] for x in texts[at : at + step]]
             new = list(set().union(*split).difference(memo))
-            if new:
-                memo.update(zip(new, self._encode_chunks([x.replace(" ", SPACE) for x in new])))
+            for a in range(0, len(new), BATCH_CHUNKS):
+                own = new[a : a + BATCH_CHUNKS]
+                memo.update(zip(own, self._encode_chunks([x.replace(" ", SPACE) for x in own])))
             of = memo.__getitem__
             out += [b"".join(map(of, x)) for x in split]
             if len(memo) > MEMO_ENTRIES:  # what is new has served these texts alone

@@ -74,8 +74,10 @@ def logistic(df: DataFrame, keys: list[str], kind: str, gene: str = "gene") -> D
         values = wide.fillna(0.0)
         values = values.loc[:, values.std(axis=0, ddof=0) > 1e-10]
         ok = len(set(y)) == 2 and values.shape[1] > 0
-        b, se, done = logistic_fits(values.to_numpy(float), y, kind, 100 if kind == "firth" else 50) if ok else (np.zeros(0),) * 3
-        out = pd.DataFrame({gene: values.columns if ok else [], "log_or": b, "se": se, "z": b / se if ok else b, "converged": np.asarray(done, bool)})
+        if not ok:
+            return pd.DataFrame(columns=[*keys, gene, "log_or", "se", "z", "p", "ci_low", "ci_high", "converged"], dtype=object)
+        b, se, done = logistic_fits(values.to_numpy(float), y, kind, 100 if kind == "firth" else 50)
+        out = pd.DataFrame({gene: np.array(values.columns, dtype=object), "log_or": b, "se": se, "z": b / se, "converged": done})
         out["p"], out["ci_low"], out["ci_high"] = normal_two_sided(out["z"].to_numpy(float)), out["log_or"] - 1.96 * out["se"], out["log_or"] + 1.96 * out["se"]
         for k in keys:
             out[k] = pdf[k].iloc[0]
@@ -95,14 +97,14 @@ def permutation_test(df: DataFrame, keys: list[str], reps: int = 1000, seed: int
         x, case = wide.fillna(0.0).to_numpy(float), y == 1
         n1, n0 = case.sum(), (~case).sum()
         if not n1 or not n0:
-            return pd.DataFrame(columns=[*keys, gene, "difference", "p"])
+            return pd.DataFrame(columns=[*keys, gene, "difference", "p"], dtype=object)
         rng = np.random.default_rng(seed)
         total = x.sum(axis=0)
         diff = lambda mask: (mask @ x) / n1 - (total - mask @ x) / n0
         seen = diff(case.astype(float))
         masks = np.stack([rng.permutation(case) for _ in range(reps)]).astype(float)
         hits = (np.abs(diff(masks)) >= np.abs(seen) - 1e-12).sum(axis=0)
-        out = pd.DataFrame({gene: wide.columns, "difference": seen, "p": (hits + 1) / (reps + 1)})
+        out = pd.DataFrame({gene: np.array(wide.columns, dtype=object), "difference": seen, "p": (hits + 1) / (reps + 1)})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, gene, "difference", "p"]]
@@ -241,7 +243,7 @@ def coexpression(df: DataFrame, keys: list[str], least_pairs: int = 20, quantile
         whole, n = r_of(x)
         share = hits / reps
         keep = (share >= stable) & (np.maximum(plus, hits - plus) >= sign * np.maximum(hits, 1))
-        names = wide.columns.to_numpy()
+        names = np.array(wide.columns, dtype=object)
         out = pd.DataFrame({"u": names[up[0]][keep], "v": names[up[1]][keep], "w": whole[up][keep], "n": n[up][keep].astype(int), "frequency": share[keep], "threshold": limit})
         for k in keys:
             out[k] = pdf[k].iloc[0]
