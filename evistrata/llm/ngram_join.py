@@ -258,11 +258,11 @@ class _Join:
         counted = texts.mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = materialise(counted, "shingles-shared")
         at = F.col("shingle").bitwiseAND((1 << SHARED_BITS) - 1)
-        bits = counted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits")).toPandas()  # at most 2 ** (SHARED_BITS - 6) rows
+        bits = counted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits")).toArrow()  # at most 2 ** (SHARED_BITS - 6) rows of 16 bytes
         shared = np.zeros(1 << (SHARED_BITS - 6), np.uint64)
-        shared[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
-        frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toPandas()
-        common = np.sort(frequent["shingle"].to_numpy(np.int64).view(np.uint64))
+        shared[column(bits, "word")] = column(bits, "bits").view(np.uint64)
+        frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
+        common = np.sort(column(frequent, "shingle").view(np.uint64))
         marks = docs.sparkSession.sparkContext.broadcast((shared, common))
         self.facts = materialise(docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, n long, class_key long, is_first boolean, own long, prefix array<long>, buckets binary"), "shingle-sets")
         classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("own").alias("own"), F.first("buckets").alias("buckets"))
