@@ -7,9 +7,13 @@ so a shared passage brings candidates only where hardly anything else is in a te
 
 - Equal sets are one class. Classes with equal prefixes and sizes are one group, and only groups
   are listed by shingle, paired and filtered by size and by the places of the shared shingle.
-- First every list is a star: the group with the fewest shingles of its own, as an original has
-  against its edited copies, against the others. Pairs are expanded to class
-  representatives, filtered by bucket counts and verified on the texts; the links give components.
+- A parity sketch has a bit for each of 512 buckets: whether an odd number of a set's shingles falls
+  into it. Two sketches differ in at most as many bits as the sets have different shingles, so a
+  pair whose sketches differ in too many bits cannot link, and no other pair is dropped by it. A
+  group is compared in the bits that all its classes have in common.
+- First every list is a star: the group nearest to the majority of the list's sketches, as an
+  original is among its edited copies, against the others. Pairs are expanded to class
+  representatives, filtered by sketches and verified on the texts; the links give components.
 - Then the pairs of a list are formed between different components only, expanded to all member
   classes, and verified too. Pairs inside a component can no longer change the result. So a group
   of near copies costs a star, not its square, and no link between different texts is lost.
@@ -39,7 +43,9 @@ COMMON_DOCS = 50
 COMMON_MAX = 1_000_000
 #: Class keys joined by broadcast up to this many (8 bytes each); beyond, by sort-merge join.
 BROADCAST_ROWS = 1_000_000
-BUCKETS = 64
+#: Bits of a parity sketch.
+SKETCH_BITS = 512
+SKETCH_WORDS = SKETCH_BITS // 64
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +112,7 @@ def _levels(hashes: np.ndarray, shared: np.ndarray, common: np.ndarray) -> np.nd
 
 
 def _prefixes(words: int, percent: int, marks):
-    """A row for each document: size and class key; for a class's first row in a slice, prefix, own shingles in it and bucket counts too."""
+    """A row for each document: size and class key; for a class's first row in a slice, prefix and parity sketch too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, common = marks.value
@@ -118,17 +124,17 @@ def _prefixes(words: int, percent: int, marks):
                 level = _levels(hashes, shared, common)
                 order = np.lexsort((level, doc))  # stable: by hash within a kind
                 ordered = hashes[order]
-                own = np.concatenate([[0], np.cumsum(level[order] == 0)])
                 first = np.zeros(len(n), bool)
                 first[np.unique(keys, return_index=True)[1]] = True
                 first &= n > 0
                 sizes = np.where(first, prefix_length(n, percent), 0)
                 flat = ordered[concat_ranges(offsets[:-1], sizes)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                counts = np.bincount(doc * BUCKETS + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(n) * BUCKETS)
-                sketch = np.minimum(counts, 255).astype(np.uint8).tobytes()
-                buckets = [sketch[i * BUCKETS : (i + 1) * BUCKETS] if f else None for i, f in enumerate(first)]
-                yield record(doc_id=batch.column("doc_id").slice(a, b - a), n=n, class_key=keys.view(np.int64), is_first=first, own=own[offsets[:-1] + sizes] - own[offsets[:-1]], prefix=lists, buckets=pa.array(buckets, pa.binary()))
+                places = np.bincount(doc * SKETCH_BITS + (hashes >> np.uint64(64 - 9)).astype(np.int64), minlength=len(n) * SKETCH_BITS)
+                parity = np.packbits((places & 1).astype(np.uint8)).view(np.int64).reshape(len(n), SKETCH_WORDS)[first]
+                ends = np.concatenate([[0], np.cumsum(first) * SKETCH_WORDS]).astype(np.int32)
+                sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(parity.ravel()))
+                yield record(doc_id=batch.column("doc_id").slice(a, b - a), n=n, class_key=keys.view(np.int64), is_first=first, prefix=lists, sketch=sketch)
 
     return rows
 
@@ -140,25 +146,57 @@ def _may_link(n1: np.ndarray, i: np.ndarray, n2: np.ndarray, j: np.ndarray, perc
     return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (n1 + n2))
 
 
+def _sketches(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit integers."""
+    flat = pc.list_flatten(col).to_numpy() if isinstance(col, pa.ChunkedArray) else col.flatten().to_numpy(zero_copy_only=False)
+    return flat.view(np.uint64).reshape(len(col), -1)
+
+
+def _alike(one: np.ndarray, two: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches leave room for a link of two sets with ``total`` shingles together; behind a group's bits are those that all its classes share."""
+    differ = one[:, :SKETCH_WORDS] ^ two[:, :SKETCH_WORDS]
+    if one.shape[1] > SKETCH_WORDS:
+        differ &= one[:, SKETCH_WORDS:] & two[:, SKETCH_WORDS:]
+    return (100 + percent) * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= (100 - percent) * total
+
+
+def _from_majority(sketches: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits in which each sketch differs from the majority of its list's."""
+    away = np.zeros(len(sketches), np.int64)
+    data = np.ascontiguousarray(sketches[:, :SKETCH_WORDS]).view(np.uint8)
+    for at in range(data.shape[1]):
+        bits = np.unpackbits(data[:, at : at + 1], axis=1)
+        most = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > sizes[:, None]
+        away += (bits != np.repeat(most, sizes, axis=0)).sum(axis=1)
+    return away
+
+
 def _lists(percent: int):
-    """Of postings sorted by shingle and own shingles: the entries of lists with two or more, and star pairs."""
+    """Of postings sorted by shingle: the entries of lists with two or more, and star pairs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_chunks(batches, 300_000):
-            shingle, group, n, pos = (column(table, c) for c in ("shingle", "group_key", "n", "pos"))
+        for table in key_chunks(batches, 200_000):
+            begin = np.append(True, column(table, "shingle")[1:] != column(table, "shingle")[:-1])
+            sizes = np.diff(np.append(np.flatnonzero(begin), table.num_rows))
+            many = table.filter(pa.array(np.repeat(sizes > 1, sizes)))
+            if not many.num_rows:
+                continue
+            shingle, group, n, pos = (column(many, c) for c in ("shingle", "group_key", "n", "pos"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            begin = np.append(True, shingle[1:] != shingle[:-1])
-            sizes = np.diff(np.append(np.flatnonzero(begin), len(shingle)))
-            many = np.repeat(sizes > 1, sizes)
-            yield record(shingle=shingle[many], a=group[many], b=group[many], n=n[many], pos=pos[many], is_pair=np.zeros(many.sum(), bool))
-            rest = np.flatnonzero(many)
+            sketches = _sketches(many["sketch"])
+            yield record(shingle=shingle, a=group, b=group, n=n, pos=pos, is_pair=np.zeros(len(shingle), bool), sketch=pa.concat_arrays(many["sketch"].chunks))
+            sizes = sizes[sizes > 1]
+            away = _from_majority(sketches, np.cumsum(sizes) - sizes, sizes)
+            rest = np.lexsort((away, shingle))
             pairs = []
             while len(rest):  # each turn: the first entry left of every list is a centre
                 head = np.append(True, shingle[rest][1:] != shingle[rest][:-1])
                 at = rest[np.flatnonzero(head)][np.cumsum(head) - 1]
                 near = 100 * np.minimum(n[at], n[rest]) >= percent * np.maximum(n[at], n[rest])
                 good = near & (at != rest) & _may_link(n[at], pos[at], n[rest], pos[rest], percent)
-                pairs.append(np.stack([group[at[good]], group[rest[good]]], axis=1))
+                x, y = at[good], rest[good]
+                fits = _alike(sketches[x], sketches[y], n[x] + n[y], percent)
+                pairs.append(np.stack([group[x[fits]], group[y[fits]]], axis=1))
                 rest = rest[~near]
             yield _pair_rows(pairs)
 
@@ -170,16 +208,17 @@ def _pair_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
     found = found[found[:, 0] != found[:, 1]]
     found = np.unique(np.sort(found, axis=1), axis=0)
     zero = np.zeros(len(found), np.int64)
-    return record(shingle=zero, a=found[:, 0].copy(), b=found[:, 1].copy(), n=zero, pos=zero, is_pair=np.ones(len(found), bool))
+    return record(shingle=zero, a=found[:, 0].copy(), b=found[:, 1].copy(), n=zero, pos=zero, is_pair=np.ones(len(found), bool), sketch=pa.nulls(len(found), pa.list_(pa.int64())))
 
 
 def _open_pairs(percent: int):
     """Of list entries with their groups' components: pairs that may link different components."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_chunks(batches, 300_000):
+        for table in key_chunks(batches, 200_000):
             shingle, group, n, pos, label = (column(table, c) for c in ("shingle", "a", "n", "pos", "label"))
             mixed_group = column(table, "mixed").astype(bool)
+            sketches = _sketches(table["sketch"])
             begin = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             differs = np.append(False, (label[1:] != label[:-1]) & (shingle[1:] == shingle[:-1])) | mixed_group
             open_list = np.logical_or.reduceat(differs, begin)
@@ -191,12 +230,14 @@ def _open_pairs(percent: int):
                 for at in range(0, len(others), 256):
                     own = others[at : at + 256]
                     for other in (others, main):
-                        for to in range(0, len(other), 20_000):
-                            far = other[to : to + 20_000]
+                        for to in range(0, len(other), 4_000):
+                            far = other[to : to + 4_000]
                             x, y = np.repeat(own, len(far)), np.tile(far, len(own))
                             good = (x != y) & ((label[x] != label[y]) | mixed_group[x] | mixed_group[y])
                             x, y = x[good], y[good]
                             good = _may_link(n[x], pos[x], n[y], pos[y], percent)
+                            x, y = x[good], y[good]
+                            good = _alike(sketches[x], sketches[y], n[x] + n[y], percent)
                             if good.any():
                                 out.append(np.stack([group[x[good]], group[y[good]]], axis=1))
                 if sum(map(len, out)) > 1_000_000:
@@ -207,19 +248,16 @@ def _open_pairs(percent: int):
     return rows
 
 
-def _bucket_filter(percent: int):
-    """Pairs whose bucket counts leave room for the overlap; a full bucket (255) lets a pair pass."""
+def _sketch_filter(percent: int):
+    """Class pairs whose sketches leave room for a link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("buckets_a", "buckets_b"))
-            full = (one == 255).any(axis=1) | (two == 255).any(axis=1)
-            most = np.minimum(one, two).sum(axis=1, dtype=np.int64)
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            keep = pa.array(full | ((100 + percent) * most >= percent * total))
-            yield batch.select(["class_a", "class_b", "doc_a", "doc_b"]).filter(keep)
+            keep = _alike(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), total, percent)
+            yield batch.select(["class_a", "class_b", "doc_a", "doc_b"]).filter(pa.array(keep))
 
     return rows
 
@@ -245,7 +283,7 @@ def _verified(words: int, percent: int):
     return rows
 
 
-PAIR = "shingle long, a long, b long, n long, pos long, is_pair boolean"
+PAIR = "shingle long, a long, b long, n long, pos long, is_pair boolean, sketch array<long>"
 
 
 class _Join:
@@ -264,20 +302,22 @@ class _Join:
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
         common = np.sort(column(frequent, "shingle").view(np.uint64))
         marks = docs.sparkSession.sparkContext.broadcast((shared, common))
-        self.facts = materialise(docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, n long, class_key long, is_first boolean, own long, prefix array<long>, buckets binary"), "shingle-sets")
-        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("own").alias("own"), F.first("buckets").alias("buckets"))
+        self.facts = materialise(docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, n long, class_key long, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
+        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         self.classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
-        self.members = self.classes.drop("prefix", "own")
-        groups = self.classes.groupBy("group_key", "n").agg(F.min_by("prefix", "class_key").alias("prefix"), F.min("own").alias("own"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
+        self.members = self.classes.drop("prefix")
+        bits = [F.bit_and(F.col("sketch")[i]) for i in range(SKETCH_WORDS)]
+        same = [F.bitwise_not(F.bit_and(F.col("sketch")[i]).bitwiseXOR(F.bit_or(F.col("sketch")[i]))) for i in range(SKETCH_WORDS)]
+        groups = self.classes.groupBy("group_key", "n").agg(F.min_by("prefix", "class_key").alias("prefix"), F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
         self.groups = materialise(groups, "shingle-groups")
-        postings = self.groups.select("n", "own", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "own", "group_key", "n", "pos")
-        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "own", "n", "group_key").mapInArrow(_lists(percent), PAIR), "shingle-lists")
+        postings = self.groups.select("n", "sketch", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos", "sketch")
+        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(_lists(percent), PAIR), "shingle-lists")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of class pairs (class_a, class_b) those that verify on the texts."""
-        side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("doc_id", "doc"), ("buckets", "buckets"))])
+        side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("doc_id", "doc"), ("sketch", "sketch"))])
         full = pairs.distinct().join(side("a"), "class_a").join(side("b"), "class_b")
-        kept = materialise(full.mapInArrow(_bucket_filter(self.percent), "class_a long, class_b long, doc_a long, doc_b long"), "pairs-filtered")
+        kept = materialise(full.mapInArrow(_sketch_filter(self.percent), "class_a long, class_b long, doc_a long, doc_b long"), "pairs-filtered")
         wanted = kept.select(F.col("class_a").alias("class_key"), F.col("doc_a").alias("w_doc")).unionByName(kept.select(F.col("class_b").alias("class_key"), F.col("doc_b").alias("w_doc"))).distinct()
         wanted = materialise(wanted, "pairs-classes")
         small = wanted.count() <= BROADCAST_ROWS
@@ -293,15 +333,17 @@ class _Join:
         within = self.members.join(self.groups.filter("size > 1").select("group_key", F.col("lead").alias("class_a")), "group_key").filter("class_key <> class_a").select("class_a", F.col("class_key").alias("class_b"))
         first = self._links(stars.unionByName(within))
         found = connected_components(first, "class_a", "class_b")
-        labels = self.members.join(found, F.col("class_key") == F.col("node"), "left").select("group_key", "class_key", F.coalesce("component", "class_key").alias("label"))
+        labels = self.members.join(found, F.col("class_key") == F.col("node"), "left").select("group_key", "class_key", "n", "sketch", F.coalesce("component", "class_key").alias("label"))
         labels = materialise(labels, "labels")
         of_group = materialise(labels.groupBy("group_key").agg(F.min("label").alias("label"), (F.min("label") < F.max("label")).alias("mixed")), "group-labels")
-        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos").join(of_group, F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "label", "mixed")
+        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group, F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", "label", "mixed")
         pairs = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_pairs(self.percent), PAIR).select("a", "b").distinct()
-        side = lambda x: labels.select(F.col("group_key").alias(x), F.col("class_key").alias(f"class_{x}"), F.col("label").alias(f"label_{x}"))
-        across = pairs.join(side("a"), "a").join(side("b"), "b").filter("label_a <> label_b").select("class_a", "class_b")
+        side = lambda x: labels.select(F.col("group_key").alias(x), F.col("class_key").alias(f"class_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        differ = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS))
+        may = (F.col("label_a") != F.col("label_b")) & (differ * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent))
+        across = pairs.withColumnRenamed("b", "to").join(side("a"), "a").join(side("b"), (F.col("to") == F.col("b")) & may).select("class_a", "class_b")
         split = of_group.filter("mixed").select(F.col("group_key").alias("a"))
-        inside = split.join(side("a"), "a").join(side("b"), F.col("a") == F.col("b")).filter("class_a < class_b AND label_a <> label_b").select("class_a", "class_b")
+        inside = split.join(side("a"), "a").join(side("b"), (F.col("a") == F.col("b")) & F.expr("class_a < class_b") & may).select("class_a", "class_b")
         second = self._links(across.unionByName(inside))
         return first.unionByName(second)
 
