@@ -48,7 +48,7 @@ def expression(spark: SparkSession, d: str) -> DataFrame:
 
 EXPRESSION = """expression AS (
   SELECT vec_id AS sample, CAST(label < 5 AS INTEGER) AS status, label AS batch, gene, CAST(value AS DOUBLE) AS value FROM (
-    SELECT vec_id, label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS gene FROM embeddings))"""
+    SELECT vec_id, label, unnest(embedding) AS value, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS gene FROM embeddings))"""
 
 
 def scored_parts(spark: SparkSession, d: str) -> DataFrame:
