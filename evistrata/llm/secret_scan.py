@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,6 @@ BITS = 14
 FEATURES = 12  # of a token: six of its own, two of each neighbour, two of the file
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "access", "credential", "auth", "bearer", "pwd", "login", "private")
-#: Words of letters and final punctuation: one entry stands for all but keywords.
-PLAIN = r"^[^0-9=:+/_\"'`\-]{1,19}$"
-PLAIN_TOKEN = "w"
 _word = re.compile(r"[^ \t-\r]+")
 
 
@@ -55,6 +53,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
+@lru_cache(1 << 16)
 def _hash(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) & ((1 << BITS) - 1)
 
@@ -262,12 +261,12 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, pairs = shared.value.weights, shared.value.pairs
         none = weights[_hash("none")] * 2
-        memo: dict[str, tuple[np.ndarray, ...]] = {}
+        memo: dict[str, list[int]] = {}
 
-        def scores(token: str) -> tuple[np.ndarray, ...]:
+        def features(token: str) -> list[int]:
             found = memo.get(token)
             if found is None:
-                found = tuple(weights[x].sum(axis=0) for x in token_features(token))
+                found = [x for part in token_features(token) for x in part]
                 if len(memo) < 200_000:
                     memo[token] = found
             return found
@@ -280,10 +279,9 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 offsets, words = split_words(lines.flatten())
                 in_doc = np.concatenate([[0], np.cumsum(per_doc)])
                 doc_words = np.diff(offsets[in_doc])
-                plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring_regex(words, "(?i)" + "|".join(KEYWORDS))))
-                coded = pc.dictionary_encode(pc.if_else(plain, PLAIN_TOKEN, words))
-                table = [scores(x) for x in coded.dictionary.to_pylist()]
-                own, behind, before = (np.array([x[i] for x in table]).reshape(-1, 3) for i in range(3))
+                coded = pc.dictionary_encode(words)
+                table = np.fromiter((x for t in coded.dictionary.to_pylist() for x in features(t)), np.int64, len(coded.dictionary) * (FEATURES - 2)).reshape(-1, FEATURES - 2)
+                own, behind, before = (sum(weights[table[:, j]] for j in columns) for columns in (range(6), (6, 7), (8, 9)))
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 emission = own[codes]
                 # Sequences: lines, in pieces of SEQUENCE tokens.

@@ -253,6 +253,38 @@ def test_secret_field_adds_and_keeps(spark):
         assert set(named) <= set(got[i].spans.split(","))
 
 
+def planted_field(scores: dict[str, tuple[int, float]]) -> secret_scan.Field:
+    """A field that knows some features, by name: tag and weight."""
+    weights, pairs = np.zeros((1 << secret_scan.BITS, 3)), np.zeros((3, 3))
+    pairs[secret_scan.OUTSIDE, secret_scan.INSIDE] = -1e9
+    for name, (tag, weight) in scores.items():
+        weights[secret_scan._hash(name), tag] = weight
+    return secret_scan.Field(weights, pairs)
+
+
+def test_secrets_without_digits_are_told_by_their_shape(spark):
+    tokens = ["QmZkPrWvTxLsNbHd", "hQ!zR$kP@wXs"]
+    field = planted_field({f"s{secret_scan._shape(t)}": (secret_scan.BEGIN, 5.0) for t in tokens})
+    rows = [(i, f"some ordinary {t} words") for i, t in enumerate([*tokens, "lower"])]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert got == {i: f"crf:14:{14 + len(t)}" for i, t in enumerate(tokens)} | {2: ""}
+
+
+def test_secrets_are_decoded_on_the_features_of_training(spark):
+    rng = np.random.default_rng(4)
+    vocab = ["the", "Night", "data.", "login", "QmZkPrWvTxLsNbHd", "hQ!zR$kP@wXs", "x1", "a-b", "Straße", "API_KEY", "ABCdef", "é"]
+    pairs = rng.normal(size=(3, 3))
+    pairs[secret_scan.OUTSIDE, secret_scan.INSIDE] = -1e9
+    field = secret_scan.Field(rng.normal(size=(1 << secret_scan.BITS, 3)), pairs)
+    rows = [(i, "\n".join(" ".join(rng.choice(vocab, rng.integers(0, 20))) for _ in range(5))) for i in range(40)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    for i, text in rows:
+        features, _, offsets = secret_scan._labelled([text])
+        tags = secret_scan.viterbi(field.weights[features].sum(axis=1), offsets, field.pairs)
+        base = secret_scan.base_spans(text)
+        assert got[i] == secret_scan._joined(base + secret_scan._added(text, tags, base))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     offsets = np.array([0, 4, 5, 5, 11])
