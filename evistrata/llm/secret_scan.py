@@ -4,7 +4,7 @@ The field tags a line's tokens (words between white space) as secret begin, insi
 features are a token's shape, length and digits, the shapes and keywords of both neighbours, and
 the file's length and share of tokens with digits. It is trained here by gradient ascent on the
 likelihood, on lines around the base patterns' own matches and on lines without any; tags are
-decoded by Viterbi. A line longer than ``SEQUENCE`` tokens is several sequences.
+decoded by Viterbi. A line is one sequence, whatever its length.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm._shared import text_or_empty
-from evistrata.llm._tasks import concat_ranges, record
 from evistrata.llm._words import slices, split_words
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -36,7 +35,6 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Labelled texts to train on: so many with a base match and so many without, of up to TRAIN_CHARS characters.
 TRAIN_TEXTS, TRAIN_CHARS = 1500, 20_000
 EPOCHS = 40
-SEQUENCE = 200
 BITS = 14
 FEATURES = 12  # of a token: six of its own, two of each neighbour, two of the file
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
@@ -186,7 +184,7 @@ def _labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         breaks = [i for i, c in enumerate(text) if c == "\n"]
         line = np.searchsorted(breaks, [a for _, a, _ in tokens]) if tokens else np.zeros(0, int)
         own = [token_features(t) for t, _, _ in tokens]
-        held, k, current = -1, 0, 0
+        held, k = -1, 0
         tagged = []
         for t, a, b in tokens:
             while k < len(spans) and spans[k][2] <= a:
@@ -195,15 +193,13 @@ def _labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             tagged.append(OUTSIDE if inside < 0 else INSIDE if inside == held else BEGIN)
             held = inside
         for at in range(len(tokens)):
-            fresh = at == 0 or line[at] != line[at - 1] or current == SEQUENCE
+            fresh = at == 0 or line[at] != line[at - 1]
             if fresh:
                 lengths.append(0)
-                current = 0
                 tagged[at] = BEGIN if tagged[at] == INSIDE else tagged[at]
             none = [_hash("none")] * 2
-            rows.append(own[at][0] + (none if fresh else own[at - 1][1]) + (own[at + 1][2] if at + 1 < len(tokens) and line[at + 1] == line[at] and current + 1 < SEQUENCE else none) + of_file)
+            rows.append(own[at][0] + (none if fresh else own[at - 1][1]) + (own[at + 1][2] if at + 1 < len(tokens) and line[at + 1] == line[at] else none) + of_file)
             lengths[-1] += 1
-            current += 1
         tags += tagged
     return np.array(rows, np.int64).reshape(len(tags), FEATURES), np.array(tags, np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
@@ -284,10 +280,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 own, behind, before = (sum(weights[table[:, j]] for j in columns) for columns in (range(6), (6, 7), (8, 9)))
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 emission = own[codes]
-                # Sequences: lines, in pieces of SEQUENCE tokens.
-                size = np.diff(offsets)
-                pieces = -(-size // SEQUENCE)
-                begin = np.repeat(offsets[:-1], pieces) + SEQUENCE * concat_ranges(np.zeros(len(pieces), np.int64), pieces)
+                begin = offsets[:-1][np.diff(offsets) > 0]
                 cuts = np.append(begin, len(codes)).astype(np.int64)
                 head = np.zeros(len(codes) + 1, bool)
                 head[begin] = True

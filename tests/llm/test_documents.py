@@ -285,6 +285,19 @@ def test_secrets_are_decoded_on_the_features_of_training(spark):
         assert got[i] == secret_scan._joined(base + secret_scan._added(text, tags, base))
 
 
+@pytest.mark.parametrize("at", [199, 399])
+def test_secrets_in_long_lines_see_across_any_place(spark, at):
+    words = ["w"] * 600
+    words[at : at + 3] = ["token", "QmZkPrWvTxLsNbHd", "rest"]
+    text, start = " ".join(words), 2 * at + len("token ")
+    near = planted_field({"<ktoken/x": (secret_scan.BEGIN, 5.0)})
+    across = planted_field({"ktoken/x": (secret_scan.BEGIN, 5.0), f"s{secret_scan._shape('QmZkPrWvTxLsNbHd')}": (secret_scan.INSIDE, 5.0)})
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.scan(rows, near).first().spans == f"crf:{start}:{start + 16}"
+    assert secret_scan.scan(rows, across).first().spans == f"crf:{start - 6}:{start + 16}"
+    assert list(secret_scan._labelled([text])[2]) == [0, 600]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     offsets = np.array([0, 4, 5, 5, 11])
