@@ -11,37 +11,44 @@ memory, so a document is a slice without parsing.
 from __future__ import annotations
 
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise, new_folder, text_or_empty
+from evistrata.llm._tasks import concat_ranges
+from evistrata.llm._words import slices
 
-#: Chunks kept by a worker, which bounds its memory; those met first are mostly the frequent ones.
-MEMO_ENTRIES = 1_600_000
+#: Chunks kept by a worker and the characters of the longest one kept, which bound its memory (about 170 MB).
+MEMO_ENTRIES, MEMO_CHARS = 800_000, 40
+#: New chunks encoded at once.
+BATCH_CHUNKS = 20_000
 
 MANIFEST = "shard int, path string, n_docs long, n_null_ids long, n_tokens long"
 
 _chunk = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_plain_break = re.compile(r"[ \n][ \n]|[^\S \n]")  # else single spaces and newlines alone part the words
 _other_space = re.compile(r"[^\S \t-\r]")  # white space outside ASCII
+#: Texts where more than single spaces and newlines parts the words.
+ODD = "[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Encodes whole texts with a ``tokenizers`` file, remembering the ids of repeated chunks.
+    """Encodes whole texts with a ``tokenizers`` file, each distinct chunk of a slice of texts once.
 
     A byte-level BPE without normaliser never joins a non-space character with white space behind
     it, so a text's ids are those of its chunks (white space, then non-space) in a row. Texts with
-    white space outside ASCII, and tokenizers of another kind, are encoded whole.
+    white space outside ASCII, and tokenizers of another kind, are encoded whole. The ids of
+    chunks met first are kept, as those are mostly the frequent ones.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -50,7 +57,7 @@ class ChunkEncoder:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.dtype = dtype
+        self.dtype = np.dtype(dtype)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         stripping = any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens", []))
@@ -58,34 +65,58 @@ class ChunkEncoder:
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        pack = struct.Struct
-        kind = np.dtype(self.dtype).char
-        return [pack(f"<{len(ids)}{kind}").pack(*ids) for ids in [x.ids for x in found]]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * self.dtype.itemsize
+        data = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()  # an id beyond the type raises OverflowError
+        return [data[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
     def _keys(self, text: str) -> list[str]:
-        """A text's chunks: a bare key stands behind a space, one that begins with a carriage return for what follows it."""
-        if not _plain_break.search(text):
-            return ("\r" + text.replace("\n", " \n")).split(" ")
-        if not _other_space.search(text):
+        """The chunks of an odd text, marked by a carriage return for what follows it."""
+        if self.by_chunk and not _other_space.search(text):
             return ["\r" + x for x in _chunk.findall(text)]
         return ["\r" + text]
 
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Of each text the first and the number of its chunks, and all chunks; a bare one stands behind a space."""
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_chunk else np.ones(len(texts), bool)
+        plain = pc.binary_join_element_wise("\r", pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), "")
+        split = pc.split_pattern(plain, " ")
+        keys = [self._keys(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = split.value_lengths().to_numpy(zero_copy_only=False)
+        counts[odd] = np.fromiter(map(len, keys), np.int64, len(keys))
+        order = np.argsort(odd, kind="stable")
+        starts = np.zeros(len(texts), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return starts, counts, pa.concat_arrays([split.flatten(), pa.array(list(chain.from_iterable(keys)), pa.string())])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids in a row."""
+        starts, counts, chunks = self._chunks(texts)
+        coded = pc.dictionary_encode(chunks)
+        keys = coded.dictionary.to_pylist()
+        found = list(map(self.memo.get, keys))
+        new = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(new), BATCH_CHUNKS):
+            own = new[at : at + BATCH_CHUNKS]
+            words = [keys[i] for i in own]
+            for i, x in zip(own, self._encode([x if x[:1] == "\n" else x[1:] if x[:1] == "\r" else " " + x for x in words])):
+                found[i] = x
+        for i in new[: max(0, MEMO_ENTRIES - len(self.memo))]:
+            if len(keys[i]) <= MEMO_CHARS:
+                self.memo[keys[i]] = found[i]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        codes = coded.indices.to_numpy(zero_copy_only=False)[concat_ranges(starts, counts)]
+        own = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
+        return np.diff(ends), flat[concat_ranges((np.cumsum(sizes) - sizes)[codes], own)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        out: list[bytes] = []
-        memo, step = self.memo, 1000
-        for at in range(0, len(texts), step):
-            keys = [self._keys(x) if self.by_chunk else ["\r" + x] for x in texts[at : at + step]]
-            new = list(set().union(*keys).difference(memo))
-            encoded = self._encode([x if x[:1] == "\n" else x[1:] if x[:1] == "\r" else " " + x for x in new])
-            memo.update(zip(new, encoded))
-            of = memo.__getitem__
-            out += [b"".join(map(of, x)) for x in keys]
-            if len(memo) > MEMO_ENTRIES:  # what is new has served these texts alone
-                for x in new:
-                    del memo[x]
-        return out
+        counts, ids = self.encode_array(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip(ends - counts, ends)]
 
 
 def _encoder(path: str, dtype: str) -> ChunkEncoder:
@@ -112,7 +143,7 @@ def _mapped(uri: str, dtype: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = None, dtype: str = "uint16", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and write shards under ``folder``; returns the manifest.
 
-    Documents go in ascending id order, null ids first, repeated ids in order of their texts. A
+    Documents go in ascending id order, null ids first, repeated ids in order of a hash of their texts. A
     null text counts as empty and has only the end id. ``dtype`` is the file's unsigned type and
     must hold the largest id; a larger id raises OverflowError. Other columns are ignored. An
     attempt that fails leaves files that no manifest row names.
@@ -124,7 +155,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stem, sizes, ids, nulls, out = None, [], [], 0, None
         encoder = _encoder(tokenizer_path, little)
-        tail = b"" if end_id is None else np.array([end_id], dtype=little).tobytes()
         store, top = _store(folder)
         for batch in batches:
             if not batch.num_rows:
@@ -132,22 +162,32 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             if out is None:
                 stem = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
                 out = store.open_output_stream(f"{top}/{stem}.bin")
-            encoded = [x + tail for x in encoder.encode(batch.column(1).to_pylist())]
-            out.write(b"".join(encoded))
-            sizes.append(np.fromiter(map(len, encoded), dtype=np.uint64, count=len(encoded)))
+            for a, b in slices(batch.column(1)):
+                counts, tokens = encoder.encode_array(batch.column(1).slice(a, b - a))
+                if end_id is not None:
+                    counts = counts + 1
+                    last = np.zeros(len(tokens) + len(counts), bool)
+                    last[np.cumsum(counts) - 1] = True
+                    ended = np.full(len(last), end_id, little)
+                    ended[~last] = tokens
+                    tokens = ended
+                out.write(tokens.tobytes())
+                sizes.append(counts)
             nulls += batch.column(0).null_count
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
         out.close()
-        ends = np.cumsum(np.concatenate(sizes)) // np.dtype(little).itemsize
+        ends = np.cumsum(np.concatenate(sizes))
         for kind, data in (("off", np.concatenate([[0], ends]).astype("<u8")), ("ids", np.concatenate(ids))):
             with store.open_output_stream(f"{top}/{stem}.{kind}") as side:
                 side.write(data.tobytes())
         row = ([TaskContext.get().partitionId()], [f"{folder}/{stem}"], [len(ends)], [nulls], [int(ends[-1])])
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "path", "n_docs", "n_null_ids", "n_tokens"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    # The hash lets many texts under one id, or without one, be several shards.
+    ordered = texts.withColumn("place", F.xxhash64("text")).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").drop("place")
     return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
