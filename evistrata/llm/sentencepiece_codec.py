@@ -20,26 +20,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evistrata.llm._chunks import ChunkCodes
 from evistrata.llm._shared import text_or_empty
 from evistrata.llm._tasks import concat_ranges, record
+from evistrata.llm._words import slices
 
 SPACE = "▁"
-#: Chunks and pair verdicts kept by a worker, and chunks in one suffix array; all bound its memory.
-MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHUNKS = 600_000, 500_000, 40_000
+#: Chunks and pair verdicts kept by a worker, and characters in one suffix array; all bound its memory.
+MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHARS = 500_000, 300_000, 200_000
 
 _chunk = re.compile(" *[^ ]+| +")
 _codecs: dict[str, Codec] = {}
 
 
-class Codec:
-    """One model's pieces, with the lattice and the decoder on them."""
+class Codec(ChunkCodes):
+    """One model's pieces, with the lattice and the decoder on them.
+
+    A chunk stands behind a space, but for one that a carriage return marks. A line break is a
+    chunk where it is in no piece, as nothing is merged across it.
+    """
+
+    entries = MEMO_ENTRIES
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if model.normalize("  Å ﬁ  x ") != "▁▁▁Å▁ﬁ▁▁x▁":
             raise ValueError("only models that keep texts as they are, with a space before, are read here")
@@ -47,11 +57,16 @@ class Codec:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(len(self.pieces))]
         self.rank = {p: (-model.get_score(i), i) for i, p in enumerate(self.pieces) if not special[i]}
         self.id = {p: i for p, (_, i) in self.rank.items()}
+        if len(self.pieces) >= 1 << 16:
+            raise ValueError("ids are kept in 16 bits; the model has more pieces")
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has a space behind another character")
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.data = pa.array([bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)], pa.binary())
         letters = sorted({c for p in self.id for c in p})
+        if len(letters) >= (1 << 16) - 1:
+            raise ValueError("letters are kept in 16 bits; the model has more")
+        self.by_line = "\n" not in letters
         self.letters = np.array([ord(c) for c in letters], np.uint32)
         self.longest = max(map(len, self.id))
         order = sorted(self.id)
@@ -64,7 +79,6 @@ class Codec:
         high = rows.copy()
         high[np.arange(rows.shape[1])[None, :] >= self.piece_sizes[:, None]] = 0xFFFF
         self.high = self._keys(high)
-        self.memo: dict[str, bytes] = {}
         self.verdicts: dict[int, bool] = {}
         self.size = len(self.pieces) + 1
 
@@ -77,27 +91,29 @@ class Codec:
     def _merge(self, text: str) -> list[str]:
         """The model's own merging of a short text: the best pair first, the leftmost of equals."""
         parts = list(text)
-        while True:
-            best = min(((self.rank[parts[i] + parts[i + 1]][0], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.rank), default=None)
-            if best is None:
-                return parts
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        worst = (float("inf"), 0)
+        costs = [self.rank.get(a + b, worst)[0] for a, b in zip(parts, parts[1:])]
+        while costs and (best := min(costs)) < worst[0]:
+            i = costs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(costs):
+                    costs[j] = self.rank.get(parts[j] + parts[j + 1], worst)[0]
+        return parts
 
     def _apart(self, keys: np.ndarray) -> np.ndarray:
         """For pairs left * size + right: whether they stay apart; left ``size - 1`` asks for the right alone."""
         distinct, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(distinct), bool)
-        for k, key in enumerate(distinct.tolist()):
-            verdict = self.verdicts.get(key)
-            if verdict is None:
-                left, right = divmod(key, self.size)
-                own = [self.pieces[right]] if left == self.size - 1 else [self.pieces[left], self.pieces[right]]
-                verdict = self._merge("".join(own)) == own
-                if len(self.verdicts) >= PAIR_ENTRIES:
-                    self.verdicts.clear()
-                self.verdicts[key] = verdict
-            out[k] = verdict
-        return out[back]
+        names = distinct.tolist()
+        known = list(map(self.verdicts.get, names))
+        if len(self.verdicts) >= PAIR_ENTRIES:
+            self.verdicts.clear()
+        for k in [k for k, x in enumerate(known) if x is None]:
+            left, right = divmod(names[k], self.size)
+            own = [self.pieces[right]] if left == self.size - 1 else [self.pieces[left], self.pieces[right]]
+            known[k] = self.verdicts[names[k]] = self._merge("".join(own)) == own
+        return np.array(known, bool)[back]
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and piece of every occurrence of every piece in the letters ``text`` (0: in no piece)."""
@@ -151,7 +167,8 @@ class Codec:
             last[s + n - 1] = p
             before[s + n - 1] = s
         pieces: list[list[np.ndarray]] = []
-        at, who = ends - 1, np.arange(len(chunks))
+        who = np.flatnonzero(sizes)
+        at = ends[who] - 1
         while len(at):
             pieces.append([who, last[at], before[at]])
             at = before[at] - 1
@@ -172,34 +189,40 @@ class Codec:
             out[k] = np.array(own, "<u2").tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit integers; none for an empty text."""
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        return pc.match_substring_regex(texts, "^$|^ |  |\r").to_numpy(zero_copy_only=False)
+
+    def plain(self, texts: pa.Array) -> pa.Array:
+        return pc.replace_substring(texts, "\n", " \r\n \r") if self.by_line else texts
+
+    def keys(self, text: str) -> list[str]:
+        return ["\r" + x for x in _chunk.findall(" " + text)] if text else []
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        memo, step = self.memo, 3000
-        for at in range(0, len(texts), step):
-            split = [_chunk.findall(" " + x) if x else [] for x in texts[at : at + step]]
-            new = list(set().union(*split).difference(memo))
-            for a in range(0, len(new), BATCH_CHUNKS):
-                own = new[a : a + BATCH_CHUNKS]
-                memo.update(zip(own, self._encode_chunks([x.replace(" ", SPACE) for x in own])))
-            of = memo.__getitem__
-            out += [b"".join(map(of, x)) for x in split]
-            if len(memo) > MEMO_ENTRIES:  # what is new has served these texts alone
-                for x in new:
-                    del memo[x]
-        return out
+        own: list[str] = []
+        size = 0
+        for x in chunks:
+            own.append(x[1:].replace(" ", SPACE) if x[:1] == "\r" else SPACE + x)
+            size += len(x) + 1
+            if size >= BATCH_CHARS:
+                out += self._encode_chunks(own)
+                own, size = [], 0
+        return out + self._encode_chunks(own)
+
+    def decode_array(self, counts: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The text of each row of ids: pieces joined, bytes as UTF-8 (broken ones as U+FFFD), the first space off."""
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        data = pc.replace_substring(pc.binary_join(pa.ListArray.from_arrays(offsets, self.data.take(pa.array(ids))), b""), SPACE.encode(), b" ")
+        try:
+            text = data.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.decode("utf-8", "replace").replace(SPACE, " ") for x in data.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces joined, bytes as UTF-8 (broken ones as U+FFFD), the first space off."""
-        if not len(ids):
-            return ""
-        if not np.isin(ids, list(self.byte_of)).any():
-            text = "".join([self.pieces[i] for i in ids.tolist()])
-        else:
-            data = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids.tolist())
-            text = data.decode("utf-8", "replace")
-        text = text.replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+        """The text of one row of ids."""
+        return self.decode_array(np.array([len(ids)]), ids)[0].as_py()
 
 
 def codec(path: str) -> Codec:
@@ -218,13 +241,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 3000):
-                part = batch.slice(at, 3000)
-                found = own.encode([x.replace(SPACE, " ") for x in part.column(1).to_pylist()])
-                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
-                flat = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                yield record(id=part.column(0), n_pieces=sizes, ids=lists, **{c: part.column(c) for c in keep})
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                counts, ids = own.encode_array(pc.replace_substring(part.column(1), SPACE, " "))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield record(id=part.column(0), n_pieces=counts, ids=lists, **{c: part.column(c) for c in keep})
 
     kinds = dict(docs.dtypes)
     schema = "id long, n_pieces long, ids array<int>" + "".join(f", {c} {kinds[c]}" for c in keep)
@@ -238,8 +259,9 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            ids = [np.zeros(0, np.int64) if x.as_py() is None else x.values.to_numpy() for x in batch.column(1)]
-            yield record(id=batch.column(0), text=pa.array([own.decode(x) for x in ids], pa.string()))
+            ids = batch.column(1)
+            counts = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            yield record(id=batch.column(0), text=own.decode_array(counts, ids.flatten().to_numpy(zero_copy_only=False)))
 
     return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(rows, "id long, text string").withColumnRenamed("id", id_col)
 
@@ -248,23 +270,26 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids_crc32, text_sha256 of the decoded text, round_trip.
 
     The checksum is over the ids as little-endian unsigned 32-bit integers. ``round_trip`` tells
-    whether decoding gave the text back (with U+2581 as a space); null texts count as empty.
+    whether decoding gave the text back (with U+2581 as a space); null texts count as empty, and
+    repeated rows have equal results.
     """
     import hashlib
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 3000):
-                texts = [x.replace(SPACE, " ") for x in batch.column(1).slice(at, 3000).to_pylist()]
-                ids = [np.frombuffer(x, "<u2") for x in own.encode(texts)]
-                back = [own.decode(x) for x in ids]
+            for a, b in slices(batch.column(1)):
+                texts = pc.replace_substring(batch.column(1).slice(a, b - a), SPACE, " ")
+                counts, ids = own.encode_array(texts)
+                back = own.decode_array(counts, ids)
+                ends = np.cumsum(counts)
+                wide = ids.astype("<u4")
                 yield record(
-                    doc_id=batch.column(0).slice(at, 3000),
-                    n_pieces=np.fromiter(map(len, ids), np.int64, len(ids)),
-                    ids_crc32=pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    text_sha256=pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
-                    round_trip=pa.array([x == y for x, y in zip(texts, back)]),
+                    doc_id=batch.column(0).slice(a, b - a),
+                    n_pieces=counts,
+                    ids_crc32=pa.array([zlib.crc32(wide[x:y].tobytes()) for x, y in zip(ends - counts, ends)], pa.int64()),
+                    text_sha256=pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.cast(back, pa.binary())], pa.string()),
+                    round_trip=pc.equal(texts, back),
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))

@@ -24,14 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evistrata.llm._chunks import ChunkCodes
 from evistrata.llm._shared import materialise, new_folder, text_or_empty
-from evistrata.llm._tasks import concat_ranges
 from evistrata.llm._words import slices
 
-#: Chunks kept by a worker and the characters of the longest one kept, which bound its memory (about 170 MB).
-MEMO_ENTRIES, MEMO_CHARS = 800_000, 40
-#: New chunks encoded at once.
-BATCH_CHUNKS = 20_000
+#: Chunks kept by a worker, which bounds its memory (about 170 MB), and new chunks encoded at once.
+MEMO_ENTRIES, BATCH_CHUNKS = 800_000, 20_000
 
 MANIFEST = "shard int, path string, n_docs long, n_null_ids long, n_tokens long"
 
@@ -42,81 +40,50 @@ ODD = "[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
-class ChunkEncoder:
-    """Encodes whole texts with a ``tokenizers`` file, each distinct chunk of a slice of texts once.
+class ChunkEncoder(ChunkCodes):
+    """Encodes whole texts with a ``tokenizers`` file.
 
     A byte-level BPE without normaliser never joins a non-space character with white space behind
     it, so a text's ids are those of its chunks (white space, then non-space) in a row. Texts with
-    white space outside ASCII, and tokenizers of another kind, are encoded whole. The ids of
-    chunks met first are kept, as those are mostly the frequent ones.
+    white space outside ASCII, and tokenizers of another kind, are encoded whole. A chunk stands
+    behind a space, but for one that begins with a line break or that a carriage return marks.
     """
 
+    entries = MEMO_ENTRIES
+
     def __init__(self, path: str, dtype: str) -> None:
         import json
 
         import tokenizers
 
+        super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         stripping = any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens", []))
         self.by_chunk = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not stripping
-        self.memo: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * self.dtype.itemsize
-        data = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()  # an id beyond the type raises OverflowError
-        return [data[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        return pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_chunk else np.ones(len(texts), bool)
+
+    def plain(self, texts: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise("\r", pc.replace_substring(texts, "\n", " \n"), "")
 
-    def _keys(self, text: str) -> list[str]:
-        """The chunks of an odd text, marked by a carriage return for what follows it."""
+    def keys(self, text: str) -> list[str]:
         if self.by_chunk and not _other_space.search(text):
             return ["\r" + x for x in _chunk.findall(text)]
         return ["\r" + text]
 
-    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Of each text the first and the number of its chunks, and all chunks; a bare one stands behind a space."""
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_chunk else np.ones(len(texts), bool)
-        plain = pc.binary_join_element_wise("\r", pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), "")
-        split = pc.split_pattern(plain, " ")
-        keys = [self._keys(x) for x in texts.filter(pa.array(odd)).to_pylist()]
-        counts = np.zeros(len(texts), np.int64)
-        counts[~odd] = split.value_lengths().to_numpy(zero_copy_only=False)
-        counts[odd] = np.fromiter(map(len, keys), np.int64, len(keys))
-        order = np.argsort(odd, kind="stable")
-        starts = np.zeros(len(texts), np.int64)
-        starts[order] = np.cumsum(counts[order]) - counts[order]
-        return starts, counts, pa.concat_arrays([split.flatten(), pa.array(list(chain.from_iterable(keys)), pa.string())])
-
-    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each text, and all ids in a row."""
-        starts, counts, chunks = self._chunks(texts)
-        coded = pc.dictionary_encode(chunks)
-        keys = coded.dictionary.to_pylist()
-        found = list(map(self.memo.get, keys))
-        new = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(new), BATCH_CHUNKS):
-            own = new[at : at + BATCH_CHUNKS]
-            words = [keys[i] for i in own]
-            for i, x in zip(own, self._encode([x if x[:1] == "\n" else x[1:] if x[:1] == "\r" else " " + x for x in words])):
-                found[i] = x
-        for i in new[: max(0, MEMO_ENTRIES - len(self.memo))]:
-            if len(keys[i]) <= MEMO_CHARS:
-                self.memo[keys[i]] = found[i]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        codes = coded.indices.to_numpy(zero_copy_only=False)[concat_ranges(starts, counts)]
-        own = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
-        return np.diff(ends), flat[concat_ranges((np.cumsum(sizes) - sizes)[codes], own)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        counts, ids = self.encode_array(pa.array(texts, pa.string()))
-        ends = np.cumsum(counts)
-        return [ids[a:b].tobytes() for a, b in zip(ends - counts, ends)]
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(chunks), BATCH_CHUNKS):
+            own = [x if x[:1] == "\n" else x[1:] if x[:1] == "\r" else " " + x for x in chunks[at : at + BATCH_CHUNKS]]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * self.dtype.itemsize
+            data = np.fromiter(chain.from_iterable(found), self.dtype).tobytes()  # an id beyond the type raises OverflowError
+            out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return out
 
 
 def _encoder(path: str, dtype: str) -> ChunkEncoder:
