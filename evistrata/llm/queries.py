@@ -59,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-#: Line dedup over a table ``input_documents`` to (doc_id, text, n_lines, kept, n_dropped).
+#: Line dedup over a table ``input_documents``: each document's lines and the places of dropped ones.
 LINES_SQL = r"""
 lines AS (
   SELECT doc_id, text, spot, line, len(tokens) AS n_tokens,
@@ -79,10 +79,9 @@ parsed AS (
 recurring AS (
   SELECT lead, template FROM parsed JOIN inside USING (n_tokens, lead, line) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
 found AS (SELECT DISTINCT line FROM parsed SEMI JOIN recurring USING (lead, template)),
-hits AS (SELECT doc_id, list(spot) AS spots, sum(n_tokens) AS words FROM lines SEMI JOIN found USING (line) GROUP BY doc_id),
+hits AS (SELECT doc_id, list(spot) AS dropped FROM lines SEMI JOIN found USING (line) GROUP BY doc_id),
 deduped AS (
-  SELECT d.*, string_split(coalesce(text, ''), chr(10)) AS split,
-         CASE WHEN words <= 0.5 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) THEN spots END AS dropped
+  SELECT d.*, string_split(coalesce(text, ''), chr(10)) AS split, dropped
   FROM input_documents d LEFT JOIN hits h ON d.doc_id = h.doc_id)
 """
 

@@ -313,18 +313,58 @@ def test_viterbi_is_the_best_path():
         assert tuple(got[a:b]) == best
 
 
-def test_line_templates_drop_and_copies_stay(spark):
+def brute_lines(rows, max_share=None):
+    """Boilerplate lines by the stated rule, over (doc_id, text) rows; the texts left."""
+    parsed, docs_of = {}, {}
+    for i, text in set(rows):
+        for line in (text or "").split("\n"):
+            tokens = words(line)
+            if len(tokens) >= 4:
+                parsed[line] = tokens
+                docs_of.setdefault(line, set()).add((i, text))
+    leaf = {x: (len(t), *("<*>" if re.search("[0-9]", w) else w for w in t[:5])) for x, t in parsed.items()}
+    reach, support, template, spread = Counter(), Counter(), {}, {}
+    for i, text in rows:
+        reach.update(leaf[x] for x in (text or "").split("\n") if x in leaf)
+    for x, t in parsed.items():
+        for at, w in enumerate(t):
+            support[leaf[x], at, w] += len(docs_of[x])
+    for x, t in parsed.items():
+        fixed = [support[leaf[x], at, w] >= 10 for at, w in enumerate(t)]
+        if reach[leaf[x]] >= 10 and sum(fixed) >= 0.5 * len(t):
+            template[x] = (leaf[x], tuple(w if f else "<*>" for w, f in zip(t, fixed)))
+            spread.setdefault(template[x], set()).update(docs_of[x])
+    found = {x for x, t in template.items() if len(spread[t]) >= 10}
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        lost = sum(len(parsed[x]) for x in lines if x in found)
+        stays = text is None or not lost or (max_share is not None and lost > max_share * len(words(text)))
+        out.append((i, text if stays else "\n".join(x for x in lines if x not in found)))
+    return out
+
+
+@pytest.mark.parametrize("max_share", [None, 0.5])
+def test_line_templates_by_brute_force(spark, texts, max_share):
     rng = random.Random(5)
-    prose = lambda n: " ".join(rng.choice("kilo lima mike nova oscar papa quad".split()) + str(rng.random())[2:8].translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n))
+    prose = lambda n: " ".join(rng.choice("kilo lima mike nova oscar papa quad".split()) + rng.choice("abcdefgh") for _ in range(n))
     rows = [(i, f"{prose(30)}\nContact agent {i} about license {i * 7} of this page today\n{prose(30)}") for i in range(30)]
+    rows += [(i, f"Posted by user{i % 12} on  day {i % 9}\n\nPosted by\tuser{i % 12} on day {i % 9}\n{prose(6)}") for i in range(40, 90)]
     copy = f"{prose(12)}\n{prose(12)}"
-    rows += [(100 + i, copy) for i in range(30)]
-    got = {r.doc_id: r for r in line_dedup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'l' AS line", "1 AS template")).collect()}
-    for i, text in rows:
-        if i < 100:
-            assert got[i].text == "\n".join(x for x in text.split("\n") if "Contact" not in x) and got[i]["__dropped"] == 1
-        else:
-            assert got[i].text == copy and got[i]["__dropped"] == 0
+    rows += [(100 + i, copy) for i in range(30)] + [(None, copy), (None, copy), (None, None), (7, ""), (7, "a b c d"), *rows[:3]]
+    # A spelling that is frequent and one that is rare make one template.
+    rows += [(200 + i, "all of this line is fixed") for i in range(12)] + [(300, "all of this  line is fixed")]
+    # Nine documents are too few, however often the line stands in them.
+    rows += [(400 + i, "nine of them have this line\n" * 3) for i in range(9)]
+    for own in (rows, list(texts.items())):
+        df = spark.createDataFrame(own, "doc_id long, text string").selectExpr("*", "'l' AS line", "1 AS template", "2 AS at", "3 AS d1", "4 AS h1", "5 AS leaf1")
+        got = [(r.doc_id, r.text) for r in line_dedup.drop_templates(df, max_share=max_share).collect()]
+        want = brute_lines(own, max_share)
+        assert Counter(got) == Counter(want) and want != own
+    if max_share is None:
+        assert (100, "") in brute_lines(rows)
+    else:
+        assert (100, copy) in brute_lines(rows, max_share)
 
 
 def test_block_naming_of_long_texts(spark):
