@@ -20,6 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Near copies: words in a shingle and percent of Jaccard similarity.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: A document that would lose more than this share of its words to line dedup is a copy.
+MOSTLY = 0.5
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,12 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop recurring lines from the texts; every document stays, ``n_chars`` follows its text."""
-    done = line_dedup.drop_templates(docs)
+    """Drop recurring lines from the texts; every document stays, ``n_chars`` follows its text.
+
+    A document mostly made of recurring lines is a copy; it stays whole for the next stage, which
+    keeps one of each group of copies.
+    """
+    done = line_dedup.drop_templates(docs, max_share=MOSTLY)
     changed = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", changed).select(*docs.columns)
 
