@@ -15,8 +15,12 @@ so a shared passage brings candidates only where hardly anything else is in a te
   original is among its edited copies, against the others. Pairs are expanded to class
   representatives, filtered by sketches and verified on the texts; the links give components.
 - Then the pairs of a list are formed between different components only, expanded to all member
-  classes, and verified too. Pairs inside a component can no longer change the result. So a group
-  of near copies costs a star, not its square, and no link between different texts is lost.
+  classes in blocks inside a task, filtered by the classes' own sketches, and verified too. Pairs
+  inside a component can no longer change the result. So a group of near copies costs a star, not
+  its square, and no link between different texts is lost.
+
+Classes are known by 128-bit keys. Groups have 64-bit keys, under which two groups would only be
+compared together.
 """
 
 from __future__ import annotations
@@ -35,14 +39,14 @@ from evistrata.llm._tasks import column, concat_ranges, key_chunks, record
 from evistrata.llm._words import gram_hashes, hashed, mixed, slices, split_words
 from evistrata.operators.graph import connected_components
 
-#: Bits that mark, by hash, shingles of two documents or more (16 MB, sent to every task).
-SHARED_BITS = 27
+#: Shingles of two documents or more are marked, by hash, in SHARED_LOAD bits each, between these powers of two in all (128 MB at most, sent to every executor).
+SHARED_LOAD, SHARED_BITS = 16, (16, 30)
 #: A shingle in so many documents is common and comes last in the order.
 COMMON_DOCS = 50
-#: At most so many common shingles are told apart (8 bytes each, sent to every task); the rest only cost time.
+#: At most so many common shingles are told apart (8 bytes each, sent to every executor); the rest only cost time.
 COMMON_MAX = 1_000_000
-#: Class keys joined by broadcast up to this many (8 bytes each); beyond, by sort-merge join.
-BROADCAST_ROWS = 1_000_000
+#: Member classes of a group that are compared at once.
+BLOCK = 128
 #: Bits of a parity sketch.
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
@@ -76,10 +80,15 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))]).astype(np.int64), hashes
 
 
-def set_keys(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set."""
-    of = xxhash.xxh3_64_intdigest
-    return np.fromiter((of(hashes[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])), np.uint64, len(offsets) - 1)
+def set_keys(offsets: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """A 128-bit key of each set."""
+    of = xxhash.xxh3_128_digest
+    return pa.array([of(hashes[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+
+
+def _firsts(keys: pa.Array) -> np.ndarray:
+    """The place of each distinct key's first row."""
+    return np.unique(pc.dictionary_encode(keys).indices.to_numpy(zero_copy_only=False), return_index=True)[1]
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -93,7 +102,7 @@ def _document_frequencies(words: int, percent: int):
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 offsets, hashes = shingle_sets(batch.column("text").slice(a, b - a), words)
-                first = np.unique(set_keys(offsets, hashes), return_index=True)[1]
+                first = _firsts(set_keys(offsets, hashes))
                 n = np.diff(offsets)[first]
                 shingle, count = np.unique(hashes[concat_ranges(offsets[first], np.minimum(n, 2 * prefix_length(n, percent)))], return_counts=True)
                 yield record(shingle=shingle.view(np.int64), n=count)
@@ -103,7 +112,7 @@ def _document_frequencies(words: int, percent: int):
 
 def _levels(hashes: np.ndarray, shared: np.ndarray, common: np.ndarray) -> np.ndarray:
     """0 for shingles of one document as far as counted, 1 for those of a few, 2 for common ones."""
-    at = hashes & np.uint64((1 << SHARED_BITS) - 1)
+    at = hashes & np.uint64(64 * len(shared) - 1)
     level = (shared[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.int8)
     if len(common):
         place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
@@ -125,7 +134,7 @@ def _prefixes(words: int, percent: int, marks):
                 order = np.lexsort((level, doc))  # stable: by hash within a kind
                 ordered = hashes[order]
                 first = np.zeros(len(n), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
+                first[_firsts(keys)] = True
                 first &= n > 0
                 sizes = np.where(first, prefix_length(n, percent), 0)
                 flat = ordered[concat_ranges(offsets[:-1], sizes)].view(np.int64)
@@ -134,7 +143,7 @@ def _prefixes(words: int, percent: int, marks):
                 parity = np.packbits((places & 1).astype(np.uint8)).view(np.int64).reshape(len(n), SKETCH_WORDS)[first]
                 ends = np.concatenate([[0], np.cumsum(first) * SKETCH_WORDS]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(parity.ravel()))
-                yield record(doc_id=batch.column("doc_id").slice(a, b - a), n=n, class_key=keys.view(np.int64), is_first=first, prefix=lists, sketch=sketch)
+                yield record(doc_id=batch.column("doc_id").slice(a, b - a), text_key=batch.column("text_key").slice(a, b - a), n=n, class_key=keys, is_first=first, prefix=lists, sketch=sketch)
 
     return rows
 
@@ -217,7 +226,7 @@ def _open_pairs(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_chunks(batches, 200_000):
             shingle, group, n, pos, label = (column(table, c) for c in ("shingle", "a", "n", "pos", "label"))
-            mixed_group = column(table, "mixed").astype(bool)
+            mixed_group = table["mixed"].to_numpy().astype(bool)
             sketches = _sketches(table["sketch"])
             begin = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             differs = np.append(False, (label[1:] != label[:-1]) & (shingle[1:] == shingle[:-1])) | mixed_group
@@ -248,6 +257,39 @@ def _open_pairs(percent: int):
     return rows
 
 
+def _expanded(percent: int):
+    """Of blocks of two groups' members: class pairs of different components whose sizes and sketches leave room for a link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            classes = [batch.column(f"classes_{x}") for x in "ab"]
+            sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in classes]
+            begins = [np.cumsum(x) - x for x in sizes]
+            flat = [x.flatten() for x in classes]
+            labels = [batch.column(f"labels_{x}").flatten() for x in "ab"]
+            coded = pc.dictionary_encode(pa.concat_arrays(labels)).indices.to_numpy(zero_copy_only=False)
+            label = coded[: len(labels[0])], coded[len(labels[0]) :]
+            sketches = [batch.column(f"sketches_{x}").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS) for x in "ab"]
+            n = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
+            count = np.where(100 * np.minimum(*n) >= percent * np.maximum(*n), sizes[0] * sizes[1], 0)
+            ends = np.cumsum(count)
+            at = 0
+            while at < len(count):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + 500_000, "right")))
+                row = np.repeat(np.arange(at, to), count[at:to])
+                k = concat_ranges(np.zeros(to - at, np.int64), count[at:to])
+                i, j = begins[0][row] + k // sizes[1][row], begins[1][row] + k % sizes[1][row]
+                good = label[0][i] != label[1][j]
+                i, j, row = i[good], j[good], row[good]
+                good = _alike(sketches[0][i], sketches[1][j], n[0][row] + n[1][row], percent)
+                yield record(class_a=flat[0].take(pa.array(i[good])), class_b=flat[1].take(pa.array(j[good])))
+                at = to
+
+    return rows
+
+
 def _sketch_filter(percent: int):
     """Class pairs whose sketches leave room for a link."""
 
@@ -257,7 +299,7 @@ def _sketch_filter(percent: int):
                 continue
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             keep = _alike(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), total, percent)
-            yield batch.select(["class_a", "class_b", "doc_a", "doc_b"]).filter(pa.array(keep))
+            yield batch.select(["class_a", "class_b"]).filter(pa.array(keep))
 
     return rows
 
@@ -270,82 +312,87 @@ def _verified(words: int, percent: int):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 sets = [shingle_sets(part.column(c), words) for c in ("text_a", "text_b")]
-                keys = [set_keys(*x).view(np.int64) for x in sets]
                 keep = np.zeros(part.num_rows, bool)
                 for k in range(part.num_rows):
                     one, two = (h[o[k] : o[k + 1]] for o, h in sets)
                     shared = len(np.intersect1d(one, two, assume_unique=True))
                     keep[k] = 100 * shared >= percent * (len(one) + len(two) - shared)
-                # Rows repeated with an id may have another text than the class.
-                keep &= (keys[0] == part.column("class_a").to_numpy()) & (keys[1] == part.column("class_b").to_numpy())
                 yield part.select(["class_a", "class_b"]).filter(pa.array(keep))
 
     return rows
 
 
-PAIR = "shingle long, a long, b long, n long, pos long, is_pair boolean, sketch array<long>"
+POSTING = "shingle long, a long, b long, n long, pos long, is_pair boolean, sketch array<long>"
+LINK = "class_a binary, class_b binary"
 
 
 class _Join:
-    """The tables of one join."""
+    """The tables of one join over (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
         self.words, self.percent = words, percent
-        self.docs = docs
-        texts = docs.select("text")
-        counted = texts.mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+        self.docs = docs.withColumn("text_key", F.xxhash64("text"))
+        spark = docs.sparkSession
+        counted = docs.select("text").mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = materialise(counted, "shingles-shared")
-        at = F.col("shingle").bitwiseAND((1 << SHARED_BITS) - 1)
-        bits = counted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits")).toArrow()  # at most 2 ** (SHARED_BITS - 6) rows of 16 bytes
-        shared = np.zeros(1 << (SHARED_BITS - 6), np.uint64)
+        size = min(max(SHARED_BITS[0], int(SHARED_LOAD * counted.count()).bit_length()), SHARED_BITS[1])
+        at = F.col("shingle").bitwiseAND((1 << size) - 1)
+        bits = counted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits")).toArrow()  # at most 2 ** (size - 6) rows of 16 bytes
+        shared = np.zeros(1 << (size - 6), np.uint64)
         shared[column(bits, "word")] = column(bits, "bits").view(np.uint64)
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
         common = np.sort(column(frequent, "shingle").view(np.uint64))
-        marks = docs.sparkSession.sparkContext.broadcast((shared, common))
-        self.facts = materialise(docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, n long, class_key long, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
-        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        marks = spark.sparkContext.broadcast((shared, common))
+        self.facts = materialise(self.docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, text_key long, n long, class_key binary, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
+        marks.unpersist()
+        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("text_of"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         self.classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
         self.members = self.classes.drop("prefix")
         bits = [F.bit_and(F.col("sketch")[i]) for i in range(SKETCH_WORDS)]
         same = [F.bitwise_not(F.bit_and(F.col("sketch")[i]).bitwiseXOR(F.bit_or(F.col("sketch")[i]))) for i in range(SKETCH_WORDS)]
-        groups = self.classes.groupBy("group_key", "n").agg(F.min_by("prefix", "class_key").alias("prefix"), F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
+        groups = self.classes.groupBy("group_key", "prefix", "n").agg(F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
         self.groups = materialise(groups, "shingle-groups")
         postings = self.groups.select("n", "sketch", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos", "sketch")
-        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(_lists(percent), PAIR), "shingle-lists")
+        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(_lists(percent), POSTING), "shingle-lists")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of class pairs (class_a, class_b) those that verify on the texts."""
-        side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("doc_id", "doc"), ("sketch", "sketch"))])
-        full = pairs.distinct().join(side("a"), "class_a").join(side("b"), "class_b")
-        kept = materialise(full.mapInArrow(_sketch_filter(self.percent), "class_a long, class_b long, doc_a long, doc_b long"), "pairs-filtered")
-        wanted = kept.select(F.col("class_a").alias("class_key"), F.col("doc_a").alias("w_doc")).unionByName(kept.select(F.col("class_b").alias("class_key"), F.col("doc_b").alias("w_doc"))).distinct()
+        side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("sketch", "sketch"))])
+        full = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct().join(side("a"), "class_a").join(side("b"), "class_b")
+        kept = materialise(full.mapInArrow(_sketch_filter(self.percent), LINK), "pairs-filtered")
+        used = kept.select(F.col("class_a").alias("class_key")).unionByName(kept.select(F.col("class_b").alias("class_key"))).distinct()
+        wanted = self.members.join(used, "class_key", "left_semi").select("class_key", F.col("text_of.doc_id").alias("w_doc"), F.col("text_of.text_key").alias("w_key"))
         wanted = materialise(wanted, "pairs-classes")
-        small = wanted.count() <= BROADCAST_ROWS
-        texts = self.docs.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("class_key", "text")
+        # Repeated rows have one text.
+        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).groupBy("class_key").agg(F.first("text").alias("text"))
         texts = materialise(texts, "pairs-texts")
         of = lambda x: texts.select(F.col("class_key").alias(f"class_{x}"), F.col("text").alias(f"text_{x}"))
-        both = kept.select("class_a", "class_b").join(of("a"), "class_a").join(of("b"), "class_b")
-        return materialise(both.mapInArrow(_verified(self.words, self.percent), "class_a long, class_b long").distinct(), "links")
+        both = kept.join(of("a"), "class_a").join(of("b"), "class_b")
+        return materialise(both.mapInArrow(_verified(self.words, self.percent), LINK), "links")
 
-    def links(self) -> DataFrame:
+    def components(self) -> DataFrame:
+        """(class_key, label): equal labels where links reach."""
         lead = lambda x: self.groups.select(F.col("group_key").alias(x), F.col("lead").alias(f"class_{x}"))
         stars = self.lists.filter("is_pair").select("a", "b").distinct().join(lead("a"), "a").join(lead("b"), "b").select("class_a", "class_b")
         within = self.members.join(self.groups.filter("size > 1").select("group_key", F.col("lead").alias("class_a")), "group_key").filter("class_key <> class_a").select("class_a", F.col("class_key").alias("class_b"))
-        first = self._links(stars.unionByName(within))
-        found = connected_components(first, "class_a", "class_b")
+        found = connected_components(self._links(stars.unionByName(within)), "class_a", "class_b")
         labels = self.members.join(found, F.col("class_key") == F.col("node"), "left").select("group_key", "class_key", "n", "sketch", F.coalesce("component", "class_key").alias("label"))
         labels = materialise(labels, "labels")
-        of_group = materialise(labels.groupBy("group_key").agg(F.min("label").alias("label"), (F.min("label") < F.max("label")).alias("mixed")), "group-labels")
-        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group, F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", "label", "mixed")
-        pairs = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_pairs(self.percent), PAIR).select("a", "b").distinct()
-        side = lambda x: labels.select(F.col("group_key").alias(x), F.col("class_key").alias(f"class_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-        differ = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS))
-        may = (F.col("label_a") != F.col("label_b")) & (differ * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent))
-        across = pairs.withColumnRenamed("b", "to").join(side("a"), "a").join(side("b"), (F.col("to") == F.col("b")) & may).select("class_a", "class_b")
-        split = of_group.filter("mixed").select(F.col("group_key").alias("a"))
-        inside = split.join(side("a"), "a").join(side("b"), (F.col("a") == F.col("b")) & F.expr("class_a < class_b") & may).select("class_a", "class_b")
-        second = self._links(across.unionByName(inside))
-        return first.unionByName(second)
+        of_group = materialise(labels.groupBy("group_key").agg(F.min("label").alias("label"), (F.min("label") < F.max("label")).alias("mixed"), F.count("*").alias("size")), "group-labels")
+        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group.drop("size"), F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", F.xxhash64("label").alias("label"), "mixed")
+        across = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_pairs(self.percent), POSTING).select("a", "b").distinct()
+        inside = of_group.filter("mixed").select(F.col("group_key").alias("a"), F.col("group_key").alias("b"))
+        pairs = materialise(across.unionByName(inside), "open-groups")
+        open_groups = pairs.select(F.col("a").alias("group_key")).unionByName(pairs.select(F.col("b").alias("group_key"))).distinct().join(of_group.select("group_key", "size"), "group_key")
+        block = F.pmod(F.xxhash64("class_key"), F.ceil(F.col("size") / BLOCK))
+        blocks = labels.join(open_groups, "group_key").groupBy("group_key", "n", block.alias("block")).agg(F.collect_list(F.struct("class_key", "label", "sketch")).alias("m"))
+        blocks = materialise(blocks.select("group_key", "n", F.col("m.class_key").alias("classes"), F.col("m.label").alias("labels"), F.flatten("m.sketch").alias("sketches")), "open-members")
+        side = lambda x: blocks.select(F.col("group_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "classes", "labels", "sketches")])
+        more = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_expanded(self.percent), LINK)
+        of = lambda x: labels.select(F.col("class_key").alias(f"class_{x}"), F.col("label").alias(f"label_{x}"))
+        joined = self._links(more).join(of("a"), "class_a").join(of("b"), "class_b").select("label_a", "label_b").distinct()
+        merged = connected_components(materialise(joined, "label-links"), "label_a", "label_b")
+        return labels.join(merged, F.col("label") == F.col("node"), "left").select("class_key", F.coalesce("component", "label").alias("label"))
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,10 +405,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     join = _Join(whole, words, percent)
-    links = join.links()
-    found = connected_components(links, "class_a", "class_b")
-    classes = join.members.join(found, F.col("class_key") == F.col("node"), "left").select("class_key", F.coalesce("component", "class_key").alias("label"))
-    classes = materialise(classes, "class-components")
+    classes = materialise(join.components(), "class-components")
     smallest = join.facts.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("low")).join(classes, "class_key").groupBy("label").agg(F.min("low").alias("component_id"))
     per_class = materialise(classes.join(smallest, "label").select(F.col("class_key").alias("c_key"), "component_id"), "components")
     joined = join.facts.select("doc_id", "n", "class_key").join(per_class, (F.col("class_key") == F.col("c_key")) & (F.col("n") > 0), "left")
