@@ -91,7 +91,7 @@ def test_chunk_encoder_on_odd_spaces():
 def brute_components(texts, k, percent):
     sets = {}
     for d, text in texts.items():
-        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     parent = {d: d for d in sets}
 
@@ -110,6 +110,18 @@ def brute_components(texts, k, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
+def test_components_under_shared_ids(spark):
+    rows = repeated_rows()
+    found = brute_components(dict(enumerate(t for _, t in rows)), 3, 90)
+    low = {}
+    for i, (n, c) in found.items():
+        if rows[i][0] is not None:
+            low[c] = min(low.get(c, rows[i][0]), rows[i][0])
+    want = Counter((d, found[i][0], low.get(found[i][1]) if found[i][0] else d) for i, (d, _) in enumerate(rows))
+    got = Counter(tuple(r) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == want
+
+
 def near_copies(seed, n=120):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(60)]
@@ -131,9 +143,10 @@ def test_components(spark, docs, texts, k, percent, monkeypatch):
         assert got == brute_components(own, k, percent)
 
 
-def brute_repeats(texts, window):
+def brute_repeats(ordered, window):
+    """Words, removed words and digest of each distinct (doc_id, text), in the order given."""
     seen, out = set(), {}
-    for d, text in sorted(texts.items()):
+    for d, text in ordered:
         w = words(text)
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
@@ -141,17 +154,41 @@ def brute_repeats(texts, window):
             if key in seen:
                 gone[i : i + window] = [True] * window
             seen.add(key)
-        out[d] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
+        out[d, text] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("window", [20, 7])
-def test_substring_repeats(spark, docs, texts, window):
+@pytest.mark.parametrize(("window", "hot_runs"), [(20, 200_000), (7, 200_000), (7, 3), (20, 1)])
+def test_substring_repeats(spark, docs, texts, window, hot_runs):
     rng = random.Random(7)
     made = {i: " ".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for i in range(80)}
     for own, df in ((texts, docs), (made, spark.createDataFrame(list(made.items()), "doc_id long, text string"))):
-        got = {r[0]: tuple(r[1:]) for r in substring_dedup.remove_repeats(df, window).collect()}
-        assert got == brute_repeats(own, window)
+        got = {r[0]: tuple(r[1:]) for r in substring_dedup.remove_repeats(df, window, hot_runs=hot_runs).collect()}
+        assert got == {d: x for (d, _), x in brute_repeats(sorted(own.items()), window).items()}
+
+
+def repeated_rows(seed=13):
+    """Rows repeated with their id, 2,000 without one, one id with many texts, and a passage in every text."""
+    rng = random.Random(seed)
+    prose = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    passage = prose(30)
+    rows = [(i % 40, f"{prose(rng.randint(0, 20))} {passage} {prose(9)}") for i in range(60)]
+    rows += [(None, f"{prose(3)} {passage}" if i % 2 else f"{prose(40)} {prose(3)} {prose(40)}") for i in range(1000)]
+    twice = prose(40)
+    rows += [(None, f"{twice} {twice}")] * 1000
+    rows += [(50, f"{passage} {prose(rng.randint(1, 30))}") for _ in range(300)] + [(51, None), (51, ""), (52, "short")]
+    return rows + rows[:30] + [(1, rows[0][1])]
+
+
+@pytest.mark.parametrize("hot_runs", [200_000, 50])
+def test_substring_repeats_under_shared_ids(spark, hot_runs):
+    rows = repeated_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = df.selectExpr("doc_id", "coalesce(text, '') AS text").distinct().selectExpr("doc_id", "text", "xxhash64(text) AS a", "xxhash64(1, text) AS b").collect()
+    placed.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.a, r.b))
+    want = brute_repeats([(r.doc_id, r.text) for r in placed], 20)
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(df, hot_runs=hot_runs).collect())
+    assert got == Counter((d, *want[d, t or ""]) for d, t in rows)
 
 
 def test_media_round_trip(docs, texts):
