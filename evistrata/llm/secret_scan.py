@@ -1,16 +1,21 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that adds spans.
 
 The field tags a line's tokens (words between white space) as secret begin, inside or outside. Its
-features are a token's shape, length and digits, the shapes and keywords of both neighbours, and
-the file's length and share of tokens with digits. It is trained here by gradient ascent on the
-likelihood, on lines around the base patterns' own matches and on lines without any; tags are
-decoded by Viterbi. A line is one sequence, whatever its length.
+features are a token's shape, size, digits and mixture of characters, the shapes and keywords of
+both neighbours, and the file's length and share of tokens with digits. It is trained here by
+gradient ascent on the likelihood; tags are decoded by Viterbi. A line is one sequence.
+
+The base patterns label the lines to learn from. Besides its own form, a labelled line is also
+learned with another keyword, with none, and with a secret of another alphabet or case, so that
+shape and neighbours must carry what the patterns do not know.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.llm._shared import text_or_empty
+from evistrata.llm._shared import materialise, text_or_empty
+from evistrata.llm._tasks import concat_ranges, record
 from evistrata.llm._words import slices, split_words
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -32,13 +38,19 @@ HEX = re.compile(r"[0-9a-f]+")
 MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Labelled texts to train on: so many with a base match and so many without, of up to TRAIN_CHARS characters.
-TRAIN_TEXTS, TRAIN_CHARS = 1500, 20_000
-EPOCHS = 40
+#: Distinct texts to train on: so many with a base match and so many without, of up to TRAIN_CHARS characters.
+TRAIN_TEXTS, TRAIN_CHARS = 1000, 20_000
+#: Of a text without a match, and of the lines far from one, every LINE_STEP-th line is learned, in pieces of PIECE tokens.
+LINE_STEP, PIECE = 5, 100
+#: Further forms that each line with a match is learned in.
+FORMS = 4
+EPOCHS, BATCHES, RATE, DECAY = 12, 20, 0.05, 1e-3
 BITS = 14
-FEATURES = 12  # of a token: six of its own, two of each neighbour, two of the file
+OWN, FEATURES = 8, 14  # features of a token: its own, two of each neighbour, two of the file
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "access", "credential", "auth", "bearer", "pwd", "login", "private")
+KEYWORDS = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "key", "access", "credential", "auth", "bearer", "pwd", "login", "private")
+#: Characters of the secrets in other forms.
+ALPHABETS = (*(string.digits + x for x in ("abcdef", "ABCDEF", string.ascii_letters, string.ascii_uppercase, string.ascii_lowercase, string.ascii_letters + "+/", string.ascii_letters + "_-")), string.ascii_letters)
 _word = re.compile(r"[^ \t-\r]+")
 
 
@@ -72,13 +84,18 @@ def _keyword(token: str) -> str:
 
 def token_features(token: str) -> tuple[list[int], list[int], list[int]]:
     """Hashed features a token gives to itself, to the token behind it and to the one before it."""
-    shape, word, size = _shape(token), _keyword(token), min(len(token) // 4, 10)
-    digits = sum(c.isdigit() for c in token) * 5 // max(1, len(token))
-    kinds = sum(any(f(c) for c in token) for f in (str.isupper, str.islower, str.isdigit))
+    shape, word = _shape(token), _keyword(token)
+    core = token.strip("\"'`,.;:()[]{}<>#*%&$")
+    kinds = "".join(x for x, f in (("A", str.isupper), ("a", str.islower), ("0", str.isdigit)) if any(map(f, core)))
+    size = min(len(core) // 4, 10)
+    digits = sum(c.isdigit() for c in core) * 5 // max(1, len(core))
+    classes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" for c in core[:64]]
+    turns = min(sum(x != y for x, y in zip(classes, classes[1:])) * 8 // max(1, len(classes)), 6)
+    hexadecimal = int(bool(core) and all(c in "0123456789abcdefABCDEF" for c in core))
+    distinct = min(len(set(core)) // 4, 6)
     last = token[-1:] if not token[-1:].isalnum() else "x"
-    distinct = min(len(set(token)) // 4, 6)
-    own = [f"s{shape}", f"z{size}/{kinds}", f"d{digits}/{size}", f"k{word}/{last}", f"u{distinct}/{kinds}", "b"]
-    return [_hash(x) for x in own], [_hash(f"<{x}") for x in (f"s{shape[-3:]}", f"k{word}/{last}")], [_hash(f">{x}") for x in (f"s{shape[:3]}", f"k{word}")]
+    own = [f"s{shape[:6]}", f"z{size}/{kinds}", f"d{digits}/{size}", f"k{word}/{last}", f"u{distinct}/{kinds}", f"t{turns}/{size}/{kinds}", f"h{hexadecimal}/{size}/{digits > 0}", "b"]
+    return [_hash(x) for x in own], [_hash(f"<{x}") for x in (f"s{shape[-3:]}", f"k{word}/{last}")], [_hash(f">{x}") for x in (f"z{size}/{kinds}", f"k{word}")]
 
 
 def file_features(n_tokens: int, with_digits: int) -> list[int]:
@@ -126,97 +143,175 @@ def viterbi(emission: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> np.
     return tags
 
 
-def fit(features: np.ndarray, tags: np.ndarray, offsets: np.ndarray) -> Field:
-    """Maximise the conditional likelihood by AdaGrad; ``features`` has a row of hashed ids a token."""
-    weights, pairs = np.zeros((1 << BITS, 3)), np.zeros((3, 3))
-    pairs[OUTSIDE, INSIDE] = -1e9
-    sum_w, sum_p = np.full_like(weights, 1e-8), np.full((3, 3), 1e-8)
-    order, running = _layout(np.diff(offsets))
-    starts = offsets[:-1][order]
-    n = len(tags)
+def _gradients(field: Field, features: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the log likelihood, by forward and backward passes over all sequences at once."""
+    pairs, n = field.pairs, len(tags)
+    order, running = _layout(lengths)
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[order]
     inner = np.ones(n, bool)
-    inner[offsets[:-1][np.diff(offsets) > 0]] = False
-    real_pairs = np.zeros((3, 3))
-    np.add.at(real_pairs, (tags[np.flatnonzero(inner) - 1], tags[inner]), 1)
-    observed = np.zeros((n, 3))
-    observed[np.arange(n), tags] = 1
-    for _ in range(EPOCHS if n else 0):
-        emission = weights[features].sum(axis=1)
-        forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
-        for t, k in enumerate(running):
-            at = starts[:k] + t
-            if t == 0:
-                forward[at] = emission[at] + np.array([0.0, 0.0, -1e9])
-            else:
-                x = forward[at - 1][:, :, None] + pairs[None]
-                top = x.max(axis=1)
-                forward[at] = top + np.log(np.exp(x - top[:, None]).sum(axis=1)) + emission[at]
-        for t in range(len(running) - 2, -1, -1):
-            at = starts[: running[t + 1]] + t
-            x = pairs[None] + (emission[at + 1] + backward[at + 1])[:, None, :]
-            top = x.max(axis=2)
-            backward[at] = top + np.log(np.exp(x - top[:, :, None]).sum(axis=2))
-        both = forward + backward
-        top = both.max(axis=1, keepdims=True)
-        total = top + np.log(np.exp(both - top).sum(axis=1, keepdims=True))
-        error = observed - np.exp(both - total)
-        grad = np.zeros_like(weights)
-        for j in range(features.shape[1]):
-            np.add.at(grad, features[:, j], error)
-        grad -= 0.1 * weights
-        at = np.flatnonzero(inner)
-        joint = np.exp(forward[at - 1][:, :, None] + pairs[None] + (emission[at] + backward[at])[:, None, :] - total[at][:, :, None])
-        grad_p = real_pairs - joint.sum(axis=0)
-        sum_w += grad**2
-        sum_p += grad_p**2
-        weights += 0.5 * grad / np.sqrt(sum_w)
-        pairs += 0.5 * grad_p / np.sqrt(sum_p)
-        pairs[OUTSIDE, INSIDE] = -1e9
-    return Field(weights, pairs)
-
-
-def _labelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, tags and sequence offsets of whole texts, tagged by the base patterns' matches."""
-    rows, tags, lengths = [], [], []
-    for text in texts:
-        spans, tokens = base_spans(text), [(m[0], m.start(), m.end()) for m in _word.finditer(text)]
-        of_file = file_features(len(tokens), sum(any(c.isdigit() for c in t) for t, _, _ in tokens))
-        breaks = [i for i, c in enumerate(text) if c == "\n"]
-        line = np.searchsorted(breaks, [a for _, a, _ in tokens]) if tokens else np.zeros(0, int)
-        own = [token_features(t) for t, _, _ in tokens]
-        held, k = -1, 0
-        tagged = []
-        for t, a, b in tokens:
-            while k < len(spans) and spans[k][2] <= a:
-                k += 1
-            inside = next((i for i in range(k, len(spans)) if spans[i][1] < b and spans[i][2] > a), -1)
-            tagged.append(OUTSIDE if inside < 0 else INSIDE if inside == held else BEGIN)
-            held = inside
-        for at in range(len(tokens)):
-            fresh = at == 0 or line[at] != line[at - 1]
-            if fresh:
-                lengths.append(0)
-                tagged[at] = BEGIN if tagged[at] == INSIDE else tagged[at]
-            none = [_hash("none")] * 2
-            rows.append(own[at][0] + (none if fresh else own[at - 1][1]) + (own[at + 1][2] if at + 1 < len(tokens) and line[at + 1] == line[at] else none) + of_file)
-            lengths[-1] += 1
-        tags += tagged
-    return np.array(rows, np.int64).reshape(len(tags), FEATURES), np.array(tags, np.int64), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    inner[ends - lengths] = False
+    emission = field.weights[features].sum(axis=1)
+    forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
+    for t, k in enumerate(running):
+        at = starts[:k] + t
+        forward[at] = emission[at] + (np.array([0.0, 0.0, -1e9]) if t == 0 else np.logaddexp.reduce(forward[at - 1][:, :, None] + pairs[None], axis=1))
+    for t in range(len(running) - 2, -1, -1):
+        at = starts[: running[t + 1]] + t
+        backward[at] = np.logaddexp.reduce(pairs[None] + (emission[at + 1] + backward[at + 1])[:, None, :], axis=2)
+    both = forward + backward
+    total = np.logaddexp.reduce(both, axis=1)[:, None]
+    error = -np.exp(both - total)
+    error[np.arange(n), tags] += 1
+    flat = features.ravel()
+    size = len(field.weights)
+    grad = np.stack([np.bincount(flat, np.repeat(error[:, k], features.shape[1]), size) for k in range(3)], axis=1)
+    at = np.flatnonzero(inner)
+    joint = np.exp(forward[at - 1][:, :, None] + pairs[None] + (emission[at] + backward[at])[:, None, :] - total[at][:, :, None])
+    real = np.bincount(tags[at - 1] * 3 + tags[at], minlength=9).reshape(3, 3)
+    return grad, real - joint.sum(axis=0)
+
+
+def fit(features: np.ndarray, tags: np.ndarray, offsets: np.ndarray) -> Field:
+    """Maximise the conditional likelihood by steps on batches; ``features`` has a row of hashed ids a token.
+
+    Steps are those of Adam on gradients a token, so weights and tag pairs move alike.
+    """
+    field = Field(np.zeros((1 << BITS, 3)), np.zeros((3, 3)))
+    field.pairs[OUTSIDE, INSIDE] = -1e9
+    lengths = np.diff(offsets)
+    whole = np.flatnonzero(lengths)
+    rng = np.random.default_rng(0)
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (field.weights, field.pairs)]
+    step = 0
+    for epoch in range(EPOCHS if len(whole) else 0):
+        for batch in np.array_split(rng.permutation(whole), BATCHES):
+            if not len(batch):
+                continue
+            tokens = concat_ranges(offsets[batch], lengths[batch])
+            grads = _gradients(field, features[tokens], tags[tokens], lengths[batch])
+            step += 1
+            for x, g, (mean, square) in zip((field.weights, field.pairs), grads, moments):
+                g = g / len(tokens) - DECAY * np.where(x > -1e8, x, 0) / len(tags)
+                mean += 0.1 * (g - mean)
+                square += 0.01 * (g * g - square)
+                x += RATE * (1 - epoch / EPOCHS) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+            field.pairs[OUTSIDE, INSIDE] = -1e9
+    return field
+
+
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Base spans as disjoint intervals."""
+    out: list[list[int]] = []
+    for _, a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _another_form(line: str, spans: list[tuple[int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """A line with its secrets in other forms, or with a keyword and no secret, and the secrets' places."""
+    out, marks, at, size = [], [], 0, 0
+
+    def put(text: str) -> None:
+        nonlocal size
+        out.append(text)
+        size += len(text)
+
+    for a, b in spans:
+        put(line[at:a])
+        at = b + 1 if line[b : b + 1] in {'"', "'"} else b
+        form, quote = rng.randrange(6), rng.choice(['"', "'", ""])
+        alphabet = rng.choice(ALPHABETS)
+        secret = "".join(rng.choices(alphabet, k=rng.randint(12, 48)))
+        link = rng.choice([" = ", ": ", "=", ":", " "])
+        start = size
+        if form == 0:  # a keyword in prose
+            put(f"{rng.choice(KEYWORDS)} {rng.choice(['of', 'for', 'is', 'and', 'was', 'de', 'la', 'der'])}")
+            continue
+        if form < 3:
+            put(rng.choice(KEYWORDS) + rng.choice(["", "s", "_id"]) + link + quote + secret)
+        else:
+            put("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 8))) + link if form == 3 else "")
+            start = size
+            put(quote + secret)
+        marks.append((start, size))
+        put(quote)
+    put(line[at:])
+    return "".join(out), marks
+
+
+def _sequence(line: str, spans: list[tuple[int, int]], of_file: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Features and tags of a line's tokens."""
+    rows, tags, held = [], [], -1
+    found = [(m[0], m.start(), m.end()) for m in _word.finditer(line)]
+    own = [token_features(t) for t, _, _ in found]
+    none = [_hash("none")] * 2
+    for i, (_, a, b) in enumerate(found):
+        rows.append(own[i][0] + (own[i - 1][1] if i else none) + (own[i + 1][2] if i + 1 < len(own) else none) + of_file)
+        inside = next((k for k, (x, y) in enumerate(spans) if x < b and y > a), -1)
+        tags.append(OUTSIDE if inside < 0 else INSIDE if inside == held else BEGIN)
+        held = inside
+    return rows, tags
+
+
+def _text_features(text: str) -> list[int]:
+    tokens = _word.findall(text)
+    return file_features(len(tokens), sum(any("0" <= c <= "9" for c in t) for t in tokens))
+
+
+def _labelled(text: str) -> Iterator[tuple[list[list[int]], list[int]]]:
+    """Sequences to learn from in a text: lines near a match, in several forms where they have one, and every few others."""
+    of_file, lines = _text_features(text), text.split("\n")
+    spans = [_merged(base_spans(x)) for x in lines]
+    for i, line in enumerate(lines):
+        near = any(spans[max(0, i - 1) : i + 2])
+        if near or i % LINE_STEP == 0:
+            yield _sequence(line, spans[i], of_file)
+        if spans[i]:
+            rng = random.Random(xxhash.xxh3_64_intdigest(line))
+            for _ in range(FORMS):
+                yield _sequence(*_another_form(line, spans[i], rng), of_file)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place of each short text in the order of hashes, and whether it may have a base match."""
+    for batch in batches:
+        short = batch.filter(pc.less_equal(pc.utf8_length(batch.column("text")), TRAIN_CHARS))
+        yield record(place=short.column("place"), maybe=pc.match_substring_regex(short.column("text"), MAYBE))
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            pieces = [(rows[a : a + PIECE], tags[a : a + PIECE]) for rows, tags in _labelled(text) for a in range(0, len(tags), PIECE)]
+            yield record(features=pa.array([[x for row in rows for x in row] for rows, _ in pieces], pa.list_(pa.int32())), tags=pa.array([tags for _, tags in pieces], pa.list_(pa.int8())))
 
 
 def train(texts: DataFrame, text_col: str = "text") -> Field:
-    """Fit on a bounded sample: the texts first by hash, with and without a base match."""
-    rows = texts.select(F.col(text_col).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
-    maybe = F.col("text").rlike(MAYBE)
-    place = F.xxhash64("text")
-    sample = [r[0] for part in (rows.filter(maybe), rows.filter(~maybe)) for r in part.orderBy(place, "text").limit(TRAIN_TEXTS).collect()]
-    # Lines far from any match teach little: of a long text, those near a match and every fifth other.
-    short = []
-    for text in sample:
-        lines = text.split("\n")
-        hot = {j for i, x in enumerate(lines) if base_spans(x) for j in (i - 1, i, i + 1)}
-        short.append("\n".join(x for i, x in enumerate(lines) if i in hot or i % 5 == 0))
-    return fit(*_labelled(short))
+    """Fit on a bounded sample: the distinct texts first by hash, with and without a possible base match.
+
+    Tasks make the labelled sequences; the driver gets their features and tags, of 2 * TRAIN_TEXTS
+    texts at most. Null texts are not used; without any text every token is outside.
+    """
+    rows = texts.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("place")).filter(F.col("text").isNotNull())
+    marked = materialise(rows.mapInArrow(_marked, "place long, maybe boolean").distinct(), "secret-sample")
+    parts = []
+    for maybe in (True, False):
+        last = marked.filter(F.col("maybe") == maybe).orderBy("place").limit(TRAIN_TEXTS).agg(F.max("place")).first()[0]
+        if last is not None:
+            own = marked.filter((F.col("maybe") == maybe) & (F.col("place") <= last)).select("place")
+            parts.append(own)
+    if not parts:
+        return fit(np.zeros((0, FEATURES), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+    chosen = materialise(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "secret-chosen")
+    sample = rows.join(chosen, "place", "left_semi").filter(F.length("text") <= TRAIN_CHARS).groupBy("place").agg(F.first("text").alias("text"))
+    found = sample.orderBy("place").select("text").mapInArrow(_learned, "features array<int>, tags array<byte>").toArrow()
+    tags = pc.list_flatten(found["tags"]).to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(found["tags"]).to_numpy().astype(np.int64)
+    return fit(pc.list_flatten(found["features"]).to_numpy().astype(np.int64).reshape(-1, FEATURES), tags, np.concatenate([[0], np.cumsum(lengths)]))
 
 
 def _added(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -277,7 +372,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 doc_words = np.diff(offsets[in_doc])
                 coded = pc.dictionary_encode(words)
                 table = np.fromiter((x for t in coded.dictionary.to_pylist() for x in features(t)), np.int64, len(coded.dictionary) * (FEATURES - 2)).reshape(-1, FEATURES - 2)
-                own, behind, before = (sum(weights[table[:, j]] for j in columns) for columns in (range(6), (6, 7), (8, 9)))
+                own, behind, before = (sum(weights[table[:, j]] for j in columns) for columns in (range(OWN), (OWN, OWN + 1), (OWN + 2, OWN + 3)))
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 emission = own[codes]
                 begin = offsets[:-1][np.diff(offsets) > 0]
