@@ -37,12 +37,12 @@ def hashed(words: pa.Array) -> np.ndarray:
     return distinct[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of bounded size: ``SLICE_BYTES`` of text, or one longer text."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of bounded size: ``most`` bytes of text, or one longer text."""
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, size[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
         yield at, to
         at = to
 

@@ -30,8 +30,8 @@ from evistrata.llm._tasks import concat_ranges, record
 from evistrata.llm._words import slices
 
 SPACE = "▁"
-#: Chunks and pair verdicts kept by a worker, and characters in one suffix array; all bound its memory.
-MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHARS = 500_000, 300_000, 200_000
+#: Chunks and pair verdicts kept by a worker, characters in one suffix array, and bytes of text at once; all bound its memory.
+MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHARS, TEXT_BYTES = 250_000, 300_000, 200_000, 3_000_000
 
 _chunk = re.compile(" *[^ ]+| +")
 _codecs: dict[str, Codec] = {}
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 counts, ids = own.encode_array(pc.replace_substring(part.column(1), SPACE, " "))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -278,7 +278,7 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), TEXT_BYTES):
                 texts = pc.replace_substring(batch.column(1).slice(a, b - a), SPACE, " ")
                 counts, ids = own.encode_array(texts)
                 back = own.decode_array(counts, ids)
