@@ -39,8 +39,8 @@ from evistrata.llm._tasks import column, concat_ranges, key_chunks, record
 from evistrata.llm._words import gram_hashes, hashed, mixed, slices, split_words
 from evistrata.operators.graph import connected_components
 
-#: Shingles of two documents or more are marked, by hash, in SHARED_LOAD bits each, between these powers of two in all (128 MB at most, sent to every executor).
-SHARED_LOAD, SHARED_BITS = 16, (16, 30)
+#: Hashes in a bitmap have MARK_LOAD bits each, between these powers of two in all (128 MB at most, sent to every executor). A full one only costs time.
+MARK_LOAD, MARK_BITS = 16, (16, 30)
 #: A shingle in so many documents is common and comes last in the order.
 COMMON_DOCS = 50
 #: At most so many common shingles are told apart (8 bytes each, sent to every executor); the rest only cost time.
@@ -110,10 +110,34 @@ def _document_frequencies(words: int, percent: int):
     return rows
 
 
+def _bitmap(df: DataFrame, name: str) -> np.ndarray:
+    """A bit for each hash in a column of a written table."""
+    size = min(max(MARK_BITS[0], int(MARK_LOAD * df.count()).bit_length()), MARK_BITS[1])
+    word = F.shiftright(F.col(name).bitwiseAND((1 << size) - 1), 6)
+    bits = df.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 AS int))")).alias("bits")).toArrow()  # at most 2 ** (size - 6) rows of 16 bytes
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[column(bits, "word")] = column(bits, "bits").view(np.uint64)
+    return out
+
+
+def _marked(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _maybe_wanted(marks):
+    """Rows whose text's hash is marked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(batch.column("text_key").to_numpy().view(np.uint64), marks.value)))
+
+    return rows
+
+
 def _levels(hashes: np.ndarray, shared: np.ndarray, common: np.ndarray) -> np.ndarray:
     """0 for shingles of one document as far as counted, 1 for those of a few, 2 for common ones."""
-    at = hashes & np.uint64(64 * len(shared) - 1)
-    level = (shared[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.int8)
+    level = _marked(hashes, shared).astype(np.int8)
     if len(common):
         place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         level += common[place] == hashes
@@ -335,11 +359,7 @@ class _Join:
         spark = docs.sparkSession
         counted = docs.select("text").mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = materialise(counted, "shingles-shared")
-        size = min(max(SHARED_BITS[0], int(SHARED_LOAD * counted.count()).bit_length()), SHARED_BITS[1])
-        at = F.col("shingle").bitwiseAND((1 << size) - 1)
-        bits = counted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 AS int))")).alias("bits")).toArrow()  # at most 2 ** (size - 6) rows of 16 bytes
-        shared = np.zeros(1 << (size - 6), np.uint64)
-        shared[column(bits, "word")] = column(bits, "bits").view(np.uint64)
+        shared = _bitmap(counted, "shingle")
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
         common = np.sort(column(frequent, "shingle").view(np.uint64))
         marks = spark.sparkContext.broadcast((shared, common))
@@ -356,30 +376,35 @@ class _Join:
         self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(_lists(percent), POSTING), "shingle-lists")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
-        """Of class pairs (class_a, class_b) those that verify on the texts."""
-        side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("sketch", "sketch"))])
+        """Of class pairs (class_a, class_b) those that verify on the texts.
+
+        Both sides of these joins grow with the corpus, so they are merge joins at every size.
+        """
+        side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("sketch", "sketch"))]).hint("merge")
         full = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct().join(side("a"), "class_a").join(side("b"), "class_b")
         kept = materialise(full.mapInArrow(_sketch_filter(self.percent), LINK), "pairs-filtered")
         used = kept.select(F.col("class_a").alias("class_key")).unionByName(kept.select(F.col("class_b").alias("class_key"))).distinct()
         wanted = self.members.join(used, "class_key", "left_semi").select("class_key", F.col("text_of.doc_id").alias("w_doc"), F.col("text_of.text_key").alias("w_key"))
         wanted = materialise(wanted, "pairs-classes")
+        marks = self.docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "w_key"))
+        near = self.docs.select("doc_id", "text", "text_key").mapInArrow(_maybe_wanted(marks), "doc_id long, text string, text_key long")
         # Repeated rows have one text.
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).groupBy("class_key").agg(F.first("text").alias("text"))
+        texts = near.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).groupBy("class_key").agg(F.first("text").alias("text"))
         texts = materialise(texts, "pairs-texts")
-        of = lambda x: texts.select(F.col("class_key").alias(f"class_{x}"), F.col("text").alias(f"text_{x}"))
+        of = lambda x: texts.select(F.col("class_key").alias(f"class_{x}"), F.col("text").alias(f"text_{x}")).hint("merge")
         both = kept.join(of("a"), "class_a").join(of("b"), "class_b")
         return materialise(both.mapInArrow(_verified(self.words, self.percent), LINK), "links")
 
     def components(self) -> DataFrame:
         """(class_key, label): equal labels where links reach."""
-        lead = lambda x: self.groups.select(F.col("group_key").alias(x), F.col("lead").alias(f"class_{x}"))
+        lead = lambda x: self.groups.select(F.col("group_key").alias(x), F.col("lead").alias(f"class_{x}")).hint("merge")
         stars = self.lists.filter("is_pair").select("a", "b").distinct().join(lead("a"), "a").join(lead("b"), "b").select("class_a", "class_b")
         within = self.members.join(self.groups.filter("size > 1").select("group_key", F.col("lead").alias("class_a")), "group_key").filter("class_key <> class_a").select("class_a", F.col("class_key").alias("class_b"))
         found = connected_components(self._links(stars.unionByName(within)), "class_a", "class_b")
         labels = self.members.join(found, F.col("class_key") == F.col("node"), "left").select("group_key", "class_key", "n", "sketch", F.coalesce("component", "class_key").alias("label"))
         labels = materialise(labels, "labels")
         of_group = materialise(labels.groupBy("group_key").agg(F.min("label").alias("label"), (F.min("label") < F.max("label")).alias("mixed"), F.count("*").alias("size")), "group-labels")
-        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group.drop("size"), F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", F.xxhash64("label").alias("label"), "mixed")
+        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group.drop("size").hint("merge"), F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", F.xxhash64("label").alias("label"), "mixed")
         across = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_pairs(self.percent), POSTING).select("a", "b").distinct()
         inside = of_group.filter("mixed").select(F.col("group_key").alias("a"), F.col("group_key").alias("b"))
         pairs = materialise(across.unionByName(inside), "open-groups")
