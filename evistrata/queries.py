@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evistrata.plans import q_other, q_ranking, q_scoring, q_stats, q_tables
+from evistrata.plans import q_more, q_other, q_ranking, q_scoring, q_stats, q_tables
 from evistrata.plans.registry import QUERIES, SQL, Query
 
-MODULES = (q_ranking, q_scoring, q_stats, q_tables, q_other)
+MODULES = (q_ranking, q_scoring, q_stats, q_tables, q_other, q_more)
 
 
 def queries() -> dict[str, Query]:
