@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="evistrata-"))
-    return df.checkpoint()
+from evistrata.operators.written import checkpointed
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Null ends and self loops are dropped.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
-    links = _checkpointed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = checkpointed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(lowest, F.col("u") == F.col("m_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
         small = large.join(down, F.col("u") == F.col("m_u"))
-        links = _checkpointed(
+        links = checkpointed(
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
         state = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
@@ -76,14 +66,14 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
     n = all_nodes.count()
     arcs = both_ways(edges)
     out = arcs.groupBy("u").agg(F.sum("w").alias("total"))
-    share = _checkpointed(arcs.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p")))
+    share = checkpointed(arcs.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p")))
     rank = all_nodes.withColumn("r", F.lit(1.0 / max(1, n)))
     for i in range(rounds):
         got = rank.join(share, rank["node"] == share["u"]).groupBy("v").agg(F.sum(F.col("r") * F.col("p")).alias("got"))
         loose = rank.join(out, rank["node"] == out["u"], "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
         rank = all_nodes.join(got, all_nodes["node"] == got["v"], "left").crossJoin(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))  # one row
         if i % 5 == 4:
-            rank = _checkpointed(rank)
+            rank = checkpointed(rank)
     return rank.withColumnRenamed("r", "pagerank")
 
 

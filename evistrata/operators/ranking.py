@@ -5,41 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.operators.ordered import exact_percentiles, numbered, running, value_places, with_average_rank
 
-def _window(by: list[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
-
-def average_rank(x: str | Column, by: list[str] = (), descending: bool = False) -> Column:
-    """Rank from 1, ties get the mean of their places; null for null."""
+def average_rank(x: str | Column, by: list[str], descending: bool = False) -> Column:
+    """Rank from 1 within a group, ties get the mean of their places; null for null. For a whole table see ``ordered``."""
     c = F.col(x) if isinstance(x, str) else x
     order = c.desc_nulls_last() if descending else c.asc_nulls_last()
-    w = _window(list(by))
-    ties = F.count("*").over(w.partitionBy(*by, c) if by else Window.partitionBy(c))
-    return F.when(c.isNotNull(), F.rank().over(w.orderBy(order)) + (ties - 1) / 2.0)
+    w = Window.partitionBy(*by)
+    return F.when(c.isNotNull(), F.rank().over(w.orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0)
 
 
-def percentile_rank(x: str, by: list[str] = (), zero: bool = True) -> Column:
-    """Average rank over the number of values; with ``zero`` missing and non-positive values get 0."""
-    share = average_rank(x, by) / F.count(F.col(x)).over(_window(list(by)))
-    return F.when(F.col(x) > 0, share).otherwise(0.0) if zero else share
+def percentile_rank(df: DataFrame, x: str, name: str, zero: bool = True) -> DataFrame:
+    """Add the average rank over the number of values; with ``zero`` missing and non-positive values get 0."""
+    r = with_average_rank(df, x, "__r")
+    share = F.col("__r") / F.col("__r_n")
+    return r.withColumn("__share", F.when(F.col(x) > 0, share).otherwise(0.0) if zero else share).drop("__r", "__r_n", *([name] if name in df.columns else [])).withColumnRenamed("__share", name)
 
 
-def gene_weight(score: str) -> Column:
-    """Rank weight of a score: the best has the largest, none is 0."""
-    return 1.0 - average_rank(score, descending=True) / F.count(F.col(score)).over(_window([])) + 1e-6
+def gene_weight(df: DataFrame, score: str, name: str) -> DataFrame:
+    """Add the rank weight of a score: the best has the largest, none is 0."""
+    r = with_average_rank(df, score, "__r", descending=True)
+    return r.withColumn(name, 1.0 - F.col("__r") / F.col("__r_n") + 1e-6).drop("__r", "__r_n")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = (), name: str = "q") -> DataFrame:
-    """Add BH q-values within each group: reverse running minimum of p * n / rank, at most 1; null p stays null."""
+    """Add BH q-values within each group: reverse running minimum of p * n / rank, at most 1; null p stays null.
+
+    Runs over the distinct p-values of each group, so neither a group nor the table is one task.
+    """
     by = list(by)
-    w = _window(by)
-    ascending = w.orderBy(F.col(p).asc_nulls_last())
-    n = F.count(F.col(p)).over(w)
-    place = F.count(F.col(p)).over(ascending.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    raw = df.withColumn("__raw", F.when(F.col(p).isNotNull(), F.col(p) * n / place))
-    down = w.orderBy(F.col(p).desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__raw").over(down)))).drop("__raw")
+    places = value_places(df, p, by)
+    n = places.groupBy(*by).agg(F.sum("__count").alias("__n"))
+    raw = F.col(p) * F.col("__n") / F.col("__upto")
+    known = places.join(n, by) if by else places.crossJoin(F.broadcast(n))  # one row
+    least = running(known.withColumn("__raw", raw), [F.desc(p)], {"__q": ("min", F.col("__raw"))}, by)
+    found = least.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col(p).alias("__p"), F.least(F.lit(1.0), F.col("__q")).alias(name))
+    match = F.col(p) == F.col("__p")
+    for c in by:
+        match &= F.col(c) == F.col(f"__k_{c}")
+    return df.join(found, match, "left").drop("__p", *(f"__k_{c}" for c in by))
 
 
 def best_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -49,7 +54,10 @@ def best_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[Column], by: list[str] = (), name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(_window(list(by)).orderBy(*order)).cast("long"))
+    """Add places from 1 in order, within each group or over the whole table."""
+    if not by:
+        return numbered(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -63,8 +71,8 @@ def at_each_k(ranks: DataFrame, ks: list[int], rank: str = "rank") -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, x: str, q: int) -> DataFrame:
-    """One row: distinct edges of q equally filled bins."""
-    return df.agg(F.array_distinct(F.percentile(F.col(x), F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("edges"))
+    """One row: distinct edges of q equally filled bins; no row without values."""
+    return exact_percentiles(df, x, [i / q for i in range(q + 1)]).select(F.array_distinct("percentiles").alias("edges"))
 
 
 def bin_of(x: Column, edges: Column) -> Column:
@@ -76,9 +84,10 @@ def bin_of(x: Column, edges: Column) -> Column:
 
 def rank_class(df: DataFrame, rank: str, percent: float, names: tuple[str, str, str] = ("High_Hub", "Moderate_Hub", "Low_Hub")) -> DataFrame:
     """Three classes by rank: the top ``percent``, the top quarter, the rest."""
-    n = F.count("*").over(_window([]))
+    n = F.col("__n")
     high, mid = F.greatest(F.lit(1), F.floor(n * percent / 100.0)), F.greatest(F.lit(2), F.floor(n * 0.25))
-    return df.withColumn("rank_class", F.when(F.col(rank) <= high, names[0]).when(F.col(rank) <= mid, names[1]).otherwise(names[2]))
+    counted = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))  # one row
+    return counted.withColumn("rank_class", F.when(F.col(rank) <= high, names[0]).when(F.col(rank) <= mid, names[1]).otherwise(names[2])).drop("__n")
 
 
 def threshold_counts(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
@@ -88,13 +97,14 @@ def threshold_counts(df: DataFrame, score: str, label: str, by: list[str] = ())
     """
     by = list(by)
     per = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    run = _window(by).orderBy(F.desc("score"))
-    total = _window(by)
-    return per.select(
-        *by, "score", "pos", (F.col("n") - F.col("pos")).alias("neg"),
-        F.sum("pos").over(run).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(run).alias("fp"),
-        F.sum("pos").over(total).alias("n_pos"), F.sum(F.col("n") - F.col("pos")).over(total).alias("n_neg"),
-    )
+    per = per.withColumn("neg", F.col("n") - F.col("pos"))
+    ran = running(per, [F.desc("score")], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, by)
+    total = per.groupBy(*[F.col(c).alias(f"__k_{c}") for c in by]).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    match = F.lit(True)
+    for c in by:
+        match &= F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    both = ran.join(total, match) if by else ran.crossJoin(F.broadcast(total))  # one row
+    return both.select(*by, "score", "pos", "neg", "tp", "fp", "n_pos", "n_neg")
 
 
 def auc_scores(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:

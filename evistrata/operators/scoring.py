@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evistrata.functions.numeric import neg_log10, sigmoid, sign_label
 from evistrata.functions.text import PHASE_WEIGHT, SOURCE_WEIGHT, phase_label, weight_of
+from evistrata.operators.ordered import exact_percentiles, numbered
 from evistrata.operators.ranking import gene_weight, percentile_rank, ranked
 
 # Fixed values that results depend on: (de, pathway, drug, hub, hub boost) of the weighting schemes.
@@ -25,7 +26,7 @@ LOWEST_TIER = "Tier3_Exploratory"
 
 def method_spread(sig: DataFrame, method: str = "method", effect: str = "effect", least: int = 10) -> DataFrame:
     """Median and interquartile range of effects per method with enough rows; the range is at least 1e-6."""
-    q = sig.groupBy(method).agg(F.percentile(effect, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q"), F.count(effect).alias("n"))
+    q = exact_percentiles(sig, effect, [0.25, 0.5, 0.75], [method]).withColumnRenamed("percentiles", "q")
     return q.filter(F.col("n") >= least).select(F.col(method).alias("m_method"), F.col("q")[1].alias("median"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-6)).alias("iqr"))
 
 
@@ -37,7 +38,7 @@ def gene_features(sig: DataFrame, gene: str = "gene", tissue: str = "tissue", me
     """
     spread = method_spread(sig, method, effect)
     z = F.coalesce(F.abs((F.col(effect) - F.col("median")) / F.col("iqr")), F.abs(effect))
-    rows = sig.join(F.broadcast(spread), F.col(method) == F.col("m_method"), "left").withColumn("__z", z)
+    rows = sig.join(spread, F.col(method) == F.col("m_method"), "left").withColumn("__z", z)
     distinct = lambda c, when=None: F.size(F.collect_set(F.col(c) if when is None else F.when(when, F.col(c))))
     return rows.groupBy(gene).agg(
         F.count("*").alias("total_hits"), distinct(tissue).alias("n_tissues"), distinct(method).alias("n_methods"), distinct(database).alias("n_databases"),
@@ -94,7 +95,9 @@ def integrated_score(df: DataFrame, scheme: tuple[float, float, float, float, fl
 def scheme_scores(master: DataFrame, schemes: dict[str, tuple[float, float, float, float, float]], key: str = "gene") -> DataFrame:
     """(scheme, key, score): percentile ranks once, then every scheme's score by ``stack``."""
     parts = ("de", "path", "drug", "hub")
-    normed = master.select(key, *(percentile_rank(c).alias(c) for c in parts))
+    normed = master.select(key, *parts)
+    for part in parts:
+        normed = percentile_rank(normed, part, part)
     cols = normed.select(key, *(integrated_score(normed, s).alias(n) for n, s in schemes.items()))
     return cols.unpivot([key], list(schemes), "scheme", "score")
 
@@ -123,17 +126,11 @@ def weighted_evidence(evidence: DataFrame, ranks: DataFrame, gene: str = "gene")
 
     ``ranks`` has gene and score; its weights are 1 - average rank / n + 1e-6.
     """
-    weights = ranks.select(gene, gene_weight("score").alias("gene_weight"), F.row_number().over(_by_score(gene)).alias("gene_rank"))
+    weights = numbered(gene_weight(ranks.select(gene, "score"), "score", "gene_weight"), [F.desc("score"), F.asc(gene)], "gene_rank").drop("score")
     label = phase_label(F.col("phase"), F.col("approved"))
     return evidence.join(weights, gene).withColumn("phase_label", label).withColumn("weight", F.col("gene_weight") * weight_of(label, PHASE_WEIGHT, 0.5) * weight_of(F.col("source"), SOURCE_WEIGHT, 1.0))
 
 
-def _by_score(gene: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("score"), gene)
-
-
 def drug_ranking(weighted: DataFrame, drug: str = "drug", gene: str = "gene") -> DataFrame:
     """Per drug: summed weight, target genes, best gene rank, sources, highest phase; in rank order."""
     level = weight_of(F.col("phase_label"), PHASE_WEIGHT, 0.5)
@@ -165,7 +162,7 @@ def shuffled(df: DataFrame, value: str, key: str, reps: int, seed: int) -> DataF
 
 def permuted_drug_overlap(evidence: DataFrame, ranks: DataFrame, reference: DataFrame, ks: list[int], reps: int, seed: int = 13) -> DataFrame:
     """Per k: reference drugs among the first k by real weights, mean over shuffled weights, (1 + at least) / (1 + reps)."""
-    weights = ranks.select("gene", gene_weight("score").alias("w"))
+    weights = gene_weight(ranks.select("gene", "score"), "score", "w").drop("score")
     base = evidence.groupBy("gene", "drug").agg(F.sum(weight_of(phase_label(F.col("phase"), F.col("approved")), PHASE_WEIGHT, 0.5) * weight_of(F.col("source"), SOURCE_WEIGHT, 1.0)).alias("e"))
     real = weights.select(F.lit(0).alias("rep"), "gene", "w")
     every = real.unionByName(shuffled(weights, "w", "gene", reps, seed))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evistrata.operators.ordered import exact_percentiles, numbered
+
 
 def resolve_columns(df: DataFrame, spec: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
     """Rename to canonical names: of each list the first column there is, in any case; else null.
@@ -107,11 +109,12 @@ def standardised(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def phenotype_coded(df: DataFrame, x: str = "pheno") -> DataFrame:
     """Add 0/1 ``status``: codes {1, 2} less one, {0, 1} as they are, else whether above the median."""
-    facts = df.agg(F.collect_set(x).alias("codes"), F.percentile(x, F.lit(0.5)).alias("middle"))
-    codes, v = F.col("codes"), F.col(x)
-    only = lambda *allowed: F.forall(codes, lambda c: c.isin(*allowed))
-    status = F.when(only(0, 1), v).when(only(1, 2), v - 1).otherwise((v > F.col("middle")).cast("int"))
-    return df.crossJoin(F.broadcast(facts)).withColumn("status", status.cast("int")).drop("codes", "middle")  # one row
+    only = lambda *allowed: F.bool_and(F.col(x).isin(*allowed) | F.col(x).isNull())
+    middle = exact_percentiles(df, x, [0.5]).select(F.col("percentiles")[0].alias("middle"))
+    facts = df.agg(only(0, 1).alias("is_01"), only(1, 2).alias("is_12")).join(middle, how="left", on=F.lit(True))  # one row each
+    v = F.col(x)
+    status = F.when(F.col("is_01"), v).when(F.col("is_12"), v - 1).otherwise((v > F.col("middle")).cast("int"))
+    return df.crossJoin(F.broadcast(facts)).withColumn("status", status.cast("int")).drop("is_01", "is_12", "middle")  # one row
 
 
 def dense_units(units: DataFrame, stats: DataFrame, key: str) -> DataFrame:
@@ -151,11 +154,9 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
 def positional_join(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column]) -> DataFrame:
     """Row i beside row i of two ordered tables, as far as the shorter goes.
 
-    For compatibility with sources without keys alone: the running number needs all rows in one
-    order. Join by key where there is one.
+    For compatibility with sources without keys alone; join by key where there is one.
     """
-    number = lambda order: F.row_number().over(Window.orderBy(*order))
-    return a.withColumn("__i", number(order_a)).join(b.withColumn("__i", number(order_b)), "__i").drop("__i")
+    return numbered(a, order_a, "__i").join(numbered(b, order_b, "__i"), "__i").drop("__i")
 
 
 def full_merge(tables: list[DataFrame], keys: list[str], fill: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evistrata.operators import ranking as R
+from evistrata.operators.ordered import exact_percentiles
 from evistrata.plans.registry import query
 from evistrata.plans.views import KNOWN, PARTS, SIGNIFICANT, VOLCANO, known, scored_parts, significant, table, volcano
 
@@ -14,7 +15,8 @@ KS = [10, 20, 50, 100, 200]
 
 @query("SELECT gene, score, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER (), 9) AS pct, round(1 - (rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER () + 1e-6, 9) AS weight FROM parts", PARTS)
 def w1_percentile_rank(spark: SparkSession, d: str) -> DataFrame:
-    return scored_parts(spark, d).select("gene", "score", F.round(R.percentile_rank("score"), 9).alias("pct"), F.round(R.gene_weight("score"), 9).alias("weight"))
+    both = R.gene_weight(R.percentile_rank(scored_parts(spark, d), "score", "pct"), "score", "weight")
+    return both.select("gene", "score", F.round("pct", 9).alias("pct"), F.round("weight", 9).alias("weight"))
 
 
 @query(
@@ -73,7 +75,7 @@ def w10_rank_class(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT gene, score FROM parts WHERE score >= (SELECT quantile_cont(score, 0.75) FROM parts)", PARTS)
 def w11_top_quartile(spark: SparkSession, d: str) -> DataFrame:
     parts = scored_parts(spark, d)
-    return parts.crossJoin(F.broadcast(parts.agg(F.percentile("score", F.lit(0.75)).alias("q")))).filter("score >= q").select("gene", "score")  # one row
+    return parts.crossJoin(F.broadcast(exact_percentiles(parts, "score", [0.75]).select(F.col("percentiles")[0].alias("q")))).filter("score >= q").select("gene", "score")  # one row
 
 
 @query("SELECT gene, score FROM parts ORDER BY score DESC, gene LIMIT 50", PARTS)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evistrata.functions.text import cleaned, drug_key, without_version
+from evistrata.operators.ordered import numbered
 from evistrata.operators.tables import resolve_columns
 
 FAM = ["fid", "iid", "pat", "mat", "sex", "pheno"]
@@ -117,7 +118,7 @@ def ranked_list(spark: SparkSession, path: str, top: int | None = None) -> DataF
     df = resolve_columns(csv(spark, path), {"gene": ["Gene", "gene", "ensembl_gene_id"], "symbol": ["Symbol", "symbol", "gene_symbol"], "score": SCORE_NAMES, "rank": ["Rank", "rank"]}, required=("gene",))
     df = df.withColumns({"score": F.col("score").try_cast("double"), "rank": F.col("rank").try_cast("long")})
     order = [F.col("rank").asc_nulls_last(), F.col("score").desc_nulls_last(), F.col("gene").asc()]
-    out = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    out = numbered(df.withColumnRenamed("rank", "__rank"), [F.col("__rank").asc_nulls_last(), *order[1:]], "rank").drop("__rank")
     return out.filter(F.col("rank") <= top) if top else out
 
 
@@ -232,7 +233,7 @@ def plink(spark: SparkSession, stem: str) -> DataFrame:
     people = [r[0] for r in fam(spark, f"{stem}.fam").select("sample").collect()]  # one short row a sample
     bim = whitespace_table(spark, f"{stem}.bim", ["chr", "snp", "cm", "pos", "alt", "ref"])
     placed = bim.withColumn("__file_order", F.monotonically_increasing_id())
-    place = placed.withColumn("i", F.row_number().over(Window.orderBy("__file_order")) - 1).select("i", "snp", "chr", F.col("pos").cast("int").alias("pos"), "ref", "alt")
+    place = numbered(placed, [F.asc("__file_order")], "i").withColumn("i", F.col("i") - 1).select("i", "snp", "chr", F.col("pos").cast("int").alias("pos"), "ref", "alt")
     width, uri = -(-len(people) // 4), f"{stem}.bed"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,13 +245,16 @@ def plink(spark: SparkSession, stem: str) -> DataFrame:
             if f.read_at(3, 0) != b"\x6c\x1b\x01":
                 raise ValueError("not a variant-major bed file")
             for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    data = np.frombuffer(f.read_at(width, 3 + row.i * width), np.uint8)
-                    code = (data[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()[: len(people)]
-                    dose = np.array([2.0, np.nan, 1.0, 0.0])[code]
-                    yield pd.DataFrame({"snp": row.snp, "chr": row.chr, "pos": row.pos, "ref": row.ref, "alt": row.alt, "sample": people, "dosage": dose})
-
-    out = place.repartition("i").mapInPandas(decode, "snp string, chr string, pos int, ref string, alt string, sample string, dosage double")
+                pdf = pdf.sort_values("i")
+                step = max(1, 1_000_000 // max(1, len(people)))
+                for at in range(0, len(pdf), step):  # variants that follow one another are one read
+                    for _, run in (part := pdf.iloc[at : at + step]).groupby((part["i"].diff() != 1).cumsum()):
+                        data = np.frombuffer(f.read_at(width * len(run), 3 + int(run["i"].iloc[0]) * width), np.uint8).reshape(len(run), width)
+                        code = (data[:, :, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(run), -1)[:, : len(people)]
+                        own = run.loc[run.index.repeat(len(people)), ["snp", "chr", "pos", "ref", "alt"]]
+                        yield own.assign(sample=people * len(run), dosage=np.array([2.0, np.nan, 1.0, 0.0])[code].ravel())
+
+    out = place.repartitionByRange("i").mapInPandas(decode, "snp string, chr string, pos int, ref string, alt string, sample string, dosage double")
     return out.withColumn("dosage", F.when(~F.isnan("dosage"), F.col("dosage")))
 
 

@@ -59,7 +59,7 @@ def test_auc_invariants(spark):
 
 def test_percentile_rank_zeroes(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (-2.0,), (None,), (3.0,)], "x double")
-    assert sorted(r[0] for r in df.select(R.percentile_rank("x")).collect()) == [0.0, 0.0, 0.625, 0.625, 1.0]
+    assert sorted(r[0] for r in R.percentile_rank(df, "x", "x").select("x").collect()) == [0.0, 0.0, 0.625, 0.625, 1.0]
 
 
 def test_jaccard_of_empty_sets(spark):
