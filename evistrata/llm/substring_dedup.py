@@ -252,7 +252,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(n_kept)
             digests = [hashlib.sha256(" ".join(words[b - n : b]).encode()).hexdigest() for b, n in zip(ends, n_kept)]
             n_words = np.diff(offsets)
-            yield record(doc_id=batch.column("doc_id").slice(part.start, part.stop - part.start), n_words=n_words, n_removed=n_words - n_kept, kept_sha256=pa.array(digests, pa.string()))
+            yield record(doc_id=batch.column("doc_id").slice(part.start, part.stop - part.start), n_words=n_words, n_removed=n_words - n_kept, kept_sha256=pa.array(digests, pa.string()), copies=batch.column("copies").slice(part.start, part.stop - part.start))
 
 
 def _sliced_words(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -263,9 +263,9 @@ def _sliced_words(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def repeated_ranges(texts: DataFrame, window: int = 20, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(doc, tag1, tag2, text), one row a document, to the ranges to remove: its key and ranges (first word << 32 | words)."""
+    """(doc, tag1, tag2, text, and more), one row a document, to the ranges to remove: its key and ranges (first word << 32 | words)."""
     keys = "doc long, tag1 long, tag2 long, pos long"
-    anchors = texts.mapInArrow(_anchor_rows(window), f"key long, {keys}, kind byte")
+    anchors = texts.select(*DOC, "text").mapInArrow(_anchor_rows(window), f"key long, {keys}, kind byte")
     repeated = materialise(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated_rows(hot_runs), f"{keys}, kind byte"), "anchors-repeated")
     hot = repeated.filter(F.col("kind") == HOT).select("doc").toArrow()  # see HOT_RUNS for the bound
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(column(hot, "doc").view(np.uint64)))
@@ -289,8 +289,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     several = materialise(whole.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc", F.lit(True).alias("several")), "ids-repeated")
     tag = lambda *cols: F.when(F.col("several"), F.xxhash64(*cols)).otherwise(F.lit(0).cast("long"))
     keyed = whole.join(several, "doc", "left").select("doc", tag("text").alias("tag1"), tag(F.lit(1), "text").alias("tag2"), "text", F.coalesce("several", F.lit(False)).alias("several"))
-    twins = materialise(keyed.filter("several").dropDuplicates([*DOC]), "texts-repeated")
-    once = keyed.filter("NOT several").unionByName(twins).select(*DOC, "text")
-    ranges = repeated_ranges(once, window, hot_runs)
-    joined = keyed.join(ranges, [*DOC], "left").select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "text", "ranges")
-    return joined.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    twins = materialise(keyed.filter("several").groupBy(*DOC).agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts-repeated")
+    once = keyed.filter("NOT several").select(*DOC, "text", F.lit(1).cast("long").alias("copies")).unionByName(twins)
+    # Both joins with the texts take the same columns, so their shuffle is made once.
+    joined = once.join(repeated_ranges(once, window, hot_runs), [*DOC], "left").select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "text", "copies", "ranges")
+    found = joined.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, copies long")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")
