@@ -44,12 +44,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables and files that operators have written for results no longer needed."""
+def mark() -> int:
+    """Where the list of written folders ends now."""
+    return len(_made)
+
+
+def release(spark: SparkSession, begin: int = 0, keep: int = 0) -> None:
+    """Delete the folders written since ``begin``, but for the last ``keep``; what is left of their results cannot be read then."""
     jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    last = len(_made) - keep
+    for name in _made[begin:last]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[begin:last]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,7 +55,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     total = rows.count()
     if total > SAMPLE_TEXTS:
-        rows = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < round(1e6 * SAMPLE_TEXTS / total))
+        rows = rows.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 52)) < (1 << 52) * SAMPLE_TEXTS // total)
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("item")).filter("item <> ''").groupBy("lang", "item").agg(F.count("*").alias("n"))
     words = materialise(words, "language-words")
     padded = F.concat(F.lit("<"), F.col("item"), F.lit(">"))

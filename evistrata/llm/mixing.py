@@ -21,10 +21,10 @@ def words_in(col: str = "text") -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(WORD)).cast("long")
 
 
-def id_hash(col: str = "doc_id", bits: int = sum(LEVEL_BITS)) -> Column:
-    """A document's place between 0 and 2**bits, from the md5 of its id; null ids share one place."""
-    text = F.coalesce(F.col(col).cast("string"), F.lit("null"))
-    return F.shiftrightunsigned(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), 60 - bits)
+def id_hash(col: str = "doc_id", text_col: str = "text", bits: int = sum(LEVEL_BITS)) -> Column:
+    """A document's place between 0 and 2**bits, from the md5 of its id, or of its text where it has none."""
+    name = F.coalesce(F.col(col).cast("string"), F.concat(F.lit("text:"), text_or_empty(text_col)))
+    return F.shiftrightunsigned(F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"), 60 - bits)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -76,21 +76,46 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame, level_bits: tuple[int,
     return state.select(F.col("b_source").alias("t_source"), F.when(F.col("whole"), F.lit(2**bits).cast("long")).otherwise(F.col("low")).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), id_hash(id_col, text_col).alias("hash")), "mix-sizes")
 
-    A document is taken as often as its source's target holds the source whole, and once more if
-    its hash is below the source's threshold. Null texts have size 0, a null source is a source of
-    its own, equal ids share a hash and so their decision. A source of size 0 has target 0. The
-    per-source tables hold one row a source; Spark broadcasts them only below the session's
-    threshold and else splits a hot source's rows in the sort-merge join.
+
+def source_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """Per source of (source, size, hash): p_source, source_size, target, and how its documents are taken.
+
+    Each is taken ``whole`` times, and once more below ``threshold``. One row a source; Spark
+    broadcasts them only below the session's threshold and else splits a hot source's rows in the
+    sort-merge join.
     """
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), id_hash(id_col).alias("hash")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(totals, weights, max_repeats), "mix-targets")
     whole = F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), F.lit(max_repeats)).cast("long")
     plan = targets.withColumn("whole", whole)
     thresholds = hash_thresholds(sized, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
-    per_source = plan.withColumnRenamed("source", "p_source").join(thresholds, F.col("p_source").eqNullSafe(F.col("t_source")))
-    more = F.when((F.col("hash") < F.col("threshold")) & (F.col("whole") < max_repeats), 1).otherwise(0)
-    return sized.join(per_source, F.col("source").eqNullSafe(F.col("p_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"))
+    both = plan.withColumnRenamed("source", "p_source").join(thresholds, F.col("p_source").eqNullSafe(F.col("t_source")))
+    return materialise(both.select("p_source", "source_size", "target", "whole", F.when(F.col("whole") < max_repeats, F.col("threshold")).otherwise(0).alias("threshold")), "mix-plan")
+
+
+def _times(hash_col: str) -> Column:
+    return F.col("whole") + F.when(F.col(hash_col) < F.col("threshold"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken.
+
+    A document is taken as often as its source's target holds the source whole, and once more if
+    its hash is below the source's threshold. Null texts have size 0, a null source is a source of
+    its own, equal ids share a hash and so their decision within a source, as do equal texts
+    without an id. A source of size 0 has target 0.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    joined = sized.join(source_plan(sized, weights, max_repeats), F.col("source").eqNullSafe(F.col("p_source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times("hash")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``mix`` takes, as often as it takes them; texts without words are not taken."""
+    plan = source_plan(_sized(docs, id_col, text_col, source_col), weights, max_repeats).select("p_source", "whole", "threshold")
+    marked = docs.filter(F.col(text_col).rlike(WORD)).withColumn("__hash", id_hash(id_col, text_col))
+    rows = marked.select(F.struct(*docs.columns).alias("__row"), F.col(source_col).alias("__source"), "__hash").join(plan, F.col("__source").eqNullSafe(F.col("p_source")))
+    return rows.withColumn("__times", _times("__hash")).filter("__times > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select("__row.*")

@@ -421,17 +421,19 @@ class _Join:
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
+    """One row a document: doc_id, n_shingles, component_id, and text_key and component_key.
 
     Documents link when 100 * shared shingles >= percent * all shingles of both. ``component_id``
     is the smallest id that links reach, the document's own included; null where none of the
-    component has an id. Null and empty texts have no shingles and are alone. Rows repeated with
-    an id keep their own results. Other columns are ignored.
+    component has an id. ``text_key`` is the xxhash64 of the text, which tells rows under one id
+    apart; ``component_key`` is equal within a component and null without shingles. Null and empty
+    texts have no shingles and are alone. Rows repeated with an id keep their own results. Other
+    columns are ignored.
     """
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     join = _Join(whole, words, percent)
     classes = materialise(join.components(), "class-components")
     smallest = join.facts.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("low")).join(classes, "class_key").groupBy("label").agg(F.min("low").alias("component_id"))
-    per_class = materialise(classes.join(smallest, "label").select(F.col("class_key").alias("c_key"), "component_id"), "components")
-    joined = join.facts.select("doc_id", "n", "class_key").join(per_class, (F.col("class_key") == F.col("c_key")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    per_class = materialise(classes.join(smallest, "label").select(F.col("class_key").alias("c_key"), "component_id", F.col("label").alias("component_key")), "components")
+    joined = join.facts.select("doc_id", "text_key", "n", "class_key").join(per_class, (F.col("class_key") == F.col("c_key")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key", "component_key")

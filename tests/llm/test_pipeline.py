@@ -63,6 +63,32 @@ def test_encoding_decodes(steps):
     assert {(r.doc_id, r.text) for r in back.collect()} == {(r.doc_id, r.text) for r in steps[4].collect()}
 
 
+def test_one_stays_of_documents_under_shared_ids(spark):
+    same = "alpha beta gamma delta epsilon zeta eta theta"
+    other = "one two three four five six seven eight nine"
+    rows = [(3, same), (7, same), (7, other), (None, same), (None, other + " ten"), (None, "quite another text of some words here"), (4, None), (5, " "), (3, same)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.one_of_similar(spark, df, "").collect()]
+    want = [(3, same), (3, same), (7, other), (None, rows[5][1]), (4, None), (5, " ")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_the_line_stage_drops_what_recurs(steps):
+    from tests.llm.test_documents import brute_lines
+
+    before = [(r.doc_id, r.text) for r in steps[1].collect()]
+    assert {r.doc_id: r.text for r in steps[2].collect()} == dict(brute_lines(before, P.MOSTLY))
+
+
+def test_tables_of_a_stage_are_deleted(spark, sf_dir, monkeypatch):
+    from evistrata.llm import _shared
+
+    made = []
+    monkeypatch.setattr(_shared, "_made", made)
+    P.run(spark, sf_dir).count()
+    assert len([x for x in made if "mix_sources" in x]) == 1 and len(made) <= len(P.STAGES)
+
+
 def test_run_on_awkward_rows(spark, tmp_path):
     from tests.llm.test_documents import AWKWARD, SCHEMA
 
