@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evistrata.llm import language_id, line_dedup, mixing, ngram_join, sentencepiece_codec
-from evistrata.llm._shared import materialise, table
+from evistrata.llm._shared import materialise, mark, release, table, text_or_empty
 from evistrata.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -47,14 +47,19 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, with all its rows.
+    """Of each group of near copies one document stays, that of the smallest id, then of a hash of the text.
 
-    Texts without words are not similar to anything and stay; so do rows without an id.
+    Documents without an id come after those with one. Rows repeated with id and text are one
+    document and stay or go together; different texts under one id are different documents. Texts
+    without words are not similar to anything and stay.
     """
-    found = ngram_join.similar_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    lost = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost")).distinct()
-    lost = materialise(lost, "near-copies")
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
+    found = ngram_join.similar_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT).filter("component_key IS NOT NULL")
+    found = materialise(found.select("doc_id", "text_key", "component_key").distinct(), "near-copies")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.groupBy(F.col("component_key").alias("__c")).agg(F.min(place).alias("__first"))
+    lost = found.join(first, (F.col("component_key") == F.col("__c")) & (F.col("__first") != place)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    lost = materialise(lost, "near-copies-lost")
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__key")), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +67,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words have no size and are not taken.
     """
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).distinct()
-    taken = materialise(taken, "taken")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,10 +88,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read by the next."""
+    """Apply the stages to ``documents``; each result is written as Parquet and read by the next.
+
+    What a stage has written on its way goes when its result is there.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        begin = mark()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, begin, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
