@@ -30,11 +30,27 @@ def m3_welch(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(w, 6, "mean_case", "mean_control", "mean_difference", "t"), 4, "df")
 
 
-@query()
+def tail_sql(density: str, z: str, steps: int = 400) -> str:
+    """Two-sided tail beyond z of a symmetric density in x, by Simpson's rule from 0."""
+    return f"(1 - 2 * {z} / {3 * steps} * list_sum([(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density.replace('(x)', f'({z} * i / {steps})')}) for i in range(0, {steps} + 1)]))"
+
+
+T_TAIL = tail_sql("exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + (x) * (x) / df, -(df + 1) / 2)", "abs(t)")
+NORMAL_TAIL = tail_sql("exp(-(x) * (x) / 2) / sqrt(2 * pi())", "z")
+
+
+@query(
+    f""", p AS (SELECT gene, t, df, mean_case - mean_control AS diff, {T_TAIL} AS p FROM welch), r AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p) AS raw FROM p),
+    q AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC, gene ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM r)
+    SELECT gene, round(t, 6) AS t, round(df, 4) AS df, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant_fdr, abs(diff) >= 0.1 AS high_fc, q < 0.05 AND abs(diff) >= 0.1 AS significant_combined, q < 0.05 AND diff >= 0.1 AS upregulated, q < 0.05 AND diff <= -0.1 AS downregulated FROM q""",
+    EXPRESSION,
+    WELCH,
+)
 def m3_welch_flags(spark: SparkSession, d: str) -> DataFrame:
-    """With p, q and flags; the p kernel is tested on closed forms."""
+    """With p, q and flags."""
     w = S.with_t_p(S.welch(expression(spark, d), ["gene"], "value", "status"))
-    return S.flagged(w, "p", "mean_difference", [], 0.05, 0.1)
+    out = S.flagged(w, "p", "mean_difference", [], 0.05, 0.1)
+    return rounded(rounded(out, 6, "t", "p", "q"), 4, "df").select("gene", "t", "df", "p", "q", "significant_fdr", "high_fc", "significant_combined", "upregulated", "downregulated")
 
 
 @query("SELECT gene, count(*) AS n, round(regr_slope(value, status), 6) AS slope, round(regr_intercept(value, status), 6) AS intercept, round(regr_r2(value, status), 6) AS r2, round(regr_slope(value, status) / sqrt((regr_syy(value, status) - regr_slope(value, status) ** 2 * regr_sxx(value, status)) / (count(*) - 2) / regr_sxx(value, status)), 6) AS t, count(*) - 2 AS df FROM expression GROUP BY gene", EXPRESSION)
@@ -54,9 +70,16 @@ def m6_rank_sum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.rank_sum(e, ["gene"], "value", "status"), 6, "median_difference", "z")
 
 
-@query()
+@query(
+    f""", v AS (SELECT gene, status, round(value, 1) AS value FROM expression), r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS r, count(*) OVER (PARTITION BY gene, value) AS t FROM v),
+    s AS (SELECT gene, count(*) FILTER (WHERE status = 1) AS n_case, count(*) FILTER (WHERE status = 0) AS n_control, sum(r) FILTER (WHERE status = 1) AS rs, sum(CAST(t AS DOUBLE) * t - 1) AS ties, median(value) FILTER (WHERE status = 1) - median(value) FILTER (WHERE status = 0) AS md FROM r GROUP BY gene),
+    u AS (SELECT *, rs - n_case * (n_case + 1) / 2 AS u, n_case + n_control AS n FROM s), z AS (SELECT gene, u, greatest(0, greatest(u, n_case * n_control - u) - n_case * n_control / 2 - 0.5) / sqrt(n_case * n_control / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)
+    SELECT gene, u, round(z, 6) AS z, round({NORMAL_TAIL}, 6) AS p FROM z""",
+    EXPRESSION,
+)
 def m6_rank_sum_p(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_normal_p(S.rank_sum(expression(spark, d), ["gene"], "value", "status"))
+    p = S.with_normal_p(S.rank_sum(expression(spark, d).withColumn("value", F.round("value", 1)), ["gene"], "value", "status"))
+    return rounded(p, 6, "z", "p").select("gene", "u", "z", "p")
 
 
 HYPER = "list_sum([exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + lgamma(m - s + 1) - lgamma(d - i + 1) - lgamma(m - s - d + i + 1) - lgamma(m + 1) + lgamma(d + 1) + lgamma(m - d + 1)) for i in range(CAST(greatest(k, d + s - m) AS BIGINT), CAST(least(s, d) AS BIGINT) + 1)])"
@@ -85,13 +108,18 @@ def m32_unit_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.unit_enrichment(significant(spark, d), v, "tissue", "gene", known(spark, d), v), 6, "expected", "fold_enrichment")
 
 
-@query()
+@query(
+    f""", x AS (SELECT tissue, n_known AS k, n_genes AS d, universe AS m, known_in_universe AS s FROM unit) SELECT tissue, k AS n_known, d AS n_genes, round({HYPER}, 6) AS p_exact, true AS empirical_agrees FROM x""",
+    VOLCANO, SIGNIFICANT, KNOWN, UNIT,
+)
 def m2_empirical_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    """Exact and drawn tails of the unit enrichment; tested to agree within sampling error."""
+    """Exact tails of the unit enrichment, and whether those of 10,000 draws are within five standard errors of them."""
     v = volcano(spark, d)
     u = S.unit_enrichment(significant(spark, d), v, "tissue", "gene", known(spark, d), v)
     args = [F.col(c) for c in ("n_known", "universe", "known_in_universe", "n_genes")]
-    return u.withColumn("p_exact", P.hypergeometric_p(*args)).withColumn("p_empirical", P.empirical_hypergeometric_p(F.col("tissue"), *args))
+    both = u.withColumn("p_exact", P.hypergeometric_p(*args)).withColumn("p_empirical", P.empirical_hypergeometric_p(F.col("tissue"), *args))
+    near = F.abs(F.col("p_empirical") - F.col("p_exact")) <= 5 * F.sqrt(F.col("p_exact") * (1 - F.col("p_exact")) / 10_000) + 2e-4
+    return both.select("tissue", "n_known", "n_genes", F.round("p_exact", 6).alias("p_exact"), near.alias("empirical_agrees"))
 
 
 @query(
@@ -275,10 +303,15 @@ def g5_communities(spark: SparkSession, d: str) -> DataFrame:
     return G.greedy_communities(edges(spark, d).withColumn("graph", F.lit(1)))
 
 
-@query()
+@query(
+    """, m AS (SELECT DISTINCT fold, tissue, gene FROM sig), n AS (SELECT fold, tissue, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT a.fold AS fa, a.tissue AS ta, b.fold AS fb, b.tissue AS tb, count(*) AS s FROM m a JOIN m b ON a.gene = b.gene AND a.fold <> b.fold GROUP BY ALL),
+    j AS (SELECT fa, ta, fb, max(s / (x.n + y.n - s)) AS j FROM s JOIN n x ON x.fold = fa AND x.tissue = ta JOIN n y ON y.fold = fb AND y.tissue = tb GROUP BY ALL)
+    SELECT n.fold, n.tissue, round(coalesce(sum(j), 0) / greatest(1, (SELECT count(DISTINCT fold) - 1 FROM m)), 9) AS preservation FROM n LEFT JOIN j ON fa = n.fold AND ta = n.tissue GROUP BY n.fold, n.tissue""",
+    VOLCANO, SIGNIFICANT,
+)
 def g6_module_preservation(spark: SparkSession, d: str) -> DataFrame:
     mods = significant(spark, d).select("fold", "tissue", "gene").distinct()
-    return G.preservation(mods, "fold", "tissue", "gene")
+    return rounded(G.preservation(mods, "fold", "tissue", "gene"), 9, "preservation")
 
 
 @query()
@@ -288,7 +321,7 @@ def m4_moderated_t(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m7_permutation_test(spark: SparkSession, d: str) -> DataFrame:
-    return K.permutation_test(expression(spark, d).withColumn("grp", F.lit("all")), ["grp"], reps=200)
+    return K.permutation_test(expression(spark, d).withColumn("grp", F.lit("all")), ["grp"])
 
 
 @query()
@@ -306,16 +339,23 @@ def m10_bayes_logistic(spark: SparkSession, d: str) -> DataFrame:
     return K.logistic(expression(spark, d).withColumn("grp", F.lit("all")), ["grp"], "bayes")
 
 
-@query()
+@query(
+    """, c AS (SELECT gene, sample, value AS y, CAST(batch AS DOUBLE) AS c1, CAST(sample % 7 AS DOUBLE) AS c2 FROM expression),
+    a AS (SELECT gene, regr_slope(c2, c1) AS k, avg(c1) AS m1, avg(c2) AS m2, avg(y) AS m, regr_slope(y, c1) AS b FROM c GROUP BY gene),
+    e AS (SELECT gene, sample, c2 - m2 - k * (c1 - m1) AS e2, y - m - b * (c1 - m1) AS ey, m FROM c JOIN a USING (gene)), f AS (SELECT gene, regr_slope(ey, e2) AS b2 FROM e GROUP BY gene)
+    SELECT gene, sample, round(ey - b2 * e2 + m, 6) + 0.0 AS value FROM e JOIN f USING (gene)""",
+    EXPRESSION,
+)
 def m12_residualised(spark: SparkSession, d: str) -> DataFrame:
+    """Two covariates taken out; the SQL takes out one, and then what it leaves of the other."""
     e = expression(spark, d).withColumn("grp", F.lit("all"))
     cov = e.select("sample", F.col("batch").cast("double").alias("c1"), (F.col("sample") % 7).cast("double").alias("c2")).distinct()
-    return K.residualised(e, cov, ["grp"], ["c1", "c2"])
+    return K.residualised(e, cov, ["grp"], ["c1", "c2"]).select("gene", "sample", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query()
 def m16_m18_coexpression(spark: SparkSession, d: str) -> DataFrame:
-    return K.coexpression(expression(spark, d).withColumn("grp", F.lit("all")), ["grp"], reps=20)
+    return K.coexpression(expression(spark, d).withColumn("grp", F.lit("all")), ["grp"])
 
 
 @query()

@@ -7,8 +7,6 @@ import pytest
 
 from evistrata import queries as core
 
-SLOW = {"g4_hub_scores", "l1_l8_models"}
-
 
 @pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_sql(spark, duck, sf_dir, same_rows, name):
@@ -16,9 +14,12 @@ def test_sql(spark, duck, sf_dir, same_rows, name):
     same_rows(core.queries()[name](spark, sf_dir).toArrow().to_pandas(types_mapper=pd.ArrowDtype), duck.sql(core.oracle_sql()[name]).to_arrow_table().to_pandas(types_mapper=pd.ArrowDtype))
 
 
-@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
 def test_runs(spark, sf_dir, name):
-    assert core.queries()[name](spark, sf_dir).columns
+    """Queries without SQL run whole; their operators are tested by value in test_operators."""
+    df = core.queries()[name](spark, sf_dir)
+    rows = df.collect()
+    assert (rows or name == "m16_m18_coexpression") and all(len(r) == len(df.columns) for r in rows)
 
 
 def test_entry(spark):
