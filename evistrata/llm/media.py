@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise, text_or_empty
 from evistrata.llm._tasks import record
+from evistrata.llm._words import slices
 
 #: Samples in a row of the stored image.
 WIDTH = 192
@@ -99,8 +100,8 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("n_bytes", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
                 yield record(id=part.column(0), sequence=pa.array([sequence_of(x) for x in part.column(1).to_pylist()], kind))
 
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInArrow(rows, f"id long, sequence {SEQUENCE}").select(F.col("id").alias(id_col), "sequence")
@@ -140,10 +141,10 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.cast(batch.column(1), pa.binary())
-            for at in range(0, batch.num_rows, 500):
-                own = texts.slice(at, 500).to_pylist()
+            for a, b in slices(texts):
+                own = texts.slice(a, b - a).to_pylist()
                 media = [to_image(padded(x)) for x in own]
-                yield record(doc_id=batch.column(0).slice(at, 500), n_bytes=pa.array(map(len, own), pa.int64()), digest=pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()), media=pa.array(media, pa.binary()))
+                yield record(doc_id=batch.column(0).slice(a, b - a), n_bytes=pa.array(map(len, own), pa.int64()), digest=pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()), media=pa.array(media, pa.binary()))
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return materialise(texts.mapInArrow(rows, "doc_id long, n_bytes long, digest string, media binary"), "media")
@@ -164,9 +165,10 @@ def media_features(store: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for digest, stored in zip(batch.column(0), batch.column(1)):
+                media = stored.as_py()
                 samples = from_image(media)
-                out.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), _feature(samples)))
+                out.append((digest.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), _feature(samples)))
             cols = list(zip(*out)) if out else [()] * 7
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in FEATURES.split(", ")])

@@ -192,6 +192,15 @@ def test_substring_repeats_under_shared_ids(spark, hot_runs):
     assert got == Counter((d, *want[d, t or ""]) for d, t in rows)
 
 
+def slow_feature(payload):
+    """Mean in thousandths, bytes of sixteen band shares in hexadecimal, mean change from row to row in thousandths."""
+    bands = [0] * 16
+    for x in payload:
+        bands[x // 16] += 1
+    change = sum(abs(payload[i] - payload[i - 192]) for i in range(192, len(payload)))
+    return f"{sum(payload) * 1000 // len(payload)}-{''.join(f'{n * 255 // len(payload):02x}' for n in bands)}-{change * 1000 // max(1, len(payload) - 192)}"
+
+
 def test_media_round_trip(docs, texts):
     got = media.document_media(docs).collect()
     assert len(got) == len(texts)
@@ -201,6 +210,7 @@ def test_media_round_trip(docs, texts):
         image = media.to_image(payload)
         assert media.from_image(image) == payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.feature == slow_feature(payload)
         assert (r.media_bytes, r.media_sha256, r.caption) == (len(image), hashlib.sha256(image).hexdigest(), f"document {r.doc_id}")
 
 
