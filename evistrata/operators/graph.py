@@ -163,3 +163,18 @@ def preservation(mods: DataFrame, fold: str, module: str, node: str) -> DataFram
     per = best.groupBy("f_a", "m_a").agg(F.sum("j").alias("j"))
     every = size.select(F.col(fold).alias("f_a"), F.col(module).alias("m_a")).join(per, ["f_a", "m_a"], "left").crossJoin(F.broadcast(others))  # one row
     return every.select(F.col("f_a").alias(fold), F.col("m_a").alias(module), (F.coalesce("j", F.lit(0.0)) / F.greatest(F.lit(1), F.col("others"))).alias("preservation"))
+
+
+def without_shared_predictors(edges: DataFrame, predictors: DataFrame, most: float = 0.25, gene: str = "gene", snp: str = "snp") -> DataFrame:
+    """Edges (u, v) whose genes' predictors have a Jaccard similarity below ``most``; genes without predictors share none.
+
+    Predictors are met along the edges alone, so pairs of genes without an edge never arise.
+    """
+    own = predictors.select(gene, snp).distinct()
+    sizes = own.groupBy(gene).agg(F.count("*").alias("n"))
+    pairs = edges.select("u", "v").distinct()
+    a, b = (own.select(F.col(gene).alias(x), F.col(snp).alias("s")) for x in "uv")
+    shared = pairs.join(a, "u").join(b, ["v", "s"]).groupBy("u", "v").agg(F.count("*").alias("shared"))
+    nu, nv = (sizes.select(F.col(gene).alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
+    close = shared.join(nu, "u").join(nv, "v").filter(F.col("shared") >= most * (F.col("n_u") + F.col("n_v") - F.col("shared")))
+    return edges.join(close.select("u", "v"), ["u", "v"], "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -73,6 +73,16 @@ def train_and_score(df: DataFrame, features: list[str], n_features: int = 20, gr
     return out
 
 
+def save(prepare: PipelineModel, model, path: str) -> None:
+    """Write what prepares the features and the model on them as one pipeline."""
+    PipelineModel([*prepare.stages, model]).write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """A pipeline that ``save`` has written."""
+    return PipelineModel.load(path)
+
+
 def importances(model, names: list[str]) -> list[tuple[str, float]]:
     """Feature importances of trees, or absolute coefficients, largest first."""
     values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())

@@ -263,3 +263,43 @@ def predictor_map(spark: SparkSession, path: str) -> DataFrame:
     df = resolve_columns(sniffed(spark, path), {"gene": ["gene"], "snps": ["snps", "snp"]}, required=("gene", "snps"))
     return df.select(without_version(F.col("gene")).alias("gene"), F.explode(F.split(F.regexp_replace("snps", r"[\[\]'\"]", ""), r"[;,|\s]+")).alias("snp")).filter("snp <> ''").distinct()
 
+
+
+def model_files(spark: SparkSession, folder: str, prefix: str, suffix: str = ".db") -> DataFrame:
+    """(tissue, path) of the weight models ``<prefix><tissue><suffix>`` in a folder; their content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{suffix}").option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.expr(f"substring(element_at(split(path, '/'), -1), {len(prefix) + 1}, length(element_at(split(path, '/'), -1)) - {len(prefix) + len(suffix)})").alias("tissue"), "path").filter(F.length(name) > len(prefix) + len(suffix))
+
+
+def fasta_windows(spark: SparkSession, path: str, windows: DataFrame) -> DataFrame:
+    """Add ``sequence`` to windows of (chrom, start, end), places from 0 and the end left out.
+
+    The index ``<path>.fai`` says where each sequence lies; tasks read the byte ranges through the
+    store that pyarrow knows by the path. Windows are cut at the sequence's ends; one of an unknown
+    sequence has a null.
+    """
+    index = spark.read.option("sep", "\t").schema("__name string, __length long, __offset long, __bases long, __width long").csv(f"{path}.fai")
+    joined = windows.join(index, F.col("chrom") == F.col("__name"), "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
+    names = windows.columns
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, own = pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        with fs.open_input_file(own) as f:
+            for pdf in batches:
+                out = []
+                for r in pdf.itertuples(index=False):
+                    length, offset, bases, width = r[-4:]
+                    if pd.isna(length):
+                        out.append(None)
+                        continue
+                    a, b = max(0, int(r.start)), min(int(length), int(r.end))
+                    first, last = (int(offset) + p // int(bases) * int(width) + p % int(bases) for p in (a, max(a, b)))
+                    data = f.read_at(last - first, first).decode("ascii") if b > a else ""
+                    out.append("".join(data.split()).upper())
+                yield pdf[names].assign(sequence=out)
+
+    return joined.select(*names, "__length", "__offset", "__bases", "__width").mapInPandas(fetch, f"{schema}, sequence string")

@@ -37,6 +37,20 @@ def dosage(genotypes: DataFrame, path: str) -> None:
     rows.select("chr", line.alias("value"), "pos").repartition("chr").sortWithinPartitions("chr", "pos").select("chr", "value").write.mode("overwrite").partitionBy("chr").option("compression", "gzip").text(path)
 
 
+def vcf(genotypes: DataFrame, path: str) -> None:
+    """Genotypes as VCF text a chromosome, in order of position: the column line, then variants with a position above 0.
+
+    A line holds the genotypes of one variant, in sample order: 0/0, 0/1, 1/1, or ./. where missing.
+    """
+    call = F.when(F.col("dosage") == 0, "0/0").when(F.col("dosage") == 1, "0/1").when(F.col("dosage") == 2, "1/1").otherwise("./.")
+    rows = genotypes.filter("pos > 0").groupBy("chr", "snp", "pos", "ref", "alt").agg(F.array_sort(F.collect_list(F.struct("sample", call.alias("g")))).alias("all"))
+    fixed = F.concat_ws("\t", "chr", F.col("pos").cast("string"), "snp", "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), F.array_join(F.transform("all", lambda x: x["g"]), "\t"))
+    head = F.concat_ws("\t", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.array_join(F.transform("all", lambda x: x["sample"].cast("string")), "\t"))
+    heads = rows.groupBy("chr").agg(F.min(head).alias("value")).select("chr", F.lit(0).alias("pos"), "value")
+    lines = heads.unionByName(rows.select("chr", "pos", fixed.alias("value")))
+    lines.repartition("chr").sortWithinPartitions("chr", "pos", "value").select("chr", "value").write.mode("overwrite").partitionBy("chr").text(path)
+
+
 def latex(df: DataFrame, caption: str, label: str) -> str:
     """A LaTeX table of at most ``REPORT_ROWS`` rows; ValueError if there are more."""
     rows = df.limit(REPORT_ROWS + 1).collect()

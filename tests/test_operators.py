@@ -211,3 +211,25 @@ def test_empirical_agrees_with_exact(spark):
     args = [F.col(c) for c in ("k", "m", "s", "d")]
     for r in df.select(P.hypergeometric_p(*args).alias("x"), P.empirical_hypergeometric_p(F.col("u"), *args).alias("e")).collect():
         assert abs(r.x - r.e) < 0.02
+
+
+def test_edges_with_shared_predictors_go(spark):
+    edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.8), ("c", "d", 0.7)], "u string, v string, w double")
+    snps = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("b", "s2"), ("b", "s3"), ("c", "s1"), ("c", "s4"), ("c", "s5"), ("c", "s5"), ("c", "s6"), ("c", "s7")], "gene string, snp string")
+    assert sorted((r.u, r.v) for r in G.without_shared_predictors(edges, snps).collect()) == [("a", "c"), ("c", "d")]
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+
+    from evistrata.operators import ml
+
+    rows = [(float(i % 2), float(i % 2) + (i % 5) / 10, float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "label double, x double, y double")
+    ready = ml.prepared(df, ["x", "y"], 2)
+    model = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01).fit(ready.transform(df))
+    ml.save(ready, model, str(tmp_path / "m"))
+    again = ml.load(str(tmp_path / "m"))
+    want = [r.prediction for r in model.transform(ready.transform(df)).select("prediction").collect()]
+    assert [r.prediction for r in again.transform(df).select("prediction").collect()] == want
+    assert ml.importances(again.stages[-1], ["x", "y"])[0][0] == "x"

@@ -8,6 +8,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evistrata.functions import sequences as Q
+from evistrata.functions import text as X
 from evistrata.sources import readers as R
 from evistrata.sources import writers as W
 from evistrata.streaming.ingest import ingest_new
@@ -82,6 +84,39 @@ def test_annotations(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.ok for r in R.intact_gzip(spark, str(tmp_path / "z")).collect()} == {"ok.gz": True, "bad.gz": False}
 
 
+def test_vcf_is_written_and_read(spark, tmp_path):
+    rows = [("1", f"rs{p}", p, "A", "G", s, d) for p, ds in ((30, (0.0, 1.0)), (20, (2.0, None)), (0, (1.0, 1.0))) for s, d in zip(("s1", "s2"), ds)]
+    W.vcf(spark.createDataFrame(rows, "chr string, snp string, pos int, ref string, alt string, sample string, dosage double"), str(tmp_path / "v"))
+    lines = [x for f in sorted((tmp_path / "v/chr=1").glob("*.txt")) for x in f.read_text().splitlines()]
+    assert lines == ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2", "1\t20\trs20\tA\tG\t.\t.\t.\tGT\t1/1\t./.", "1\t30\trs30\tA\tG\t.\t.\t.\tGT\t0/0\t0/1"]
+    assert [r.sample for r in R.vcf_samples(spark, str(tmp_path / "v/chr=1")).orderBy("place").collect()] == ["s1", "s2"]
+
+
+def test_models_and_sequences(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for name in ("mashr_Liver.db", "mashr_Whole_Blood.db", "mashr_.db", "other.db", "mashr_x.txt"):
+        (tmp_path / "m" / name).write_bytes(b"x")
+    assert sorted(r.tissue for r in R.model_files(spark, str(tmp_path / "m"), "mashr_").collect()) == ["Liver", "Whole_Blood"]
+    put(tmp_path / "g.fa", ">c1\nACGTA\nCCGGT\nAA\n>c2\nttt\n")
+    put(tmp_path / "g.fa.fai", "c1\t12\t4\t5\t6\nc2\t3\t23\t3\t4\n")
+    w = spark.createDataFrame([("c1", 3, 9), ("c1", -4, 2), ("c1", 10, 99), ("c2", 0, 3), ("c3", 0, 1), ("c1", 5, 5)], "chrom string, start long, end long")
+    got = {(r.chrom, r.start): r.sequence for r in R.fasta_windows(spark, str(tmp_path / "g.fa"), w).collect()}
+    assert got == {("c1", 3): "TACCGG", ("c1", -4): "AC", ("c1", 10): "AA", ("c2", 0): "TTT", ("c3", 0): None, ("c1", 5): ""}
+    df = spark.createDataFrame([("ACGT", 10, [(11, "T", 2), (13, "G", 1), (99, "A", 2), (10, "GG", 2)]), ("ANX", 0, [])], "s string, start int, v array<struct<pos:int,alt:string,dosage:int>>")
+    rows = df.select(Q.with_variants(F.col("s"), F.col("start"), F.col("v")), Q.one_hot(F.col("s"))).collect()
+    assert [r[0] for r in rows] == ["ATGT", "ANX"]
+    assert rows[1][1] == [[1, 0, 0, 0, 0], [0, 0, 0, 0, 1], [0, 0, 0, 0, 1]]
+
+
+def test_names_from_trials_and_folders(spark):
+    df = spark.createDataFrame([("MK0462 (x) Rizatriptan Benzoate 10 mg oral",), ("A/B & iv c malate",), ("null",), (None,)], "x string")
+    assert [r[0] for r in df.select(X.drug_key(F.col("x"), trial=True)).collect()] == ["rizatriptan", "a b and c", "", ""]
+    assert [r[0] for r in df.select(X.drug_key(F.col("x"))).collect()] == ["mk0462 rizatriptan oral", "a b and iv c malate", "null", ""]
+    names = spark.createDataFrame([("Welch-t_val",), ("limma_voom_training_fixed",), ("x_test_y",), (None,)], "x string")
+    alias = {"train": "training", "training": "training", "val": "validation", "test": "test"}
+    assert [tuple(r) for r in names.select(*X.method_and_split(F.col("x"), alias)).collect()] == [("welch_t", "validation"), ("limma_voom", "training"), (None, None), (None, None)]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 0.5), ("b_&", 2, None)], "gene string, fold int, x double")
     W.table(df, f"{tmp_path}/t", ["fold"])
