@@ -1,7 +1,7 @@
 """Iterative and resampling kernels: numpy on blocks of genes, a block of a group a task.
 
 Every function takes long rows (group keys, gene, sample, value) and cuts the genes of a group into
-blocks of ``BLOCK`` by hash, so a task holds a block times the group's samples and no more.
+blocks of about ``BLOCK_GENES`` by hash, so a task holds a block times the group's samples and no more.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from evistrata.functions.pvalues import normal_two_sided, t_two_sided
 
-#: Genes of a group are dealt to this many blocks.
-BLOCKS = 16
+#: Genes of a block, about; the number of blocks follows from the number of genes.
+BLOCK_GENES = 32
 
 
 def _blocked(df: DataFrame, keys: list[str], gene: str):
-    return df.withColumn("__block", F.pmod(F.xxhash64(gene), F.lit(BLOCKS))).groupBy(*keys, "__block")
+    blocks = max(1, -(-df.select(gene).distinct().count() // BLOCK_GENES))
+    return df.withColumn("__block", F.pmod(F.xxhash64(gene), F.lit(blocks))).groupBy(*keys, "__block")
 
 
 def _schema(df: DataFrame, keys: list[str], gene: str, rest: str) -> str:
