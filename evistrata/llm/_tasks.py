@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,16 @@ def key_chunks(batches: Iterator[pa.RecordBatch], rows: int, column: int = 0) ->
         yield pa.Table.from_batches(held)
 
 
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows``, after which a task gives the memory that Arrow keeps back to the system, as workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Text handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 8_000_000
+#: Text handled at once, or by what needs a multiple of it; a longer text is a slice of its own.
+SLICE_BYTES, SMALL_SLICE_BYTES = 8_000_000, 3_000_000
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise
-from evistrata.llm._tasks import record
-from evistrata.llm._words import slices, split_words
+from evistrata.llm._tasks import record, tidy
+from evistrata.llm._words import SMALL_SLICE_BYTES, slices, split_words
 
 #: Labelled texts to learn from, about; chosen by a hash of text and label.
 SAMPLE_TEXTS = 10_000
@@ -102,7 +102,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         value_set = pa.array(known.words, pa.string())
         for batch in batches:
             texts = pc.fill_null(batch.column(1) if text_col not in keep else batch.column(1).field(keep.index(text_col)), "")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SMALL_SLICE_BYTES):
                 lowered = pc.replace_substring_regex(pc.utf8_lower(texts.slice(a, b - a)), r"[^\pL]+", " ")
                 offsets, words = split_words(lowered)
                 coded = pc.dictionary_encode(words)
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     whole = F.struct(*keep).alias("kept") if text_col in keep else F.col(text_col)
     schema = "id long, lang_pred string, score double" + (f", kept {dict(docs.select(whole).dtypes)['kept']}" if text_col in keep else "")
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole).mapInArrow(rows, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id_col)
 
 
 def held_out(col: str = "doc_id") -> Column:

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise, text_or_empty
-from evistrata.llm._tasks import column, concat_ranges, key_chunks, record
-from evistrata.llm._words import gram_hashes, hashed, mixed, slices, split_words
+from evistrata.llm._tasks import column, concat_ranges, key_chunks, record, tidy
+from evistrata.llm._words import SMALL_SLICE_BYTES, gram_hashes, hashed, mixed, slices, split_words
 from evistrata.operators.graph import connected_components
 
 #: Hashes in a bitmap have MARK_LOAD bits each, between these powers of two in all (128 MB at most, sent to every executor). A full one only costs time.
@@ -100,7 +100,7 @@ def _document_frequencies(words: int, percent: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SMALL_SLICE_BYTES):
                 offsets, hashes = shingle_sets(batch.column("text").slice(a, b - a), words)
                 first = _firsts(set_keys(offsets, hashes))
                 n = np.diff(offsets)[first]
@@ -150,7 +150,7 @@ def _prefixes(words: int, percent: int, marks):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, common = marks.value
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SMALL_SLICE_BYTES):
                 offsets, hashes = shingle_sets(batch.column("text").slice(a, b - a), words)
                 n, keys = np.diff(offsets), set_keys(offsets, hashes)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -357,13 +357,13 @@ class _Join:
         self.words, self.percent = words, percent
         self.docs = docs.withColumn("text_key", F.xxhash64("text"))
         spark = docs.sparkSession
-        counted = docs.select("text").mapInArrow(_document_frequencies(words, percent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+        counted = docs.select("text").mapInArrow(tidy(_document_frequencies(words, percent)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = materialise(counted, "shingles-shared")
         shared = _bitmap(counted, "shingle")
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
         common = np.sort(column(frequent, "shingle").view(np.uint64))
         marks = spark.sparkContext.broadcast((shared, common))
-        self.facts = materialise(self.docs.mapInArrow(_prefixes(words, percent, marks), "doc_id long, text_key long, n long, class_key binary, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
+        self.facts = materialise(self.docs.mapInArrow(tidy(_prefixes(words, percent, marks)), "doc_id long, text_key long, n long, class_key binary, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
         marks.unpersist()
         classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("text_of"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         self.classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
@@ -373,7 +373,7 @@ class _Join:
         groups = self.classes.groupBy("group_key", "prefix", "n").agg(F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
         self.groups = materialise(groups, "shingle-groups")
         postings = self.groups.select("n", "sketch", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos", "sketch")
-        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(_lists(percent), POSTING), "shingle-lists")
+        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(tidy(_lists(percent)), POSTING), "shingle-lists")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of class pairs (class_a, class_b) those that verify on the texts.
@@ -387,13 +387,13 @@ class _Join:
         wanted = self.members.join(used, "class_key", "left_semi").select("class_key", F.col("text_of.doc_id").alias("w_doc"), F.col("text_of.text_key").alias("w_key"))
         wanted = materialise(wanted, "pairs-classes")
         marks = self.docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "w_key"))
-        near = self.docs.select("doc_id", "text", "text_key").mapInArrow(_maybe_wanted(marks), "doc_id long, text string, text_key long")
+        near = self.docs.select("doc_id", "text", "text_key").mapInArrow(tidy(_maybe_wanted(marks)), "doc_id long, text string, text_key long")
         # Repeated rows have one text.
         texts = near.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).groupBy("class_key").agg(F.first("text").alias("text"))
         texts = materialise(texts, "pairs-texts")
         of = lambda x: texts.select(F.col("class_key").alias(f"class_{x}"), F.col("text").alias(f"text_{x}")).hint("merge")
         both = kept.join(of("a"), "class_a").join(of("b"), "class_b")
-        return materialise(both.mapInArrow(_verified(self.words, self.percent), LINK), "links")
+        return materialise(both.mapInArrow(tidy(_verified(self.words, self.percent)), LINK), "links")
 
     def components(self) -> DataFrame:
         """(class_key, label): equal labels where links reach."""

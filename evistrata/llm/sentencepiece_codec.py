@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from evistrata.llm._chunks import ChunkCodes
 from evistrata.llm._shared import text_or_empty
-from evistrata.llm._tasks import concat_ranges, record
-from evistrata.llm._words import slices
+from evistrata.llm._tasks import concat_ranges, record, tidy
+from evistrata.llm._words import SMALL_SLICE_BYTES, slices
 
 SPACE = "▁"
-#: Chunks and pair verdicts kept by a worker, characters in one suffix array, and bytes of text at once; all bound its memory.
-MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHARS, TEXT_BYTES = 250_000, 300_000, 200_000, 3_000_000
+#: Chunks and pair verdicts kept by a worker, and characters in one suffix array; all bound its memory.
+MEMO_ENTRIES, PAIR_ENTRIES, BATCH_CHARS = 150_000, 250_000, 150_000
 
 _chunk = re.compile(" *[^ ]+| +")
 _codecs: dict[str, Codec] = {}
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for a, b in slices(batch.column(1), TEXT_BYTES):
+            for a, b in slices(batch.column(1), SMALL_SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 counts, ids = own.encode_array(pc.replace_substring(part.column(1), SPACE, " "))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     kinds = dict(docs.dtypes)
     schema = "id long, n_pieces long, ids array<int>" + "".join(f", {c} {kinds[c]}" for c in keep)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *keep)
-    return texts.mapInArrow(rows, schema).withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(rows), schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -263,7 +263,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             counts = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
             yield record(id=batch.column(0), text=own.decode_array(counts, ids.flatten().to_numpy(zero_copy_only=False)))
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(rows, "id long, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(rows), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
@@ -278,7 +278,7 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for a, b in slices(batch.column(1), TEXT_BYTES):
+            for a, b in slices(batch.column(1), SMALL_SLICE_BYTES):
                 texts = pc.replace_substring(batch.column(1).slice(a, b - a), SPACE, " ")
                 counts, ids = own.encode_array(texts)
                 back = own.decode_array(counts, ids)
@@ -293,4 +293,4 @@ def codec_report(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.mapInArrow(rows, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean")
+    return texts.mapInArrow(tidy(rows), "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string, round_trip boolean")
