@@ -13,6 +13,7 @@ shape and neighbours must carry what the patterns do not know.
 from __future__ import annotations
 
 import hashlib
+import operator
 import random
 import re
 import string
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise, text_or_empty
 from evistrata.llm._tasks import concat_ranges, record
-from evistrata.llm._words import slices, split_words
+from evistrata.llm._words import SMALL_SLICE_BYTES, slices, split_words
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -51,7 +52,11 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 KEYWORDS = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "key", "access", "credential", "auth", "bearer", "pwd", "login", "private")
 #: Characters of the secrets in other forms.
 ALPHABETS = (*(string.digits + x for x in ("abcdef", "ABCDEF", string.ascii_letters, string.ascii_uppercase, string.ascii_lowercase, string.ascii_letters + "+/", string.ascii_letters + "_-")), string.ascii_letters)
+HEXADECIMAL = set(string.hexdigits)
+#: Tokens whose features a worker keeps, of up to 40 characters; they are the same for every field.
+MEMO_ENTRIES = 150_000
 _word = re.compile(r"[^ \t-\r]+")
+_memo: dict[str, list[int]] = {}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -84,20 +89,33 @@ def _keyword(token: str) -> str:
 
 def token_features(token: str) -> tuple[list[int], list[int], list[int]]:
     """Hashed features a token gives to itself, to the token behind it and to the one before it."""
-    shape, word = _shape(token), _keyword(token)
-    core = token.strip("\"'`,.;:()[]{}<>#*%&$")
-    kinds = "".join(x for x, f in (("A", str.isupper), ("a", str.islower), ("0", str.isdigit)) if any(map(f, core)))
+    core, word = token.strip("\"'`,.;:()[]{}<>#*%&$"), _keyword(token)
     size = min(len(core) // 4, 10)
-    digits = sum(c.isdigit() for c in core) * 5 // max(1, len(core))
-    classes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" for c in core[:64]]
-    turns = min(sum(x != y for x, y in zip(classes, classes[1:])) * 8 // max(1, len(classes)), 6)
-    hexadecimal = int(bool(core) and all(c in "0123456789abcdefABCDEF" for c in core))
-    distinct = min(len(set(core)) // 4, 6)
+    if core.isalpha() and core.islower():  # most words of a text
+        shape = ("aa" if len(core) > 1 else "a") if core == token else _shape(token)
+        kinds, digits, turns = "a", 0, 0
+    else:
+        shape = _shape(token)
+        kinds = "".join(x for x, f in (("A", str.isupper), ("a", str.islower), ("0", str.isdigit)) if any(map(f, core)))
+        digits = sum(map(str.isdigit, core)) * 5 // max(1, len(core))
+        classes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" for c in core[:64]]
+        turns = min(sum(map(operator.ne, classes, classes[1:])) * 8 // max(1, len(classes)), 6)
+    letters = set(core)
+    hexadecimal, distinct = int(bool(core) and letters <= HEXADECIMAL), min(len(letters) // 4, 6)
     last = token[-1:] if not token[-1:].isalnum() else "x"
     own = [f"s{shape[:6]}", f"z{size}/{kinds}", f"d{digits}/{size}", f"k{word}/{last}", f"u{distinct}/{kinds}", f"t{turns}/{size}/{kinds}", f"h{hexadecimal}/{size}/{digits > 0}", "b"]
     return [_hash(x) for x in own], [_hash(f"<{x}") for x in (f"s{shape[-3:]}", f"k{word}/{last}")], [_hash(f">{x}") for x in (f"z{size}/{kinds}", f"k{word}")]
 
 
+def _remembered(token: str) -> list[int]:
+    found = _memo.get(token)
+    if found is None:
+        found = [x for part in token_features(token) for x in part]
+        if len(_memo) < MEMO_ENTRIES and len(token) <= 40:
+            _memo[token] = found
+    return found
+
+
 def file_features(n_tokens: int, with_digits: int) -> list[int]:
     return [_hash(f"f{min(n_tokens, 1 << 16).bit_length()}"), _hash(f"g{min(9, with_digits * 50 // max(1, n_tokens))}")]
 
@@ -352,18 +370,9 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, pairs = shared.value.weights, shared.value.pairs
         none = weights[_hash("none")] * 2
-        memo: dict[str, list[int]] = {}
-
-        def features(token: str) -> list[int]:
-            found = memo.get(token)
-            if found is None:
-                found = [x for part in token_features(token) for x in part]
-                if len(memo) < 200_000:
-                    memo[token] = found
-            return found
 
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SMALL_SLICE_BYTES):
                 texts = batch.column(1).slice(lo, hi - lo)
                 lines = pc.split_pattern(texts, "\n")
                 per_doc = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -371,7 +380,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 in_doc = np.concatenate([[0], np.cumsum(per_doc)])
                 doc_words = np.diff(offsets[in_doc])
                 coded = pc.dictionary_encode(words)
-                table = np.fromiter((x for t in coded.dictionary.to_pylist() for x in features(t)), np.int64, len(coded.dictionary) * (FEATURES - 2)).reshape(-1, FEATURES - 2)
+                table = np.fromiter((x for t in coded.dictionary.to_pylist() for x in _remembered(t)), np.int64, len(coded.dictionary) * (FEATURES - 2)).reshape(-1, FEATURES - 2)
                 own, behind, before = (sum(weights[table[:, j]] for j in columns) for columns in (range(OWN), (OWN, OWN + 1), (OWN + 2, OWN + 3)))
                 codes = coded.indices.to_numpy(zero_copy_only=False)
                 emission = own[codes]
