@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,15 +33,23 @@ def key_chunks(batches: Iterator[pa.RecordBatch], rows: int, column: int = 0) ->
 
 
 def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``rows``, after which a task gives the memory that Arrow keeps back to the system, as workers live on."""
+    """``rows``, after which a task gives spare memory back to the system, as workers live on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """What Arrow's pool and, where the C library can, its heap hold without use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 

@@ -45,6 +45,8 @@ MARK_LOAD, MARK_BITS = 16, (16, 30)
 COMMON_DOCS = 50
 #: At most so many common shingles are told apart (8 bytes each, sent to every executor); the rest only cost time.
 COMMON_MAX = 1_000_000
+#: Postings that a task holds at once, but for a longer list.
+LIST_ROWS = 50_000
 #: Member classes of a group that are compared at once.
 BLOCK = 128
 #: Bits of a parity sketch.
@@ -208,7 +210,7 @@ def _lists(percent: int):
     """Of postings sorted by shingle: the entries of lists with two or more, and star pairs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_chunks(batches, 200_000):
+        for table in key_chunks(batches, LIST_ROWS):
             begin = np.append(True, column(table, "shingle")[1:] != column(table, "shingle")[:-1])
             sizes = np.diff(np.append(np.flatnonzero(begin), table.num_rows))
             many = table.filter(pa.array(np.repeat(sizes > 1, sizes)))
@@ -248,7 +250,7 @@ def _open_pairs(percent: int):
     """Of list entries with their groups' components: pairs that may link different components."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in key_chunks(batches, 200_000):
+        for table in key_chunks(batches, LIST_ROWS):
             shingle, group, n, pos, label = (column(table, c) for c in ("shingle", "a", "n", "pos", "label"))
             mixed_group = table["mixed"].to_numpy().astype(bool)
             sketches = _sketches(table["sketch"])
@@ -382,7 +384,7 @@ class _Join:
         """
         side = lambda x: self.members.select(*[F.col(c).alias(f"{d}_{x}") for c, d in (("class_key", "class"), ("n", "n"), ("sketch", "sketch"))]).hint("merge")
         full = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")).distinct().join(side("a"), "class_a").join(side("b"), "class_b")
-        kept = materialise(full.mapInArrow(_sketch_filter(self.percent), LINK), "pairs-filtered")
+        kept = materialise(full.mapInArrow(tidy(_sketch_filter(self.percent)), LINK), "pairs-filtered")
         used = kept.select(F.col("class_a").alias("class_key")).unionByName(kept.select(F.col("class_b").alias("class_key"))).distinct()
         wanted = self.members.join(used, "class_key", "left_semi").select("class_key", F.col("text_of.doc_id").alias("w_doc"), F.col("text_of.text_key").alias("w_key"))
         wanted = materialise(wanted, "pairs-classes")
@@ -405,7 +407,7 @@ class _Join:
         labels = materialise(labels, "labels")
         of_group = materialise(labels.groupBy("group_key").agg(F.min("label").alias("label"), (F.min("label") < F.max("label")).alias("mixed"), F.count("*").alias("size")), "group-labels")
         entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group.drop("size").hint("merge"), F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", F.xxhash64("label").alias("label"), "mixed")
-        across = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_pairs(self.percent), POSTING).select("a", "b").distinct()
+        across = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(tidy(_open_pairs(self.percent)), POSTING).select("a", "b").distinct()
         inside = of_group.filter("mixed").select(F.col("group_key").alias("a"), F.col("group_key").alias("b"))
         pairs = materialise(across.unionByName(inside), "open-groups")
         open_groups = pairs.select(F.col("a").alias("group_key")).unionByName(pairs.select(F.col("b").alias("group_key"))).distinct().join(of_group.select("group_key", "size"), "group_key")
@@ -413,7 +415,7 @@ class _Join:
         blocks = labels.join(open_groups, "group_key").groupBy("group_key", "n", block.alias("block")).agg(F.collect_list(F.struct("class_key", "label", "sketch")).alias("m"))
         blocks = materialise(blocks.select("group_key", "n", F.col("m.class_key").alias("classes"), F.col("m.label").alias("labels"), F.flatten("m.sketch").alias("sketches")), "open-members")
         side = lambda x: blocks.select(F.col("group_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "classes", "labels", "sketches")])
-        more = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_expanded(self.percent), LINK)
+        more = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(_expanded(self.percent)), LINK)
         of = lambda x: labels.select(F.col("class_key").alias(f"class_{x}"), F.col("label").alias(f"label_{x}"))
         joined = self._links(more).join(of("a"), "class_a").join(of("b"), "class_b").select("label_a", "label_b").distinct()
         merged = connected_components(materialise(joined, "label-links"), "label_a", "label_b")
