@@ -13,7 +13,6 @@ shape and neighbours must carry what the patterns do not know.
 from __future__ import annotations
 
 import hashlib
-import operator
 import random
 import re
 import string
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from evistrata.llm._shared import materialise, text_or_empty
 from evistrata.llm._tasks import concat_ranges, record
-from evistrata.llm._words import SMALL_SLICE_BYTES, slices, split_words
+from evistrata.llm._words import slices, split_words
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -73,38 +72,49 @@ def _hash(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) & ((1 << BITS) - 1)
 
 
+class _Kinds(dict):
+    """Code points to the kind of their character: 0, A, a, or the character itself."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return self[point]
+
+
+_kinds = _Kinds()
+_long_runs, _changes = re.compile(r"(.)\1{2,}", re.S), re.compile(r"(.)\1*", re.S)
+_any_keyword = re.compile("|".join(KEYWORDS))
+
+
 def _shape(token: str) -> str:
-    out = []
-    for c in token[:64]:
-        kind = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if out[-2:] != [kind, kind]:
-            out.append(kind)
-    return "".join(out[:12])
+    """Kinds of a token's characters, at most two of a kind in a row."""
+    return _long_runs.sub(r"\1\1", token[:64].translate(_kinds))[:12]
 
 
 def _keyword(token: str) -> str:
     low = token.lower()
-    return next((k for k in KEYWORDS if k in low), "")
+    return next(k for k in KEYWORDS if k in low) if _any_keyword.search(low) else ""
+
+
+@lru_cache(1 << 16)
+def _hashed_features(shape: str, word: str, last: str, size: int, kinds: str, digits: int, turns: int, hexadecimal: bool, distinct: int) -> tuple[list[int], list[int], list[int]]:
+    own = [f"s{shape[:6]}", f"z{size}/{kinds}", f"d{digits}/{size}", f"k{word}/{last}", f"u{distinct}/{kinds}", f"t{turns}/{size}/{kinds}", f"h{int(hexadecimal)}/{size}/{digits > 0}", "b"]
+    return [_hash(x) for x in own], [_hash(f"<{x}") for x in (f"s{shape[-3:]}", f"k{word}/{last}")], [_hash(f">{x}") for x in (f"z{size}/{kinds}", f"k{word}")]
 
 
 def token_features(token: str) -> tuple[list[int], list[int], list[int]]:
     """Hashed features a token gives to itself, to the token behind it and to the one before it."""
-    core, word = token.strip("\"'`,.;:()[]{}<>#*%&$"), _keyword(token)
-    size = min(len(core) // 4, 10)
+    core = token.strip("\"'`,.;:()[]{}<>#*%&$")
+    letters, last = set(core), token[-1:] if not token[-1:].isalnum() else "x"
+    size, distinct = min(len(core) // 4, 10), min(len(letters) // 4, 6)
     if core.isalpha() and core.islower():  # most words of a text
         shape = ("aa" if len(core) > 1 else "a") if core == token else _shape(token)
-        kinds, digits, turns = "a", 0, 0
-    else:
-        shape = _shape(token)
-        kinds = "".join(x for x, f in (("A", str.isupper), ("a", str.islower), ("0", str.isdigit)) if any(map(f, core)))
-        digits = sum(map(str.isdigit, core)) * 5 // max(1, len(core))
-        classes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" for c in core[:64]]
-        turns = min(sum(map(operator.ne, classes, classes[1:])) * 8 // max(1, len(classes)), 6)
-    letters = set(core)
-    hexadecimal, distinct = int(bool(core) and letters <= HEXADECIMAL), min(len(letters) // 4, 6)
-    last = token[-1:] if not token[-1:].isalnum() else "x"
-    own = [f"s{shape[:6]}", f"z{size}/{kinds}", f"d{digits}/{size}", f"k{word}/{last}", f"u{distinct}/{kinds}", f"t{turns}/{size}/{kinds}", f"h{hexadecimal}/{size}/{digits > 0}", "b"]
-    return [_hash(x) for x in own], [_hash(f"<{x}") for x in (f"s{shape[-3:]}", f"k{word}/{last}")], [_hash(f">{x}") for x in (f"z{size}/{kinds}", f"k{word}")]
+        return _hashed_features(shape, _keyword(token), last, size, "a", 0, 0, letters <= HEXADECIMAL, distinct)
+    seen = core[:64].translate(_kinds)
+    kinds = "".join([k for k in "Aa0" if k in seen])
+    digits = seen.count("0") * 5 // max(1, len(seen))
+    turns = min((len(_changes.findall(seen)) - 1) * 8 // max(1, len(seen)), 6) if seen else 0
+    return _hashed_features(_shape(token), _keyword(token), last, size, kinds, digits, turns, bool(core) and letters <= HEXADECIMAL, distinct)
 
 
 def _remembered(token: str) -> list[int]:
@@ -372,7 +382,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         none = weights[_hash("none")] * 2
 
         for batch in batches:
-            for lo, hi in slices(batch.column(1), SMALL_SLICE_BYTES):
+            for lo, hi in slices(batch.column(1)):
                 texts = batch.column(1).slice(lo, hi - lo)
                 lines = pc.split_pattern(texts, "\n")
                 per_doc = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
