@@ -201,55 +201,3 @@ def moderated_t(df: DataFrame, keys: list[str], gene: str = "gene", value: str =
         return out
 
     return stats.groupBy(*keys).applyInPandas(shrink, _schema(df, keys, gene, "log_fc double, t double, df double, p double, s2_post double"))
-
-
-def coexpression(df: DataFrame, keys: list[str], least_pairs: int = 20, quantile: float = 0.995, reps: int = 50, stable: float = 0.6, sign: float = 0.9, seed: int = 42, gene: str = "gene") -> DataFrame:
-    """Stable gene pairs of each group: correlations above a null threshold in most bootstrap samples.
-
-    The threshold is the quantile of abs r after each gene's present values are shuffled. A pair
-    stays if abs r passes it in a share ``stable`` of the resamples with one sign in a share
-    ``sign``. One group is one task with a genes-by-genes matrix: choose at most about 2000 genes
-    beforehand (``consistent_genes``).
-    """
-
-    def r_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have = ~np.isnan(x)
-        z, h = np.where(have, x, 0.0), have.astype(float)
-        n = h.T @ h
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sx, sxx, sxy = z.T @ h, (z * z).T @ h, z.T @ z
-            cov = sxy - sx * sx.T / n
-            r = cov / np.sqrt((sxx - sx**2 / n) * (sxx - sx**2 / n).T)
-        return np.where(n >= least_pairs, r, np.nan), n
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="sample", columns=gene, values="value", aggfunc="first")
-        x, rng = wide.to_numpy(float), np.random.default_rng(seed)
-        up = np.triu_indices(x.shape[1], 1)
-        null = []
-        for _ in range(2):
-            y = x.copy()
-            for j in range(y.shape[1]):
-                at = np.flatnonzero(~np.isnan(y[:, j]))
-                y[at, j] = y[rng.permutation(at), j]
-            null.append(np.abs(r_of(y)[0][up]))
-        null = np.concatenate(null) if null else np.zeros(0)
-        limit = np.nanquantile(null, quantile) if np.isfinite(null).any() else np.inf
-        hits, plus = np.zeros(len(up[0])), np.zeros(len(up[0]))
-        for _ in range(reps):
-            r = r_of(x[rng.integers(0, len(x), len(x))])[0][up]
-            far = np.abs(r) >= limit
-            hits += far
-            plus += far & (r > 0)
-        whole, n = r_of(x)
-        share = hits / reps
-        keep = (share >= stable) & (np.maximum(plus, hits - plus) >= sign * np.maximum(hits, 1))
-        names = np.array(wide.columns, dtype=object)
-        out = pd.DataFrame({"u": names[up[0]][keep], "v": names[up[1]][keep], "w": whole[up][keep], "n": n[up][keep].astype(int), "frequency": share[keep], "threshold": limit})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "u", "v", "w", "n", "frequency", "threshold"]]
-
-    kinds = dict(df.dtypes)
-    head = "".join(f"{k} {kinds[k]}, " for k in keys)
-    return df.select(*keys, gene, "sample", "value").groupBy(*keys).applyInPandas(pairs, f"{head}u {kinds[gene]}, v {kinds[gene]}, w double, n long, frequency double, threshold double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evistrata.functions import pvalues as P
 from evistrata.operators import causal as C
+from evistrata.operators import coexpression as CX
 from evistrata.operators import graph as G
 from evistrata.operators import kernels as K
 from evistrata.operators import ranking as R
@@ -353,9 +354,30 @@ def m12_residualised(spark: SparkSession, d: str) -> DataFrame:
     return K.residualised(e, cov, ["grp"], ["c1", "c2"]).select("gene", "sample", (F.round("value", 6) + 0.0).alias("value"))
 
 
+def gapped(spark: SparkSession, d: str) -> DataFrame:
+    """Expression with gaps, in three groups of samples."""
+    value = F.when((F.col("sample") * 7 + F.col("gene") * 13) % 11 != 0, F.col("value"))
+    return expression(spark, d).select(F.concat(F.lit("t"), (F.col("batch") % 3).cast("string")).alias("tissue"), "gene", "sample", value.alias("value"))
+
+
+GAPPED = "gapped AS (SELECT 't' || CAST(batch % 3 AS VARCHAR) AS tissue, gene, sample, CASE WHEN (sample * 7 + gene * 13) % 11 <> 0 THEN value END AS value FROM expression)"
+
+
+@query(
+    """SELECT a.tissue, a.gene AS u, b.gene AS v, round(corr(a.value, b.value), 6) + 0.0 AS r, count(*) AS n FROM gapped a JOIN gapped b ON a.tissue = b.tissue AND a.sample = b.sample AND a.gene < b.gene
+    WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL HAVING count(*) >= 20""",
+    EXPRESSION, GAPPED,
+)
+def m16_pair_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Pairwise-complete correlation of every two genes of a tissue, in tiles."""
+    return CX.pair_correlations(gapped(spark, d), ["tissue"], tile_genes=24).select("tissue", "u", "v", (F.round("r", 6) + 0.0).alias("r"), "n")
+
+
 @query()
 def m16_m18_coexpression(spark: SparkSession, d: str) -> DataFrame:
-    return K.coexpression(expression(spark, d).withColumn("grp", F.lit("all")), ["grp"])
+    """Edges beyond the null of each tissue that resampling keeps, without pairs of shared predictors; tested against pandas."""
+    predictors = table(spark, d, "part").select((F.col("p_partkey") % 64).cast("int").alias("gene"), F.concat("p_brand", F.col("p_size")).alias("snp"))
+    return CX.coexpression(gapped(spark, d), ["tissue"], predictors=predictors, tile_genes=24)
 
 
 @query()

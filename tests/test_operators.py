@@ -135,14 +135,6 @@ def test_residuals_are_orthogonal(spark):
     assert out[(out.gene == "g1") & (out["sample"] == 3)].value.isna().all()
 
 
-def test_coexpression_finds_the_planted_pair(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(size=60)
-    rows = [("k", f"g{g}", s, float(base[s] + 0.1 * rng.normal() if g < 2 else rng.normal())) for s in range(60) for g in range(8)]
-    df = spark.createDataFrame(rows, "grp string, gene string, sample int, value double")
-    assert [(r.u, r.v) for r in K.coexpression(df, ["grp"], reps=10).collect()] == [("g0", "g1")]
-
-
 def test_components_and_centrality(spark):
     e = spark.createDataFrame([("p", "q", 1.0), ("q", "r", 2.0), ("x", "y", 1.0), ("z", "z", 1.0), ("q", "p", 3.0)], "src string, dst string, weight double")
     nodes = spark.createDataFrame([(n,) for n in "pqrxyz"], "node string")
