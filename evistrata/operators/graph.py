@@ -60,96 +60,26 @@ def modules(edges: DataFrame, least: int = 10) -> DataFrame:
     return c.join(big, "component", "left_semi").select("node", F.col("component").alias("module"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, pagerank) of an undirected weighted graph; nodes without edges share their rank with all."""
-    all_nodes = nodes.select("node").distinct()
-    n = all_nodes.count()
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(node, pagerank) of an undirected weighted graph; nodes without edges share their rank with all.
+
+    Rounds end when the ranks change by less than ``tolerance`` a node in sum. A round reads and
+    writes one table of a row a node; two numbers of it go to the driver.
+    """
     arcs = both_ways(edges)
     out = arcs.groupBy("u").agg(F.sum("w").alias("total"))
     share = checkpointed(arcs.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p")))
-    rank = all_nodes.withColumn("r", F.lit(1.0 / max(1, n)))
-    for i in range(rounds):
+    rank = nodes.select("node").distinct().join(out.select(F.col("u").alias("node"), F.lit(False).alias("loose")), "node", "left").select("node", F.coalesce("loose", F.lit(True)).alias("loose"))
+    n = rank.count()
+    rank = checkpointed(rank.withColumn("r", F.lit(1.0 / max(1, n))).withColumn("change", F.lit(1.0)))
+    for _ in range(rounds):
+        change, loose = rank.agg(F.sum("change"), F.coalesce(F.sum(F.when(F.col("loose"), F.col("r"))), F.lit(0.0))).first()
+        if change is None or change < n * tolerance:
+            break
         got = rank.join(share, rank["node"] == share["u"]).groupBy("v").agg(F.sum(F.col("r") * F.col("p")).alias("got"))
-        loose = rank.join(out, rank["node"] == out["u"], "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
-        rank = all_nodes.join(got, all_nodes["node"] == got["v"], "left").crossJoin(F.broadcast(loose)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("r"))  # one row
-        if i % 5 == 4:
-            rank = checkpointed(rank)
-    return rank.withColumnRenamed("r", "pagerank")
-
-
-def centralities(edges: DataFrame, by: str = "graph") -> DataFrame:
-    """Betweenness and closeness of every node of many small graphs, a group each (Brandes' algorithm).
-
-    A graph is one group of a task: for graphs of a few thousand nodes.
-    """
-    import pandas as pd
-
-    def of_graph(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["u"]) | set(pdf["v"]))
-        place = {x: i for i, x in enumerate(names)}
-        near: list[list[int]] = [[] for _ in names]
-        for a, b in zip(pdf["u"], pdf["v"]):
-            near[place[a]].append(place[b])
-            near[place[b]].append(place[a])
-        n = len(names)
-        between, close = [0.0] * n, [0.0] * n
-        for s in range(n):
-            order, before, paths, far = [], [[] for _ in range(n)], [0.0] * n, [-1] * n
-            paths[s], far[s], queue = 1.0, 0, [s]
-            for x in queue:
-                order.append(x)
-                for y in near[x]:
-                    if far[y] < 0:
-                        far[y] = far[x] + 1
-                        queue.append(y)
-                    if far[y] == far[x] + 1:
-                        paths[y] += paths[x]
-                        before[y].append(x)
-            total = sum(far[x] for x in order)
-            close[s] = (len(order) - 1) / total * (len(order) - 1) / (n - 1) if total else 0.0
-            share = [0.0] * n
-            for x in reversed(order):
-                for y in before[x]:
-                    share[y] += paths[y] / paths[x] * (1 + share[x])
-                if x != s:
-                    between[x] += share[x]
-        scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({by: pdf[by].iloc[0], "node": names, "betweenness": [b * scale for b in between], "closeness": close})
-
-    kinds = dict(edges.dtypes)
-    return edges.select(by, "u", "v").groupBy(by).applyInPandas(of_graph, f"{by} {kinds[by]}, node {kinds['u']}, betweenness double, closeness double")
-
-
-def greedy_communities(edges: DataFrame, by: str = "graph") -> DataFrame:
-    """Communities of many small graphs, a group each: pairs of communities merge while modularity grows most."""
-    import pandas as pd
-
-    def of_graph(pdf: pd.DataFrame) -> pd.DataFrame:
-        w: dict = {}
-        for a, b, x in zip(pdf["u"], pdf["v"], pdf["w"]):
-            w.setdefault(a, {})[b] = w.get(a, {}).get(b, 0.0) + x
-            w.setdefault(b, {})[a] = w[a][b]
-        total = sum(sum(v.values()) for v in w.values())
-        heat = {a: sum(v.values()) / total for a, v in w.items()}
-        members = {a: [a] for a in w}
-        while True:
-            gains = ((2 * (x / total - heat[a] * heat[b]), a, b) for a, v in w.items() for b, x in v.items() if a < b)
-            best = max(gains, key=lambda g: g[0], default=None)
-            if best is None or best[0] <= 1e-12:
-                break
-            _, a, b = best
-            for c, x in w.pop(b).items():
-                w[c].pop(b)
-                if c != a:
-                    w[a][c] = w[a].get(c, 0.0) + x
-                    w[c][a] = w[a][c]
-            heat[a] += heat.pop(b)
-            members[a] += members.pop(b)
-        rows = [(x, min(m)) for m in members.values() for x in m]
-        return pd.DataFrame({by: pdf[by].iloc[0], "node": [r[0] for r in rows], "community": [r[1] for r in rows]})
-
-    kinds = dict(edges.dtypes)
-    return edges.select(by, "u", "v", "w").groupBy(by).applyInPandas(of_graph, f"{by} {kinds[by]}, node {kinds['u']}, community {kinds['u']}")
+        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
+        rank = checkpointed(rank.join(got, F.col("node") == F.col("v"), "left").select("node", "loose", new.alias("r"), F.abs(new - F.col("r")).alias("change")))
+    return rank.select("node", F.col("r").alias("pagerank"))
 
 
 def preservation(mods: DataFrame, fold: str, module: str, node: str) -> DataFrame:

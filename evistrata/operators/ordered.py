@@ -43,14 +43,20 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     return running(df, order, {name: ("sum", F.lit(1).cast("long"))})
 
 
+def present(df: DataFrame, x: str) -> Column:
+    """Whether ``x`` has a value: a NaN is a missing value, and not the largest number."""
+    known = F.col(x).isNotNull()
+    return known & ~F.isnan(x) if dict(df.dtypes)[x] in ("double", "float") else known
+
+
 def value_places(df: DataFrame, x: str, by: list[str] = (), descending: bool = False) -> DataFrame:
-    """One row a group and distinct value: how many rows have it, and how many come up to it; nulls are left out."""
-    per = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__count"))
+    """One row a group and distinct value: how many rows have it, and how many come up to it; nulls and NaN are left out."""
+    per = df.filter(present(df, x)).groupBy(*by, x).agg(F.count("*").alias("__count"))
     return running(per, [F.desc(x) if descending else F.asc(x)], {"__upto": ("sum", F.col("__count"))}, by)
 
 
 def with_average_rank(df: DataFrame, x: str, name: str, descending: bool = False) -> DataFrame:
-    """Add the rank from 1 of ``x``, ties at the mean of their places, and ``<name>_n``, the number of values; null for null."""
+    """Add the rank from 1 of ``x``, ties at the mean of their places, and ``<name>_n``, the number of values; null for null and NaN."""
     places = value_places(df, x, (), descending)
     n = places.agg(F.coalesce(F.sum("__count"), F.lit(0)).alias(f"{name}_n"))
     of_value = places.select(F.col(x).alias("__x"), (F.col("__upto") - (F.col("__count") - 1) / 2.0).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.operators.ordered import exact_percentiles, numbered, running, value_places, with_average_rank
+from evistrata.operators.ordered import exact_percentiles, numbered, present, running, value_places, with_average_rank
 
 
 def average_rank(x: str | Column, by: list[str], descending: bool = False) -> Column:
@@ -17,10 +17,10 @@ def average_rank(x: str | Column, by: list[str], descending: bool = False) -> Co
 
 
 def percentile_rank(df: DataFrame, x: str, name: str, zero: bool = True) -> DataFrame:
-    """Add the average rank over the number of values; with ``zero`` missing and non-positive values get 0."""
+    """Add the average rank over the number of values; with ``zero`` missing and non-positive values get 0. NaN is missing."""
     r = with_average_rank(df, x, "__r")
     share = F.col("__r") / F.col("__r_n")
-    return r.withColumn("__share", F.when(F.col(x) > 0, share).otherwise(0.0) if zero else share).drop("__r", "__r_n", *([name] if name in df.columns else [])).withColumnRenamed("__share", name)
+    return r.withColumn("__share", F.when((F.col(x) > 0) & F.col("__r").isNotNull(), share).otherwise(0.0) if zero else share).drop("__r", "__r_n", *([name] if name in df.columns else [])).withColumnRenamed("__share", name)
 
 
 def gene_weight(df: DataFrame, score: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def gene_weight(df: DataFrame, score: str, name: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = (), name: str = "q") -> DataFrame:
-    """Add BH q-values within each group: reverse running minimum of p * n / rank, at most 1; null p stays null.
+    """Add BH q-values within each group: reverse running minimum of p * n / rank, at most 1; null and NaN p have none.
 
     Runs over the distinct p-values of each group, so neither a group nor the table is one task.
     """
@@ -91,12 +91,12 @@ def rank_class(df: DataFrame, rank: str, percent: float, names: tuple[str, str,
 
 
 def threshold_counts(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
-    """Per distinct score, from the highest: cumulative true and false positives, and the totals.
+    """Per distinct score, from the highest: cumulative true and false positives, and the totals; null and NaN scores are left out.
 
     A first aggregation leaves a row a score, so the running sums see distinct scores alone.
     """
     by = list(by)
-    per = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    per = df.filter(present(df, score)).groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
     per = per.withColumn("neg", F.col("n") - F.col("pos"))
     ran = running(per, [F.desc("score")], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, by)
     total = per.groupBy(*[F.col(c).alias(f"__k_{c}") for c in by]).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))

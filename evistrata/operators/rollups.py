@@ -73,13 +73,32 @@ def pair_rollup(df: DataFrame, pair: list[str], text: str, number: str, order: s
     return df.groupBy(*pair).agg(F.min_by(full, F.when(full.isNotNull(), F.struct(order, text))).alias("first_text"), F.array_join(F.array_sort(F.collect_set(full)), "|").alias("texts"), F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n"))
 
 
-def recurrence(df: DataFrame, item: str, method: str, tissue: str, rank: str) -> DataFrame:
-    """Per item its methods, tissues, appearances and best rank, and 2 m + 1.5 t + 0.5 a + 0.1 (50 - min(rank, 50))."""
-    per = df.groupBy(item).agg(F.count_distinct(method).alias("n_methods"), F.count_distinct(tissue).alias("n_tissues"), F.count("*").alias("n_seen"), F.min(rank).alias("best_rank"))
-    score = 2.0 * F.col("n_methods") + 1.5 * F.col("n_tissues") + 0.5 * F.col("n_seen") + 0.1 * (50 - F.least("best_rank", F.lit(50)))
+def recurrence(hubs: DataFrame, item: str, method: str, tissue: str, folds: str, rank: str, top: int = 30) -> DataFrame:
+    """Per item over methods and tissues: how many, folds in sum, mean rank, and 2 m + 1.5 t + 0.5 a + 0.1 (50 - min(rank, 50)).
+
+    ``hubs`` has a row an item, method and tissue, with the number of folds that have it and its mean
+    rank there; the first ``top`` of each method and tissue count, by folds, then rank, then item. A
+    rank that is missing counts as 999.
+    """
+    own = hubs.withColumn("__rank", F.coalesce(F.col(rank).cast("double"), F.lit(999.0)))
+    place = F.row_number().over(Window.partitionBy(method, tissue).orderBy(F.desc(folds), "__rank", item))
+    first = own.withColumn("__place", place).filter(F.col("__place") <= top)
+    per = first.groupBy(item).agg(F.count_distinct(method).alias("n_methods"), F.count_distinct(tissue).alias("n_tissues"), F.sum(folds).alias("appearances"), F.avg("__rank").alias("avg_rank"))
+    score = 2.0 * F.col("n_methods") + 1.5 * F.col("n_tissues") + 0.5 * F.col("appearances") + 0.1 * (50 - F.least("avg_rank", F.lit(50.0)))
     return per.withColumn("consistency", score)
 
 
+def term_recurrence(terms: DataFrame, term: list[str], method: str, tissue: str) -> DataFrame:
+    """Per term (pathway, process, factor or edge): rows, tissues and methods that have it."""
+    return terms.groupBy(*term).agg(F.count("*").alias("n_seen"), F.count_distinct(tissue).alias("n_tissues"), F.count_distinct(method).alias("n_methods"))
+
+
+def spread_over(df: DataFrame, unit: str, over: str, cols: list[str]) -> DataFrame:
+    """Per unit the mean and population deviation of each column over rows of ``over``, and how many of these there are."""
+    pairs = [x for c in cols for x in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
+    return df.groupBy(unit).agg(*pairs, F.count(over).alias(f"n_{over}s"))
+
+
 def top_cells(matrix: DataFrame, row: str, column: str, value: str, n: int) -> DataFrame:
     """The n largest cells of a wide matrix in long form, ties by row and column; null cells are none."""
     cols = [c for c in matrix.columns if c != row]

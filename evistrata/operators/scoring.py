@@ -147,17 +147,17 @@ def shuffle_key(seed: int, rep: Column, key: Column) -> Column:
 
 
 def shuffled(df: DataFrame, value: str, key: str, reps: int, seed: int) -> DataFrame:
-    """(rep, key, value) with the values dealt to the keys anew in each replicate.
+    """(rep, key, value) with the values dealt to the keys anew in each replicate; keys are distinct.
 
-    The rows of a replicate meet in one window, so replicates are the parallelism; keep the table
-    to one row an item.
+    The i-th key in order gets the value that is i-th in the replicate's random order. Places come
+    from ranges of (replicate, order), so a replicate is not one task.
     """
-    from pyspark.sql import Window
+    from evistrata.operators.ordered import numbered, running
 
     rep = df.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    a = rep.withColumn("__i", F.row_number().over(Window.partitionBy("rep").orderBy(shuffle_key(seed, F.col("rep"), F.col(key)), key)))
-    b = rep.withColumn("__i", F.row_number().over(Window.partitionBy("rep").orderBy(key)))
-    return a.select("rep", "__i", value).join(b.select("rep", "__i", key), ["rep", "__i"]).select("rep", key, value)
+    dealt = running(rep, [shuffle_key(seed, F.col("rep"), F.col(key)), F.col(key)], {"__i": ("sum", F.lit(1).cast("long"))}, ["rep"])
+    places = numbered(df.select(key), [F.asc(key)], "__i")
+    return dealt.select("rep", "__i", value).join(places, "__i").select("rep", key, value)
 
 
 def permuted_drug_overlap(evidence: DataFrame, ranks: DataFrame, reference: DataFrame, ks: list[int], reps: int, seed: int = 13) -> DataFrame:

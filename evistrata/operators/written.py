@@ -1,18 +1,43 @@
-"""Lineage cut at a checkpoint in the folder that all executors share."""
+"""Lineage cut at a table in the folder that all executors share.
+
+A table that is read again has the size of its files, where a checkpointed plan keeps the product of
+its joins' estimates: in loops of joins these numbers, and the time to multiply them, grow without end.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` evaluated and stored in ``spark.checkpoint.dir``; a local master without it gets a temporary folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not spark.sparkContext.master.startswith("local"):
+
+def _root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="evistrata-"))
-    return df.checkpoint()
+        root = tempfile.mkdtemp(prefix="evistrata-")
+        atexit.register(shutil.rmtree, root, True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root if ":/" in root else f"file://{root}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` evaluated once, written in ``spark.checkpoint.dir`` and read from there; a local master without it gets a temporary folder."""
+    path = f"{_root(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    _made.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what was written so far; results that were not read yet cannot be read then."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

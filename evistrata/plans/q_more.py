@@ -142,14 +142,39 @@ def a16_max_per_gene(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, h AS (SELECT gene, method, tissue, row_number() OVER (PARTITION BY method, tissue ORDER BY count(*) DESC, gene) AS rank FROM sig GROUP BY gene, method, tissue)
-    SELECT gene, count(DISTINCT method) AS n_methods, count(DISTINCT tissue) AS n_tissues, count(*) AS n_seen, min(rank) AS best_rank,
-       round(2.0 * count(DISTINCT method) + 1.5 * count(DISTINCT tissue) + 0.5 * count(*) + 0.1 * (50 - least(min(rank), 50)), 6)::DOUBLE AS consistency FROM h GROUP BY gene""",
+    """, f AS (SELECT gene, method, tissue, fold, row_number() OVER (PARTITION BY method, tissue, fold ORDER BY count(*) DESC, gene) AS rank FROM sig GROUP BY gene, method, tissue, fold),
+    c AS (SELECT gene, method, tissue, count(*) AS folds, avg(rank) AS avg_rank FROM f WHERE rank <= 50 GROUP BY ALL),
+    h AS (SELECT *, row_number() OVER (PARTITION BY method, tissue ORDER BY folds DESC, avg_rank, gene) AS place FROM c), t AS (SELECT * FROM h WHERE place <= 30)
+    SELECT gene, count(DISTINCT method) AS n_methods, count(DISTINCT tissue) AS n_tissues, CAST(sum(folds) AS BIGINT) AS appearances, round(avg(avg_rank), 6) AS avg_rank,
+       round(2.0 * count(DISTINCT method) + 1.5 * count(DISTINCT tissue) + 0.5 * sum(folds) + 0.1 * (50 - least(avg(avg_rank), 50)), 6)::DOUBLE AS consistency FROM t GROUP BY gene""",
     VOLCANO, SIGNIFICANT,
 )
 def a27_recurrence(spark: SparkSession, d: str) -> DataFrame:
-    h = R.ranked(significant(spark, d).groupBy("gene", "method", "tissue").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("gene")], ["method", "tissue"])
-    return rounded(A.recurrence(h, "gene", "method", "tissue", "rank"), 6, "consistency")
+    """Hubs that several folds share, the first thirty of each method and tissue, over methods and tissues."""
+    per = significant(spark, d).groupBy("gene", "method", "tissue", "fold").agg(F.count("*").alias("n"))
+    first = R.ranked(per, [F.desc("n"), F.asc("gene")], ["method", "tissue", "fold"]).filter("rank <= 50")
+    shared = first.groupBy("gene", "method", "tissue").agg(F.count("*").alias("folds"), F.avg("rank").alias("avg_rank"))
+    return rounded(A.recurrence(shared, "gene", "method", "tissue", "folds", "avg_rank"), 6, "avg_rank", "consistency")
+
+
+@query(
+    """SELECT database, tissue, count(*) AS n_seen, count(DISTINCT tissue) AS n_tissues, count(DISTINCT method) AS n_methods FROM sig GROUP BY ALL""",
+    VOLCANO, SIGNIFICANT,
+)
+def a27_term_recurrence(spark: SparkSession, d: str) -> DataFrame:
+    """How often a term (here a database and its tissue) recurs, in how many tissues and by how many methods."""
+    return A.term_recurrence(significant(spark, d), ["database", "tissue"], "method", "tissue")
+
+
+@query(
+    """, n AS (SELECT tissue, method, count(*) / 100.0 AS density, avg(abs(effect)) AS strength FROM sig GROUP BY ALL)
+    SELECT tissue, round(avg(density), 6)::DOUBLE AS mean_density, round(stddev_pop(density), 6)::DOUBLE AS std_density, round(avg(strength), 6) AS mean_strength, round(stddev_pop(strength), 6) AS std_strength, count(*) AS n_methods FROM n GROUP BY tissue""",
+    VOLCANO, SIGNIFICANT,
+)
+def a27_tissue_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Spread over methods of each tissue's network figures."""
+    n = significant(spark, d).groupBy("tissue", "method").agg((F.count("*") / 100.0).alias("density"), F.avg(F.abs("effect")).alias("strength"))
+    return rounded(A.spread_over(n, "tissue", "method", ["density", "strength"]), 6, "mean_density", "std_density", "mean_strength", "std_strength")
 
 
 @query("SELECT tissue, method, round(value, 9) AS value FROM (SELECT tissue, method, avg(effect) AS value FROM volcano GROUP BY ALL) ORDER BY round(value, 9) DESC, tissue, method LIMIT 10", VOLCANO)
@@ -237,24 +262,31 @@ def m43_community_drugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Replicates of the random sets: ``reps`` of (rep, gene) named drawn, for the set ``chosen``.
-TESTED = """, hits AS (SELECT DISTINCT gene, drug FROM evidence SEMI JOIN ref USING (drug)), every AS (SELECT 0 AS rep, gene FROM chosen UNION ALL SELECT rep, gene FROM drawn),
-  counts AS (SELECT r.rep, count(DISTINCT drug) AS n FROM (SELECT unnest(range(0, {reps} + 1)) AS rep) r LEFT JOIN every e ON e.rep = r.rep LEFT JOIN hits h ON h.gene = e.gene GROUP BY r.rep), o AS (SELECT n AS observed FROM counts WHERE rep = 0)
-  SELECT max(observed) AS observed, round(avg(n), 6) AS null_mean, round(stddev_samp(n), 6) AS null_sd, CASE WHEN stddev_samp(n) > 0 THEN round((max(observed) - avg(n)) / stddev_samp(n), 6) END AS z, round(max(observed) / avg(n), 6) AS fold, round((1 + count(*) FILTER (WHERE n >= observed)) / ({reps} + 1), 9) AS p FROM counts, o WHERE rep > 0"""
-CHOSEN = "chosen AS (SELECT gene FROM ranked WHERE rank <= 5)"
-REPS = 1000
+TESTED = """, hits AS (SELECT DISTINCT gene, e.drug, ref.drug IS NOT NULL AS is_known FROM evidence e LEFT JOIN (SELECT DISTINCT drug FROM ref) ref ON e.drug = ref.drug), every AS (SELECT 0 AS rep, gene FROM chosen UNION ALL SELECT rep, gene FROM drawn),
+  counts AS (SELECT *, CASE WHEN drugs > 0 THEN overlap / drugs ELSE 0 END AS precision, overlap / (SELECT count(DISTINCT drug) FROM ref) AS recall FROM (
+    SELECT r.rep, count(DISTINCT drug) AS drugs, count(DISTINCT drug) FILTER (WHERE is_known) AS overlap FROM (SELECT unnest(range(0, {reps} + 1)) AS rep) r LEFT JOIN every e ON e.rep = r.rep LEFT JOIN hits h ON h.gene = e.gene GROUP BY r.rep)),
+  o AS (SELECT overlap AS oo, drugs AS od, precision AS op, recall AS orr FROM counts WHERE rep = 0)
+  SELECT (SELECT count(*) FROM chosen) AS n_genes, max(oo) AS observed_overlap, max(od) AS observed_drugs, round(max(op), 9) AS observed_precision, round(max(orr), 9) AS observed_recall,
+    round(avg(overlap), 6) AS null_mean, round(stddev_pop(overlap), 6) AS null_sd, median(overlap) AS null_median, min(overlap) AS null_min, max(overlap) AS null_max, round(avg(drugs), 6) AS null_mean_drugs,
+    round(avg(precision), 6) AS null_mean_precision, round(avg(recall), 6) AS null_mean_recall, round(CASE WHEN stddev_pop(overlap) > 0 THEN (max(oo) - avg(overlap)) / stddev_pop(overlap) ELSE 0 END, 6) AS z, round(max(oo) / avg(overlap), 6) AS fold,
+    round((1 + count(*) FILTER (WHERE overlap >= oo)) / ({reps} + 1), 9) AS p_overlap, round((1 + count(*) FILTER (WHERE round(precision, 12) >= round(op, 12))) / ({reps} + 1), 9) AS p_precision,
+    round((1 + count(*) FILTER (WHERE round(recall, 12) >= round(orr, 12))) / ({reps} + 1), 9) AS p_recall FROM counts, o WHERE rep > 0"""
+#: Genes of the tested set.
+PANEL, REPS = 50, 1000
+CHOSEN = f"chosen AS (SELECT gene FROM ranked WHERE rank <= {PANEL})"
 
 
 def top_genes(spark: SparkSession, d: str) -> DataFrame:
-    return ranked_parts(spark, d).filter("rank <= 5").select("gene")
+    return ranked_parts(spark, d).filter(F.col("rank") <= PANEL).select("gene")
 
 
 def _tested(df: DataFrame) -> DataFrame:
-    return rounded(rounded(df, 6, "null_mean", "null_sd", "z", "fold"), 9, "p")
+    return rounded(rounded(df, 6, "null_mean", "null_sd", "null_mean_drugs", "null_mean_precision", "null_mean_recall", "z", "fold"), 9, "observed_precision", "observed_recall", "p_overlap", "p_precision", "p_recall")
 
 
 @query(
-    """, pool AS (SELECT DISTINCT gene FROM parts SEMI JOIN evidence USING (gene)), r AS (SELECT unnest(range(1, 1001)) AS rep),
-    drawn AS (SELECT rep, gene FROM (SELECT rep, gene, row_number() OVER (PARTITION BY rep ORDER BY md5('42:' || rep || ':' || gene), gene) AS i FROM pool, r) WHERE i <= 5)"""
+    f""", pool AS (SELECT DISTINCT gene FROM parts SEMI JOIN evidence USING (gene)), r AS (SELECT unnest(range(1, 1001)) AS rep),
+    drawn AS (SELECT rep, gene FROM (SELECT rep, gene, row_number() OVER (PARTITION BY rep ORDER BY md5('42:' || rep || ':' || gene), gene) AS i FROM pool, r) WHERE i <= {PANEL})"""
     + TESTED.format(reps=REPS),
     EVIDENCE, PARTS, RANKED, REFERENCE, CHOSEN,
 )
@@ -263,8 +295,9 @@ def m28_random_gene_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, deg AS (SELECT p.gene, count(DISTINCT drug) AS degree FROM parts p LEFT JOIN evidence e ON p.gene = e.gene GROUP BY p.gene), per AS (SELECT degree, count(*) AS c FROM deg GROUP BY 1),
-    edges AS (SELECT degree, CAST(floor(coalesce(sum(c) OVER (ORDER BY degree ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 5 / sum(c) OVER ()) AS BIGINT) AS bin FROM per), binned AS (SELECT gene, bin FROM deg JOIN edges USING (degree)),
+    """, deg AS (SELECT p.gene, count(DISTINCT drug)::DOUBLE AS degree FROM parts p LEFT JOIN evidence e ON p.gene = e.gene GROUP BY p.gene),
+    cuts AS (SELECT list_sort(list_distinct(quantile_cont(degree, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM deg),
+    binned AS (SELECT gene, CASE WHEN len(edges) < 2 THEN 0 ELSE least(len(list_filter(edges, lambda e: e <= degree)) - 1, len(edges) - 2) END AS bin FROM deg, cuts),
     sizes AS (SELECT bin, count(*) AS n FROM chosen JOIN binned USING (gene) GROUP BY bin), r AS (SELECT unnest(range(1, 1001)) AS rep),
     drawn AS (SELECT rep, gene FROM (SELECT rep, gene, bin, row_number() OVER (PARTITION BY rep, bin ORDER BY md5('42:' || rep || ':' || gene), gene) AS i FROM binned, r) JOIN sizes USING (bin) WHERE i <= n)"""
     + TESTED.format(reps=REPS),
@@ -276,13 +309,13 @@ def m27_degree_matched(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """, numbered AS (SELECT gene, score, row_number() OVER (ORDER BY gene) - 1 AS i FROM parts), n AS (SELECT count(*) AS n FROM parts), r AS (SELECT unnest(range(1, 101)) AS rep),
-    drawn AS (SELECT DISTINCT rep, CAST(('0x' || substr(md5('42:' || rep || ':' || i), 1, 12)) AS BIGINT) % n AS i FROM numbered, n, r),
-    t AS (SELECT rep, gene FROM (SELECT rep, gene, row_number() OVER (PARTITION BY rep ORDER BY score DESC, gene) AS rank FROM drawn JOIN numbered USING (i)) WHERE rank <= 50), z AS (SELECT rep, count(*) AS n FROM t GROUP BY rep),
+    drawn AS (SELECT rep, CAST(('0x' || substr(md5('42:' || rep || ':' || i), 1, 12)) AS BIGINT) % n AS i FROM numbered, n, r),
+    t AS (SELECT DISTINCT rep, gene FROM (SELECT rep, gene, row_number() OVER (PARTITION BY rep ORDER BY score DESC, gene) AS rank FROM drawn JOIN numbered USING (i)) WHERE rank <= 200), z AS (SELECT rep, count(*) AS n FROM t GROUP BY rep),
     s AS (SELECT a.rep AS a, b.rep AS b, count(*) AS s FROM t a JOIN t b ON a.gene = b.gene AND a.rep < b.rep GROUP BY ALL), p AS (SELECT x.n AS na, y.n AS nb, coalesce(s, 0) AS s FROM z x JOIN z y ON x.rep < y.rep LEFT JOIN s ON s.a = x.rep AND s.b = y.rep),
     u AS (SELECT gene, count(*) AS c FROM t GROUP BY gene)
-    SELECT 50 AS k, (SELECT count(*) FROM z) AS n_groups, count(*) AS union_size, count(*) FILTER (WHERE c = (SELECT count(*) FROM z)) AS in_every_group, (SELECT round(avg(s / (na + nb - s)), 6) FROM p) AS mean_jaccard, (SELECT round(avg(s), 6) FROM p) AS mean_overlap FROM u""",
+    SELECT 200 AS k, (SELECT count(*) FROM z) AS n_groups, count(*) AS union_size, count(*) FILTER (WHERE c = (SELECT count(*) FROM z)) AS in_every_group, (SELECT round(avg(s / (na + nb - s)), 6) FROM p) AS mean_jaccard, (SELECT round(avg(s), 6) FROM p) AS mean_overlap FROM u""",
     PARTS,
 )
 def m30_bootstrap_stability(spark: SparkSession, d: str) -> DataFrame:
-    out = M.bootstrap_stability(scored_parts(spark, d), [50], 100)
+    out = M.bootstrap_stability(scored_parts(spark, d), [200], 100)
     return rounded(out, 6, "mean_jaccard", "mean_overlap")

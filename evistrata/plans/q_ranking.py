@@ -139,21 +139,19 @@ def m23_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, r AS (SELECT unnest(range(0, 11)) AS rep), o AS (
+    """, r AS (SELECT unnest(range(0, 1001)) AS rep), o AS (
       SELECT rep, p.gene, score, positive, row_number() OVER (PARTITION BY rep ORDER BY gene) AS i,
              row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN '' ELSE md5(concat_ws(':', '42', CAST(rep AS VARCHAR), CAST(gene AS VARCHAR))) END, gene) AS j FROM parts p, r),
-    x AS (SELECT a.rep AS brand, a.score, b.positive FROM o a JOIN o b ON a.rep = b.rep AND a.i = b.j)"""
-    + AUC.format(src="x").replace("SELECT brand, round(CASE", ", z AS (SELECT brand, (CASE")
-    .replace("(max(p) * max(n)) END, 9) AS roc_auc", "(max(p) * max(n)) END) AS roc_auc")
-    + ") SELECT round(max(roc_auc) FILTER (WHERE brand = 0), 9) AS observed, round(avg(roc_auc) FILTER (WHERE brand > 0), 9) AS null_mean, (1 + count(*) FILTER (WHERE brand > 0 AND round(roc_auc, 12) >= round(o, 12))) / 11 AS p FROM z, (SELECT roc_auc AS o FROM z WHERE brand = 0)",
+    x AS (SELECT a.rep AS brand, b.score, a.positive FROM o a JOIN o b ON a.rep = b.rep AND a.i = b.j)"""
+    + AUC.format(src="x").replace("SELECT brand, round(CASE", ", z AS (SELECT brand AS rep, (CASE").replace("END, 9) AS roc_auc", "END) AS roc_auc").replace("round(CASE WHEN max(p) > 0 THEN sum(pos * (tp / (tp + fp))) / max(p) END, 9)", "(CASE WHEN max(p) > 0 THEN sum(pos * (tp / (tp + fp))) / max(p) END)")
+    + """), m AS (SELECT rep, 'ROC_AUC' AS metric, round(roc_auc, 12) AS a FROM z UNION ALL SELECT rep, 'PR_AUC', round(average_precision, 12) FROM z)
+    SELECT metric, round(max(o), 9) AS observed, round(avg(a), 6) AS null_mean, round(stddev_pop(a), 6) AS null_sd, round((1 + count(*) FILTER (WHERE a >= o)) / 1001, 9) AS p
+    FROM m JOIN (SELECT metric, a AS o FROM m WHERE rep = 0) USING (metric) WHERE rep > 0 GROUP BY metric""",
     PARTS,
-)
+)
 def m22_auc_permutation(spark: SparkSession, d: str) -> DataFrame:
-    from evistrata.operators.scoring import shuffled
-
-    parts = scored_parts(spark, d).select("gene", "score", "positive")
-    moved = shuffled(parts, "positive", "gene", 10, 42).join(parts.select("gene", "score"), "gene")
-    every = parts.withColumn("rep", F.lit(0)).unionByName(moved)
-    a = R.auc_scores(every, "score", "positive", ["rep"]).select("rep", F.round("roc_auc", 12).alias("a"))
-    both = a.crossJoin(F.broadcast(a.filter("rep = 0").select(F.col("a").alias("o"))))  # one row
-    return both.agg(F.round(F.max("o"), 9).alias("observed"), F.round(F.avg(F.when(F.col("rep") > 0, F.col("a"))), 9).alias("null_mean"), ((F.count_if((F.col("rep") > 0) & (F.col("a") >= F.col("o"))) + 1) / F.lit(11.0)).alias("p"))
+    """Both areas of the part ranking against a thousand shuffles of its scores."""
+    from evistrata.operators.permutation import permuted_auc
+
+    out = permuted_auc(scored_parts(spark, d), reps=1000)
+    return out.select("metric", F.round("observed", 9).alias("observed"), F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 6).alias("null_sd"), F.round("p", 9).alias("p"))

@@ -186,19 +186,19 @@ def m25_drug_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, w0 AS (SELECT gene, 1 - (rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER () + 1e-6 AS w FROM parts), r AS (SELECT unnest(range(0, 101)) AS rep),
+    """, w0 AS (SELECT gene, 1 - (rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER () + 1e-6 AS w FROM parts), r AS (SELECT unnest(range(0, 1001)) AS rep),
     o AS (SELECT rep, gene, w, row_number() OVER (PARTITION BY rep ORDER BY gene) AS i, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN '' ELSE md5(concat_ws(':', '13', CAST(rep AS VARCHAR), CAST(gene AS VARCHAR))) END, gene) AS j FROM w0, r),
     x AS (SELECT b.rep, b.gene, a.w FROM o a JOIN o b ON a.rep = b.rep AND a.j = b.i),
     base AS (SELECT gene, drug, sum(CASE WHEN approved THEN 5.0 WHEN phase = '4' THEN 4.0 WHEN phase = '3' THEN 3.0 WHEN phase = '2' THEN 2.0 WHEN phase = '1' THEN 1.0 ELSE 0.5 END * CASE source WHEN 'OpenTargets' THEN 1.2 WHEN 'DGIdb' THEN 1.0 ELSE 0.8 END) AS e FROM evidence GROUP BY ALL),
     s AS (SELECT rep, drug, round(sum(w * e), 6) AS s FROM x JOIN base USING (gene) GROUP BY ALL), f AS (SELECT rep, drug, row_number() OVER (PARTITION BY rep ORDER BY s DESC, drug) AS rank FROM s),
     n AS (SELECT k, rep, count(*) FILTER (WHERE rank <= k AND drug IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)) AS n FROM f, (SELECT unnest([10, 20]) AS k) GROUP BY ALL)
-    SELECT n.k, max(o.n) AS observed, round(avg(n.n), 6) AS null_mean, round((count(*) FILTER (WHERE n.n >= o.n) + 1) / 101, 6) AS p FROM n JOIN n o ON o.k = n.k AND o.rep = 0 WHERE n.rep > 0 GROUP BY n.k""",
+    SELECT n.k, max(o.n) AS observed, round(avg(n.n), 6) AS null_mean, round((count(*) FILTER (WHERE n.n >= o.n) + 1) / 1001, 6) AS p FROM n JOIN n o ON o.k = n.k AND o.rep = 0 WHERE n.rep > 0 GROUP BY n.k""",
     EVIDENCE, PARTS,
 )
 def m26_gene_weight_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """Gene weights shuffled over genes."""
+    """Gene weights shuffled over genes, a thousand times."""
     ref = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("drug"))
-    out = S.permuted_drug_overlap(evidence(spark, d), scored_parts(spark, d), ref, [10, 20], reps=100)
+    out = S.permuted_drug_overlap(evidence(spark, d), scored_parts(spark, d), ref, [10, 20], reps=1000)
     return out.withColumns({c: F.round(c, 6) for c in ("null_mean", "p")})
 
 

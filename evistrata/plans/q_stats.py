@@ -10,6 +10,8 @@ from evistrata.operators import causal as C
 from evistrata.operators import coexpression as CX
 from evistrata.operators import graph as G
 from evistrata.operators import kernels as K
+from evistrata.operators import linkage as LK
+from evistrata.operators import network as NW
 from evistrata.operators import ranking as R
 from evistrata.operators import statistics as S
 from evistrata.plans.registry import query
@@ -258,11 +260,11 @@ def m41_genotype_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.genotype_scores(g, w), 6, "score")
 
 
-EDGES = "edges AS (SELECT least(l_suppkey, l_partkey % 150) AS u, greatest(l_suppkey, l_partkey % 150) AS v, max(l_quantity / 50) AS w FROM lineitem WHERE l_suppkey <> l_partkey % 150 AND l_quantity / 50 >= 0.98 AND l_linenumber = 1 GROUP BY ALL)"
+EDGES = "edges AS (SELECT least(l_suppkey, l_partkey) AS u, greatest(l_suppkey, l_partkey) AS v, max(l_quantity / 50) AS w FROM lineitem WHERE l_suppkey <> l_partkey AND l_quantity / 50 >= 0.98 GROUP BY ALL)"
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 150).alias("dst"), (F.col("l_quantity") / 50).alias("weight"))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_quantity") / 50).alias("weight"))
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
     return G.induced(e, nodes, 0.98)
 
@@ -287,21 +289,39 @@ def g3_strengths(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.strengths(edges(spark, d)), 6, "strength")
 
 
+@query(
+    """, arcs AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), nodes AS (SELECT DISTINCT u AS node FROM arcs),
+    reach AS (SELECT node AS s, node AS t, 0 AS d FROM nodes UNION SELECT s, v, d + 1 FROM reach JOIN arcs ON t = u WHERE d < 14),
+    far AS (SELECT s, t, min(d) AS d FROM reach GROUP BY s, t)
+    SELECT s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM nodes) - 1) ELSE 0 END, 9) AS closeness FROM far GROUP BY s""",
+    EDGES.replace("edges AS", "RECURSIVE edges AS", 1),
+)
+def g4_closeness(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(NW.centralities(edges(spark, d), k=1).select("node", "closeness"), 9, "closeness")
+
+
 @query()
 def g4_hub_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Degree, betweenness, closeness and PageRank, weighted .35, .15, .25 and .25, and the hub class; tested on known graphs."""
+    """Degree, sampled betweenness, closeness and PageRank, weighted .35, .15, .25 and .25, and the hub class; tested on known graphs."""
     e = edges(spark, d)
     s = G.strengths(e)
-    c = G.centralities(e.withColumn("graph", F.lit(1))).drop("graph")
     top = s.agg((F.count("*") - 1).alias("others"))
-    joined = s.join(c, "node").join(G.pagerank(e, s), "node").crossJoin(F.broadcast(top))  # one row
+    joined = s.join(NW.centralities(e, k=0), "node").join(G.pagerank(e, s), "node").crossJoin(F.broadcast(top))  # one row
     score = 0.35 * F.col("degree") / F.col("others") + 0.15 * F.col("betweenness") + 0.25 * F.col("closeness") + 0.25 * F.col("pagerank")
     return R.rank_class(R.ranked(joined.withColumn("hub_score", score), [F.round("hub_score", 9).desc(), F.asc("node")]), "rank", 10).drop("others")
 
 
 @query()
 def g5_communities(spark: SparkSession, d: str) -> DataFrame:
-    return G.greedy_communities(edges(spark, d).withColumn("graph", F.lit(1)))
+    """Communities of the network; tested against greedy merging on random graphs."""
+    return NW.communities(edges(spark, d))
+
+
+@query()
+def l9_average_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """The merge tree of the genes of each tissue by correlation distance; tested against one merge after another."""
+    r = CX.pair_correlations(gapped(spark, d), ["tissue"], tile_genes=24)
+    return LK.average_linkage(r.withColumn("distance", 1 - F.round("r", 9)), ["tissue"], "u", "v")
 
 
 @query(

@@ -94,11 +94,46 @@ def test_random_sets_fall_back_to_all_genes(spark):
     drugs = spark.createDataFrame([(0, "x"), (1, "y")], "gene int, drug string")
     ref = spark.createDataFrame([("x",)], "drug string")
     r = M.random_gene_sets(genes, genes, drugs, ref, reps=20).first()
-    assert (r.observed, r.null_mean, r.p) == (1, 1.0, 1.0)
+    assert (r.observed_overlap, r.observed_drugs, r.null_mean, r.null_sd, r.z, r.p_overlap) == (1, 2, 1.0, 0.0, 0.0, 1.0)
     pairs = M.degree_bins(genes, drugs, 2).collect()
     assert {x.gene: x.bin for x in pairs} == {2: 0, 3: 0, 0: 1, 1: 1}
 
 
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, 0.02), (3, float("nan")), (4, None)], "i int, x double")
+    q = {r.i: r.q for r in R.benjamini_hochberg(df, "x").collect()}
+    assert (q[1], q[2]) == (0.02, 0.02) and q[3] is None and q[4] is None
+    share = {r.i: r.s for r in R.percentile_rank(df, "x", "s").collect()}
+    assert share == {1: 0.5, 2: 1.0, 3: 0.0, 4: 0.0}
+    assert {r.i: r.w for r in R.gene_weight(df, "x", "w").collect()} == {1: pytest.approx(1e-6), 2: pytest.approx(0.5 + 1e-6), 3: None, 4: None}
+    assert O.exact_percentiles(df, "x", [1.0]).first().percentiles == [0.02]
+    flags = df.withColumn("y", (F.col("i") % 2).cast("int"))
+    assert tuple(R.auc_scores(flags, "x", "y").first()) == (0.0, 0.5, 1, 1)
+
+
+def test_small_sets_are_refused(spark):
+    genes = spark.createDataFrame([(i,) for i in range(30)], "gene int")
+    drugs = spark.createDataFrame([(i, f"d{i % 7}") for i in range(25)], "gene int, drug string")
+    with pytest.raises(ValueError, match="at least 20"):
+        M.degree_matched(genes.filter("gene < 10"), genes, drugs, drugs.select("drug"), reps=5)
+    r = M.degree_matched(genes, genes, drugs, drugs.filter("gene < 3").select("drug"), reps=5).first()
+    assert (r.n_genes, r.observed_drugs, r.observed_overlap, r.observed_recall, r.p_overlap, r.z, r.fold) == (30, 7, 3, 1.0, 1.0, 0.0, 1.0)
+
+
+def test_resampled_rankings_count_copies(spark):
+    import hashlib
+
+    scores = {f"k{i:02}": i % 5 for i in range(30)}
+    names, tops = sorted(scores), []
+    for rep in range(1, 9):
+        drawn = [names[int(hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()[:12], 16) % 30] for i in range(30)]
+        tops.append(set(sorted(drawn, key=lambda k: (-scores[k], k))[:10]))
+    pairs = [(a, b) for i, a in enumerate(tops) for b in tops[i + 1 :]]
+    want = sum(len(a & b) / len(a | b) for a, b in pairs) / len(pairs)
+    got = M.bootstrap_stability(spark.createDataFrame(list(scores.items()), "gene string, score int"), [10], 8).first()
+    assert got.mean_jaccard == pytest.approx(want) and got.union_size == len(set().union(*tops))
+
+
 def test_names_fall_into_the_first_group(spark):
     df = spark.createDataFrame([("Brain Cortex",), ("LIVER",), ("blood",), (None,)], "x string")
     got = [r[0] for r in df.select(A.grouped_names(F.col("x"), {"Brain": ("brain", "cortex"), "Organ": ("liver", "cortex")})).collect()]
