@@ -139,16 +139,38 @@ def coalesced_lookup(df: DataFrame, keys: list[str], table: DataFrame, table_key
     return df.withColumn(value, F.coalesce(*found)).drop(*(f"__{x}{i}" for i in range(len(keys)) for x in "kv"))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, by: list[str] = ()) -> DataFrame:
-    """Points within closed ranges, by equal bins of ``width``; a range stands in each bin it touches.
+#: Bins of a length class are so many times as wide as those of the class below; a bin's points beyond the second number are parted.
+CLASS_FACTOR, BIN_POINTS = 4, 1_000_000
+CLASSES = 48
+
 
-    ``width`` should be about a range's usual length: longer ranges have more copies, shorter ones
-    more points a bin. Reversed and null ranges match nothing.
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, by: list[str] = ()) -> DataFrame:
+    """Points within closed ranges, by bins that grow with a range's length.
+
+    A range of up to ``width`` falls in class 0, one of up to four times as much in class 1, and so
+    on; as its class's bins are as wide as it may be, it stands in two of them at the most. A point
+    stands in one bin of each class that any range has, so it meets ranges of its own neighbourhood
+    alone, whether these are single positions or whole chromosomes. Bins with very many points are
+    parted, and their ranges stand in each part. Reversed ranges, and nulls and NaN on either side,
+    match nothing.
     """
-    bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    left = points.withColumn("__bin", F.floor(F.col(at) / width))
-    right = ranges.filter(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(bins))
-    return left.join(right, [*by, "__bin"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("__bin")
+    by = list(by)
+    length = F.col(high) - F.col(low)
+    kind = F.lit(CLASSES - 1)
+    for k in range(CLASSES - 2, -1, -1):
+        kind = F.when(length <= float(width) * float(CLASS_FACTOR) ** k, k).otherwise(kind)
+    own = ranges.filter(F.col(low) <= F.col(high)).withColumn("__class", kind)
+    classes = sorted(r[0] for r in own.select("__class").distinct().collect())  # as many as there are classes, at the most
+    size = F.lit(float(width)) * F.pow(F.lit(float(CLASS_FACTOR)), "__class")
+    bin_of_ = lambda c: F.floor(F.col(c) / size)
+    left = points.withColumn("__class", F.explode(F.array(*map(F.lit, classes)) if classes else F.array().cast("array<int>"))).withColumn("__bin", bin_of_(at))
+    right = own.withColumn("__bin", F.explode(F.sequence(bin_of_(low), bin_of_(high))))
+    key = [*by, "__class", "__bin"]
+    full = left.groupBy(*key).agg(F.count("*").alias("__n")).filter(F.col("__n") > BIN_POINTS).select(*key, F.ceil(F.col("__n") / BIN_POINTS).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = left.join(full, key, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
+    right = right.join(full, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*key, "__part"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("__class", "__bin", "__part")
 
 
 def positional_join(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column]) -> DataFrame:

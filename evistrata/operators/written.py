@@ -27,10 +27,16 @@ def _root(spark: SparkSession) -> str:
     return root if ":/" in root else f"file://{root}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared root; ``release`` deletes it."""
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` evaluated once, written in ``spark.checkpoint.dir`` and read from there; a local master without it gets a temporary folder."""
-    path = f"{_root(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = new_folder(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -132,6 +132,43 @@ def j10_range_join(spark: SparkSession, d: str) -> DataFrame:
     return T.range_join(points, ranges, "at", "low", "high", span, ["orderkey"]).groupBy("orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+@query("""SELECT s_suppkey AS suppkey, count(c_custkey) AS n, min(c_custkey) AS first FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal AND s_acctbal + [0.0, 1.0, 30.0, 1000.0, 20000.0][s_suppkey % 5 + 1] GROUP BY 1""")
+def j10_mixed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in balance ranges from a single value to more than all of them."""
+    points = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("at"))
+    span = F.element_at(F.array(*map(F.lit, (0.0, 1.0, 30.0, 1000.0, 20000.0))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    ranges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + span).alias("high"))
+    return T.range_join(points, ranges, "at", "low", "high", 1.0).groupBy("suppkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+
+
+@query(
+    """SELECT gene, count(*) AS n, round(avg(effect), 9) AS mean, round(stddev_samp(effect), 9) AS std, min(effect) AS low, max(effect) AS high, count(DISTINCT fold) AS n_fold, count(DISTINCT tissue) AS n_tissue FROM volcano GROUP BY gene""",
+    VOLCANO,
+)
+def a10_incremental_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The test results in three batches by fold, each a table of states, one of them written twice; then their merge."""
+    from evistrata.operators.written import new_folder
+    from evistrata.streaming import folds
+
+    v, target = volcano(spark, d), new_folder(spark, "states")
+    for batch in (0, 1, 1, 2):
+        folds.fold_in(v.filter(F.col("fold") % 3 == batch), batch, target, ["gene"], "effect", ["fold"], ["tissue"])
+    out = folds.summary(folds.state(spark, target, ["gene"]), ["gene"])
+    return out.select("gene", "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "low", "high", "n_fold", "n_tissue")
+
+
+@query("SELECT o_custkey AS custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice >= 1000 GROUP BY 1")
+def s9_block_gzip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as block gzip text and read in ranges: types from the first rows, some columns, filters in the reader."""
+    from evistrata.operators.written import new_folder
+    from evistrata.sources.blocked import blocked_table, write_blocked
+
+    path = new_folder(spark, "blocked")
+    write_blocked(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), path)
+    rows = blocked_table(spark, path, range_bytes=1_000_000).filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_totalprice") >= 1000))
+    return rows.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("SELECT a.s_suppkey AS suppkey, count(*) AS n FROM supplier a JOIN supplier b ON b.s_acctbal BETWEEN a.s_acctbal - 100 AND a.s_acctbal + 100 GROUP BY 1")
 def j11_window_join(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers whose balance lies within a window around another's."""

@@ -164,11 +164,29 @@ def test_colocalisation_prefers_the_shared_signal(spark):
     assert all(sum(r[f"pp_h{i}"] for i in range(5)) == pytest.approx(1) for r in got.values())
 
 
-def test_range_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("bin_points", [1_000_000, 5])
+def test_range_join_equals_all_pairs(spark, bin_points, monkeypatch):
+    monkeypatch.setattr(T, "BIN_POINTS", bin_points)
     rng = random.Random(4)
-    pts, rgs = [(i, rng.uniform(-50, 50)) for i in range(80)], [(i, a := rng.uniform(-50, 50), a + rng.choice([-1, 0, 3, 40])) for i in range(30)]
-    got = T.range_join(spark.createDataFrame(pts, "p int, at double"), spark.createDataFrame(rgs, "r int, low double, high double"), "at", "low", "high", 7.0)
-    assert sorted((r.p, r.r) for r in got.collect()) == sorted((p, r) for p, x in pts for r, a, b in rgs if a <= x <= b)
+    pts = [(i, rng.choice("xyz"), rng.choice([rng.uniform(-50, 50), 10 ** rng.uniform(0, 8), 7.0])) for i in range(150)] + [(900, "x", None), (901, None, 1.0), (902, "x", float("nan"))]
+    rgs = [(i, rng.choice("xy"), a := rng.choice([rng.uniform(-50, 50), 7.0]), a + rng.choice([-1, 0, 1, 3, 40, 10 ** rng.uniform(0, 8), 1e8])) for i in range(60)] + [(90, "x", None, 1.0), (91, "x", 0.0, None)]
+    p, r = spark.createDataFrame(pts, "p int, c string, at double"), spark.createDataFrame(rgs, "r int, c string, low double, high double")
+    inside = lambda x, a, b: None not in (x, a, b) and a <= x <= b
+    got = T.range_join(p, r, "at", "low", "high", 7.0, ["c"])
+    assert sorted((x.p, x.r) for x in got.collect()) == sorted((i, j) for i, c, x in pts for j, d, a, b in rgs if c == d and inside(x, a, b))
+    assert set(got.columns) == {"p", "c", "at", "r", "low", "high"}
+    free = T.range_join(p.drop("c"), r.drop("c"), "at", "low", "high", 1.0).collect()
+    assert sorted((x.p, x.r) for x in free) == sorted((i, j) for i, _, x in pts for j, _, a, b in rgs if inside(x, a, b))
+    assert T.range_join(p, r.limit(0), "at", "low", "high", 7.0, ["c"]).count() == 0
+
+
+def test_long_ranges_stand_in_two_bins(spark):
+    """A chromosome-long range beside short ones: the rows that are joined stay near the rows given."""
+    r = spark.createDataFrame([(0, 0.0, 1e8), (1, 5.0, 6.0), (2, 100.0, 1000.0)], "r int, low double, high double")
+    plan = T.range_join(spark.range(1000).select(F.col("id").cast("double").alias("at")), r, "at", "low", "high", 1.0)
+    assert plan.count() == 1000 + 2 + 900
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" in text and "Cartesian" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_phenotype_codes(spark):
