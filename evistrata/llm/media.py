@@ -27,70 +27,124 @@ from evistrata.llm._words import slices
 #: Samples in a row of the stored image.
 WIDTH = 192
 SEQUENCE = "array<struct<position:int,kind:string,text:string,ref:string,caption:string,n_bytes:long>>"
-MEDIA_TAGS = {"img", "video", "audio", "source", "embed"}
+MEDIA_TAGS = {"img", "video", "audio", "source", "embed", "image"}
 SKIPPED = {"script", "style", "template", "noscript"}
+#: Words on both sides of where such an element begins or ends are apart.
+BLOCKS = set(
+    "address article aside blockquote br body caption dd details div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol optgroup option p pre "
+    "section summary table tbody td tfoot th thead title tr ul".split()
+)
+#: More digits than any medium's size has.
+SIZE_DIGITS = 18
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 class _Sequence(HTMLParser):
-    """Collects text pieces and media references in reading order."""
+    """Collects text pieces and media references in reading order.
+
+    A figure's caption may stand before or after its media, and goes to all of them; it ends with its
+    element, with the figure, where another one begins, or with the page. The words of a caption
+    whose figure has no media are text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: int | None = None
+        self.captions: list[str] = []
+        self.in_caption = False
+        self.figure = 0
         self.hidden = 0
 
     def flush(self) -> None:
         words = " ".join("".join(self.text).split())
         self.text = []
-        if words:
+        if not words:
+            return
+        if self.in_caption:
+            self.captions.append(words)
+        else:
+            self.items.append({"kind": "text", "text": words, "ref": None, "caption": None, "n_bytes": None})
+
+    def end_caption(self) -> None:
+        if self.in_caption:
+            self.flush()
+            self.in_caption = False
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        media = [item for item in self.items[self.figure :] if item["kind"] == "media"]
+        words = " ".join(self.captions)
+        self.captions = []
+        if words and media:
+            for item in media:
+                item["caption"] = words
+        elif words:
             self.items.append({"kind": "text", "text": words, "ref": None, "caption": None, "n_bytes": None})
+        self.figure = len(self.items)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in BLOCKS:
+            self.text.append(" ")
         if tag in SKIPPED:
             self.hidden += 1
         elif tag == "figure":
-            self.flush()
-            self.figure = len(self.items)
+            self.end_figure()
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
-            self.caption = []
-        elif tag in MEDIA_TAGS:
-            named = dict(attrs)
-            if named.get("src"):
-                self.flush()
-                size = named.get("data-bytes") or ""
-                self.items.append({"kind": "media", "text": None, "ref": named["src"], "caption": named.get("alt") or None, "n_bytes": int(size) if size.isdecimal() else None})
-        elif tag in {"p", "div", "br", "li", "h1", "h2", "h3", "tr", "section", "article"}:
-            self.text.append(" ")
+            self.in_caption = True
+        elif tag in MEDIA_TAGS and not self.hidden:
+            self.medium(tag, dict(attrs))
+
+    def medium(self, tag: str, named: dict[str, str | None]) -> None:
+        ref = named.get("src") or named.get("data-src") or ((named.get("href") or named.get("xlink:href")) if tag == "image" else None)
+        if not ref and tag == "img":
+            ref = (named.get("srcset") or "").strip().split(" ")[0].rstrip(",")
+        if not ref:
+            return
+        self.flush()
+        size = named.get("data-bytes") or ""
+        known = size.isascii() and size.isdecimal() and len(size) <= SIZE_DIGITS
+        self.items.append({"kind": "media", "text": None, "ref": ref, "caption": named.get("alt") or None, "n_bytes": int(size) if known else None})
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.text.append(" ")
         if tag in SKIPPED:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            words = " ".join("".join(self.caption).split()) or None
-            for item in self.items[self.figure or 0 :]:
-                if item["kind"] == "media" and words:
-                    item["caption"] = words
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
-            self.flush()
-            self.figure = None
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            (self.text if self.caption is None else self.caption).append(data)
+            self.text.append(data)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` and what follows up to ``>`` is a comment, as browsers have it."""
+        end = self.rawdata.find(">", i + 3)
+        return -1 if end < 0 else end + 1
+
+    def unknown_decl(self, data: str) -> None:
+        pass
 
 
 def sequence_of(html: str | None) -> list[dict]:
-    """The items of one page; none for a null or empty page. Broken mark-up is read as browsers do, as far as it goes."""
+    """The items of one page; none for a null or empty page.
+
+    Broken mark-up is read as far as browsers would: unclosed elements end with the page, and what an
+    unclosed script, style, template or noscript hides stays hidden. A reference is ``src``, else
+    ``data-src``, the first of ``srcset`` of an image, or the ``href`` of an image in a drawing;
+    alternatives of a picture are not media of their own. Sizes that are no number of up to
+    ``SIZE_DIGITS`` digits are null.
+    """
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
+    parser.end_figure()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
 

@@ -225,6 +225,38 @@ def test_interleaved_page(spark):
     assert [(r.position, r.caption, r.size) for r in refs] == [(1, "cap & more", 5), (3, "alt", None)]
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<![foo bar]>x", [("x", None)]), ("<![if !IE]>x<![endif]>y", [("xy", None)]), ("a<![CDATA[zz]]>b", [("ab", None)]), ("<![foo", [("<![foo", None)]),
+    ('<figure><img src="a"><figcaption>never closed text', [("a", "never closed text")]), ("<figcaption>alone", [("alone", None)]),
+    ('<figure><figcaption>before</figcaption><img src="a"><img src="b" alt="own"></figure>z', [("a", "before"), ("b", "before"), ("z", None)]),
+    ('<figure><img src="a"><figcaption>one<figcaption>two</figure>', [("a", "one two")]), ("<figure><figcaption>no media</figcaption></figure>w", [("no media", None), ("w", None)]),
+    ("<p>one</p>two", [("one two", None)]), ("<td>a</td><td>b</td>", [("a b", None)]), ("<h4>t</h4><blockquote>x</blockquote>y", [("t x y", None)]), ("a<b>b</b>c", [("abc", None)]),
+    ('<img srcset="u 1x, v 2x"><svg><image href="q"/></svg><img data-src="l"><picture><source srcset="n"><img src="m"></picture>', [("u", None), ("q", None), ("l", None), ("m", None)]),
+    ("a<script>x<p>y", [("a", None)]), ('<noscript><img src="a"></noscript>b', [("b", None)]),
+])
+def test_broken_pages(html, want):
+    assert [(x["text"] or x["ref"], x["caption"]) for x in media.sequence_of(html)] == want
+
+
+def test_sizes_of_media():
+    sizes = {"5": 5, "9" * 18: 10**18 - 1, "9" * 19: None, "-1": None, "\u0665": None, "x": None, "": None}
+    assert {k: media.sequence_of(f'<img src="a" data-bytes="{k}">')[0]["n_bytes"] for k in sizes} == sizes
+
+
+def test_cut_and_shuffled_pages_are_read(spark, sf_dir):
+    pages = [r.html for r in table(spark, sf_dir, "pages").filter("html IS NOT NULL").limit(40).collect()]
+    rng, bits = random.Random(0), ["<![", "<!", "<!--", "]]>", "<figcaption>", "</figure>", "<script>", "&#", "<![foo bar]>", "<svg><image", "\x00", "<"]
+    made = []
+    for _ in range(600):
+        html = rng.choice(pages)[:4000]
+        for _ in range(rng.randint(1, 5)):
+            a, b = sorted((rng.randrange(len(html) + 1), rng.randrange(len(html) + 1)))
+            html = rng.choice([html[:a] + html[b:], html[:a] + rng.choice(bits) + html[a:], html[b:] + html[a:b] + html[:a], html[:b]])
+        made.append(html)
+    got = media.interleave(spark.createDataFrame(list(enumerate(made)), "page_id long, html string")).collect()
+    assert len(got) == 600 and all([x.position for x in r.sequence] == list(range(len(r.sequence))) for r in got)
+
+
 def test_pages_have_sequences(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     assert media.interleave(pages).filter("size(sequence) > 0").count() == pages.filter("html IS NOT NULL").count()
