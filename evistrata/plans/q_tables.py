@@ -142,7 +142,7 @@ def j10_mixed_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT gene, count(*) AS n, round(avg(effect), 9) AS mean, round(stddev_samp(effect), 9) AS std, min(effect) AS low, max(effect) AS high, count(DISTINCT fold) AS n_fold, count(DISTINCT tissue) AS n_tissue FROM volcano GROUP BY gene""",
+    """SELECT gene, count(*) AS n, round(avg(effect), 9) + 0.0 AS mean, round(stddev_samp(effect), 9) AS std, min(effect) AS low, max(effect) AS high, count(DISTINCT fold) AS n_fold, count(DISTINCT tissue) AS n_tissue FROM volcano GROUP BY gene""",
     VOLCANO,
 )
 def a10_incremental_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ def a10_incremental_merge(spark: SparkSession, d: str) -> DataFrame:
     for batch in (0, 1, 1, 2):
         folds.fold_in(v.filter(F.col("fold") % 3 == batch), batch, target, ["gene"], "effect", ["fold"], ["tissue"])
     out = folds.summary(folds.state(spark, target, ["gene"]), ["gene"])
-    return out.select("gene", "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "low", "high", "n_fold", "n_tissue")
+    return out.select("gene", "n", (F.round("mean", 9) + 0.0).alias("mean"), F.round("std", 9).alias("std"), "low", "high", "n_fold", "n_tissue")
 
 
 @query("SELECT o_custkey AS custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice >= 1000 GROUP BY 1")
