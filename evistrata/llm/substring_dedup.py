@@ -279,19 +279,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """One row a document: doc_id, n_words, n_removed, kept_sha256.
 
     Every word covered by a window whose words also start earlier is removed: in a document with a
-    smaller id, or earlier in the same one. Null ids come last. Windows are judged on the input.
+    smaller id, or earlier in the same one. Null ids come last, after the largest id. Windows are judged on the input.
     Null and empty texts have no words, and texts shorter than the window lose nothing. Rows
     repeated with id and text are one document and get one result each; different texts under one
     id, or without one, are told apart and ordered by a hash. Other columns are ignored.
     """
     last = F.lit((1 << 63) - 1)
-    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc"), text_or_empty(text_col).alias("text"))
+    own = F.col(id_col).cast("long")
+    whole = docs.select(F.coalesce(own, last).alias("doc"), own.isNull().alias("none"), text_or_empty(text_col).alias("text"))
     several = materialise(whole.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc", F.lit(True).alias("several")), "ids-repeated")
     tag = lambda *cols: F.when(F.col("several"), F.xxhash64(*cols)).otherwise(F.lit(0).cast("long"))
-    keyed = whole.join(several, "doc", "left").select("doc", tag("text").alias("tag1"), tag(F.lit(1), "text").alias("tag2"), "text", F.coalesce("several", F.lit(False)).alias("several"))
+    # Null ids share a number with the largest id, whose own documents have tags below zero there.
+    half, middle = F.shiftright(tag("text"), 1), F.lit(1 << 62)
+    first = F.when(F.col("doc") != last, tag("text")).when(F.col("none"), half + middle).otherwise(half - middle)
+    keyed = whole.join(several, "doc", "left").select("doc", first.alias("tag1"), tag(F.lit(1), "text").alias("tag2"), "text", F.coalesce("several", F.lit(False)).alias("several"))
     twins = materialise(keyed.filter("several").groupBy(*DOC).agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts-repeated")
     once = keyed.filter("NOT several").select(*DOC, "text", F.lit(1).cast("long").alias("copies")).unionByName(twins)
     # Both joins with the texts take the same columns, so their shuffle is made once.
-    joined = once.join(repeated_ranges(once, window, hot_runs), [*DOC], "left").select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "text", "copies", "ranges")
+    joined = once.join(repeated_ranges(once, window, hot_runs), [*DOC], "left").select(F.when((F.col("doc") != last) | (F.col("tag1") < 0), F.col("doc")).alias("doc_id"), "text", "copies", "ranges")
     found = joined.mapInArrow(_kept_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string, copies long")
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy")

@@ -192,6 +192,20 @@ def test_substring_repeats_under_shared_ids(spark, hot_runs):
     assert got == Counter((d, *want[d, t or ""]) for d, t in rows)
 
 
+@pytest.mark.parametrize("more", [0, 3])
+def test_largest_and_missing_ids_are_apart(spark, more):
+    text = " ".join(f"w{i}" for i in range(60))
+    largest, smallest = (1 << 63) - 1, -(1 << 63)
+    rows = [(largest, text), (None, text), (smallest, "a b " + text[:200])] + [(None, f"{i} {text}") for i in range(more)] + [(largest, f"x{i} {text}") for i in range(more)]
+    got = Counter(tuple(r)[:3] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(words(rows[2][1]))
+    fresh = [r for r in rows if r[0] == largest]
+    assert got[smallest, n, 0] == 1 and sum(c for (d, *_), c in got.items() if d is None) == 1 + more
+    # What follows the smallest document's share is new once, in a document of the largest id; no document without an id keeps any of it.
+    assert all(gone == size or gone == size - 1 for (d, size, gone) in got if d is None)
+    assert sum(1 for (d, size, gone), c in got.items() if d == largest for _ in range(c) if gone < size - 1) == 1 and len(fresh) == 1 + more
+
+
 def slow_feature(payload):
     """Mean in thousandths, bytes of sixteen band shares in hexadecimal, mean change from row to row in thousandths."""
     bands = [0] * 16
