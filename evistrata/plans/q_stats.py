@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evistrata.functions import pvalues as P
 from evistrata.operators import causal as C
 from evistrata.operators import coexpression as CX
+from evistrata.operators import genotypes as GP
 from evistrata.operators import graph as G
 from evistrata.operators import kernels as K
 from evistrata.operators import linkage as LK
@@ -260,6 +261,20 @@ def m41_genotype_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.genotype_scores(g, w), 6, "score")
 
 
+@query(
+    """SELECT sample, p_brand AS gene, round(sum(CASE WHEN p_size % 2 = 0 THEN dosage ELSE 2 - dosage END * p_size / 50), 6) AS score, count(*) AS n_snps
+    FROM calls JOIN part ON snp = p_partkey WHERE p_size % 5 > 0 AND NOT missing GROUP BY ALL""",
+    "calls AS (SELECT l_suppkey AS sample, l_partkey AS snp, min(l_linenumber) % 3 AS dosage, min(l_linenumber) % 7 = 3 AS missing FROM lineitem GROUP BY ALL)",
+)
+def m41_packed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of two bits, weights met once a variant, and scores as products over blocks of samples."""
+    first = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("snp")).agg(F.min("l_linenumber").alias("m"))
+    g = first.select("sample", "snp", F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.when(F.col("m") % 7 != 3, F.col("m") % 3).alias("dosage"))
+    w = table(spark, d, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("snp"), F.when(F.col("p_size") % 5 == 0, "G").when(F.col("p_size") % 2 == 0, "T").otherwise("A").alias("allele"), (F.col("p_size") / 50).alias("weight"))
+    samples = GP.sample_index(g)
+    return rounded(GP.packed_scores(GP.pack(g, samples), w, samples), 6, "score")
+
+
 EDGES = "edges AS (SELECT least(l_suppkey, l_partkey) AS u, greatest(l_suppkey, l_partkey) AS v, max(l_quantity / 50) AS w FROM lineitem WHERE l_suppkey <> l_partkey AND l_quantity / 50 >= 0.98 GROUP BY ALL)"
 
 

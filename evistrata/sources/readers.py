@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -267,6 +268,38 @@ def plink(spark: SparkSession, stem: str) -> DataFrame:
     return out.withColumn("dosage", F.when(~F.isnan("dosage"), F.col("dosage")))
 
 
+def plink_packed(spark: SparkSession, stem: str) -> tuple[DataFrame, DataFrame]:
+    """A bed, bim and fam trio as packed rows and the index of its samples; the file's bytes are cut, not decoded."""
+    from evistrata.operators import genotypes as P
+
+    people = fam(spark, f"{stem}.fam").select("sample")
+    in_file = numbered(people.withColumn("__file_order", F.monotonically_increasing_id()), [F.asc("__file_order")], "i").select("sample", (F.col("i") - 1).alias("i"))
+    bim = whitespace_table(spark, f"{stem}.bim", ["chr", "snp", "cm", "pos", "alt", "ref"])
+    place = numbered(bim.withColumn("__file_order", F.monotonically_increasing_id()), [F.asc("__file_order")], "i").select((F.col("i") - 1).alias("i"), "snp", "ref", "alt")
+    n = people.count()
+    width, step, uri = -(-n // 4), P.BLOCK // 4, f"{stem}.bed"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        fs, path = pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+        with fs.open_input_file(path) as f:
+            if f.read_at(3, 0) != b"\x6c\x1b\x01":
+                raise ValueError("not a variant-major bed file")
+            for batch in batches:
+                for i, *variant in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                    data = bytearray(f.read_at(width, 3 + i * width))
+                    if n % 4:  # what follows the last sample in its byte is no call
+                        keep = (1 << 2 * (n % 4)) - 1
+                        data[-1] = data[-1] & keep | P.MISSING & ~keep & 0xFF
+                    data += bytes([P.MISSING]) * (-len(data) % step)
+                    own = [bytes(data[a : a + step]) for a in range(0, len(data), step)]
+                    same = [pa.array([v] * len(own), pa.string()) for v in variant]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(len(own)), pa.int32()), pa.array(own, pa.binary())], names=[*P.VARIANT, "block", "calls"])
+
+    return place.repartitionByRange("i").sortWithinPartitions("i").mapInArrow(cut, P.PACKED), in_file
+
+
 def predictor_map(spark: SparkSession, path: str) -> DataFrame:
     """(gene, snp) from one SNP or a list of them a row."""
     df = resolve_columns(sniffed(spark, path), {"gene": ["gene"], "snps": ["snps", "snp"]}, required=("gene", "snps"))
