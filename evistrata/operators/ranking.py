@@ -23,6 +23,18 @@ def percentile_rank(df: DataFrame, x: str, name: str, zero: bool = True) -> Data
     return r.withColumn("__share", F.when((F.col(x) > 0) & F.col("__r").isNotNull(), share).otherwise(0.0) if zero else share).drop("__r", "__r_n", *([name] if name in df.columns else [])).withColumnRenamed("__share", name)
 
 
+def percentile_ranks(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, cols): as ``percentile_rank`` with zeroing, all columns in one pass over (column, value); a key has one row."""
+    long = df.select(key, *(F.col(c).cast("double").alias(c) for c in cols)).unpivot([key], cols, "__column", "__x")
+    places = value_places(long, "__x", ["__column"])
+    n = places.groupBy(F.col("__column").alias("__n_column")).agg(F.sum("__count").alias("__n"))
+    rank = ((F.col("__upto") - (F.col("__count") - 1) / 2.0) / F.col("__n")).alias("__rank")
+    of_value = places.join(n, F.col("__column") == F.col("__n_column")).select(F.col("__column").alias("__p"), F.col("__x").alias("__v"), rank)
+    share = F.when((F.col("__x") > 0) & F.col("__rank").isNotNull(), F.col("__rank")).otherwise(0.0)
+    joined = long.join(of_value, (F.col("__column") == F.col("__p")) & (F.col("__x") == F.col("__v")), "left")
+    return joined.groupBy(key).agg(*(F.max(F.when(F.col("__column") == c, share)).alias(c) for c in cols))
+
+
 def gene_weight(df: DataFrame, score: str, name: str) -> DataFrame:
     """Add the rank weight of a score: the best has the largest, none is 0."""
     r = with_average_rank(df, score, "__r", descending=True)

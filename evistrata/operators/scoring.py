@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evistrata.functions.numeric import neg_log10, sigmoid, sign_label
 from evistrata.functions.text import PHASE_WEIGHT, SOURCE_WEIGHT, phase_label, weight_of
 from evistrata.operators.ordered import exact_percentiles, numbered
-from evistrata.operators.ranking import gene_weight, percentile_rank, ranked
+from evistrata.operators.ranking import gene_weight, percentile_ranks, ranked
 
 # Fixed values that results depend on: (de, pathway, drug, hub, hub boost) of the weighting schemes.
 SCHEMES = {
@@ -93,11 +93,9 @@ def integrated_score(df: DataFrame, scheme: tuple[float, float, float, float, fl
 
 
 def scheme_scores(master: DataFrame, schemes: dict[str, tuple[float, float, float, float, float]], key: str = "gene") -> DataFrame:
-    """(scheme, key, score): percentile ranks once, then every scheme's score by ``stack``."""
+    """(scheme, key, score): percentile ranks of all parts in one pass, then every scheme's score by ``stack``; a key has one row."""
     parts = ("de", "path", "drug", "hub")
-    normed = master.select(key, *parts)
-    for part in parts:
-        normed = percentile_rank(normed, part, part)
+    normed = percentile_ranks(master, key, list(parts))
     cols = normed.select(key, *(integrated_score(normed, s).alias(n) for n, s in schemes.items()))
     return cols.unpivot([key], list(schemes), "scheme", "score")
 
