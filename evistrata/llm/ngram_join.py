@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.llm._shared import materialise, text_or_empty
+from evistrata.llm._shared import discard, materialise, text_or_empty
 from evistrata.llm._tasks import column, concat_ranges, key_chunks, record, tidy
 from evistrata.llm._words import SMALL_SLICE_BYTES, gram_hashes, hashed, mixed, slices, split_words
 from evistrata.operators.graph import connected_components
@@ -365,17 +365,22 @@ class _Join:
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
         common = np.sort(column(frequent, "shingle").view(np.uint64))
         marks = spark.sparkContext.broadcast((shared, common))
-        self.facts = materialise(self.docs.mapInArrow(tidy(_prefixes(words, percent, marks)), "doc_id long, text_key long, n long, class_key binary, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
+        sets = materialise(self.docs.mapInArrow(tidy(_prefixes(words, percent, marks)), "doc_id long, text_key long, n long, class_key binary, is_first boolean, prefix array<long>, sketch array<long>"), "shingle-sets")
         marks.unpersist()
-        classes = self.facts.filter("is_first").groupBy("class_key", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("text_of"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-        self.classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
-        self.members = self.classes.drop("prefix")
+        self.facts = materialise(sets.select("doc_id", "text_key", "n", "class_key"), "shingle-facts")
+        classes = sets.filter("is_first").groupBy("class_key", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("text_of"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
+        discard(sets)
+        self.members = materialise(classes.drop("prefix"), "shingle-members")
         bits = [F.bit_and(F.col("sketch")[i]) for i in range(SKETCH_WORDS)]
         same = [F.bitwise_not(F.bit_and(F.col("sketch")[i]).bitwiseXOR(F.bit_or(F.col("sketch")[i]))) for i in range(SKETCH_WORDS)]
-        groups = self.classes.groupBy("group_key", "prefix", "n").agg(F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
-        self.groups = materialise(groups, "shingle-groups")
-        postings = self.groups.select("n", "sketch", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos", "sketch")
+        groups = classes.groupBy("group_key", "prefix", "n").agg(F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
+        groups = materialise(groups, "shingle-groups")
+        discard(classes)  # of all copies of the prefixes the groups' own stays, until their postings are written
+        postings = groups.select("n", "sketch", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos", "sketch")
         self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(tidy(_lists(percent)), POSTING), "shingle-lists")
+        self.groups = materialise(groups.select("group_key", "lead", "size"), "shingle-leads")
+        discard(groups)
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of class pairs (class_a, class_b) those that verify on the texts.
