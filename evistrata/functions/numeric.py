@@ -10,6 +10,11 @@ def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to ``digits``, a half to the even neighbour, as arrays of doubles are rounded: scaled, to the nearest integer, and back."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def neg_log10(p: Column, floor: float = 1e-300) -> Column:
     return -F.log10(F.greatest(p, F.lit(floor)))
 

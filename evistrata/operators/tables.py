@@ -85,6 +85,19 @@ def in_all_splits(df: DataFrame, gene: str, split: str) -> DataFrame:
     return df.join(in_every(df.select(split, gene).distinct(), split, gene).select(gene), gene, "left_semi")
 
 
+def sufficient(df: DataFrame, by: list[str], sample: str = "sample", gene: str = "gene", least_samples: int = 10, least_genes: int = 5) -> DataFrame:
+    """Rows of the groups that have enough distinct samples and genes; null ones do not count, and a null group is a group.
+
+    Both counts start before the shuffle, in two levels, so that a large group is not one set in one task.
+    """
+    many = lambda c, n: df.select(*by, c).filter(F.col(c).isNotNull()).distinct().groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") >= n).select(*(F.col(b).alias(f"__{b}") for b in by))
+    for c, n in ((sample, least_samples), (gene, least_genes)):
+        large = many(c, n)
+        same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by))
+        df = df.join(large, same, "left_semi")
+    return df
+
+
 def to_long(df: DataFrame, ids: list[str], key: str = "gene", value: str = "value") -> DataFrame:
     cols = [c for c in df.columns if c not in ids]
     return df.unpivot([F.col(c) for c in ids], [F.col(f"`{c}`") for c in cols], key, value)

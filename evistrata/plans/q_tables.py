@@ -207,6 +207,24 @@ def j21_k10_completeness(spark: SparkSession, d: str) -> DataFrame:
     return long.join(left, ["database", "tissue"], "left").na.fill(0, ["to_do"]).select("database", "tissue", F.col("complete").cast("int").alias("complete"), "to_do")
 
 
+@query(
+    """, big AS (SELECT database, tissue, fold, method FROM volcano GROUP BY ALL HAVING count(DISTINCT gene) >= 26 AND count(DISTINCT effect) >= 14)
+    SELECT database, tissue, fold, method, count(*) AS n FROM volcano SEMI JOIN big USING (database, tissue, fold, method) GROUP BY ALL""",
+    VOLCANO,
+)
+def p18_sufficient_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Results of the units with enough genes and enough different effects."""
+    keys = ["database", "tissue", "fold", "method"]
+    return T.sufficient(volcano(spark, d), keys, "effect", "gene", 14, 26).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_linenumber AS linenumber, round_even(l_quantity / 8 * 100.0, 0)::DOUBLE / 100.0 AS eighths, count(*) AS n FROM lineitem GROUP BY ALL")
+def n11_half_even(spark: SparkSession, d: str) -> DataFrame:
+    """Eighths rounded to two digits, where every second one is a tie."""
+    x = N.half_even(F.col("l_quantity") / 8, 2)
+    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("linenumber"), x.alias("eighths")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT fold, tissue, count(*) AS n, round(avg(effect), 6) AS mean, round(stddev_samp(effect), 6) AS sd, min(effect) AS low, max(effect) AS high, array_to_string(list_sort(list_distinct(list(database))), ',') AS databases FROM volcano GROUP BY ALL", VOLCANO)
 def a10_cross_fold(spark: SparkSession, d: str) -> DataFrame:
     return volcano(spark, d).groupBy("fold", "tissue").agg(F.count("*").alias("n"), F.round(F.avg("effect"), 6).alias("mean"), F.round(F.stddev_samp("effect"), 6).alias("sd"), F.min("effect").alias("low"), F.max("effect").alias("high"), F.array_join(F.array_sort(F.collect_set("database")), ",").alias("databases"))

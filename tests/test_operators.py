@@ -189,6 +189,19 @@ def test_long_ranges_stand_in_two_bins(spark):
     assert "Generate explode(sequence" in text and "Cartesian" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_groups_go(spark):
+    rows = [("a", s, g) for s in range(10) for g in range(5)] + [("few samples", s, g) for s in range(9) for g in range(5)] + [("few genes", s, 0) for s in range(20)]
+    rows += [(None, s, g) for s in range(10) for g in range(5)] + [("nulls", None, g) for g in range(50)] + [("twice", s % 9, s % 5) for s in range(500)]
+    got = T.sufficient(spark.createDataFrame(rows, "k string, sample int, gene int"), ["k"])
+    assert Counter(r.k for r in got.collect()) == {"a": 50, None: 50}
+
+
+def test_halves_go_to_even(spark):
+    xs = [0.125, 0.375, 2.675, -0.125, 1e-9, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(N.half_even(F.col("x"), 2)).collect()]
+    assert got[:5] == [float(v) for v in np.round(xs[:5], 2)] and got[5] != got[5] and got[6] is None
+
+
 def test_phenotype_codes(spark):
     for codes, want in (([1, 2, 2], [0, 1, 1]), ([0, 1, 1], [0, 1, 1]), ([3, 7, 9], [0, 0, 1])):
         df = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, pheno int")
