@@ -245,15 +245,20 @@ def files_of(path: str) -> list[str]:
 
 
 class BlockedTable(DataSource):
-    """``spark.read.format("blocked_table")`` with a path and, if not a comma, ``sep``; without a schema the first 200 rows decide."""
+    """``spark.read.format("blocked_table")`` with a path and, if not a comma, ``sep``; without a schema the first 200 rows decide, of the first file that has any."""
 
     @classmethod
     def name(cls) -> str:
         return "blocked_table"
 
     def schema(self) -> StructType:
-        first = files_of(self.options["path"])[0]
-        table = pacsv.read_csv(io.BytesIO(b"".join(_head(first, SNIFFED + 1))), parse_options=pacsv.ParseOptions(delimiter=self.options.get("sep", ",")), convert_options=pacsv.ConvertOptions(null_values=MISSING, strings_can_be_null=True))
+        heads = (_head(path, SNIFFED + 1) for path in files_of(self.options["path"]))
+        lines: list[bytes] = []
+        for head in heads:  # partitions without rows leave files with a header alone
+            lines = head if len(head) > 1 else lines or head
+            if len(head) > 1:
+                break
+        table = pacsv.read_csv(io.BytesIO(b"".join(lines)), parse_options=pacsv.ParseOptions(delimiter=self.options.get("sep", ",")), convert_options=pacsv.ConvertOptions(null_values=MISSING, strings_can_be_null=True))
         kind = lambda t: LongType() if pa.types.is_integer(t) else DoubleType() if pa.types.is_floating(t) else StringType()
         return StructType([StructField(f.name, kind(f.type)) for f in table.schema])
 

@@ -61,3 +61,14 @@ def test_other_files_and_folders(spark, made, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 2), (3, 4), (9, 8)]
     (tmp_path / "only.csv").write_bytes(b"a,b\n")
     assert B.blocked_table(spark, str(tmp_path / "only.csv"), "a long").count() == 0
+
+
+def test_types_come_from_the_first_file_with_rows(spark, tmp_path):
+    """A first partition without rows leaves a header alone, which would make every column text."""
+    df = spark.range(0, 4_000, 1, 4).filter("id >= 1000").selectExpr("id AS k", "id + 0.5D AS total", "concat('p', id % 2) AS p")
+    B.write_blocked(df, f"file://{tmp_path}/t")
+    got = B.blocked_table(spark, f"file://{tmp_path}/t", range_bytes=1_000)
+    assert got.dtypes == df.dtypes
+    assert got.filter("p = 'p1' AND total >= 2000").count() == 1_000
+    B.write_blocked(df.filter("k < 0"), f"file://{tmp_path}/none")
+    assert B.blocked_table(spark, f"file://{tmp_path}/none").count() == 0
