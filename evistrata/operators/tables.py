@@ -60,8 +60,8 @@ def trim_outliers(df: DataFrame, x: str, tight: float, wide: float, most_lost: f
 
 
 def varying(df: DataFrame, gene: str, value: str, by: list[str] = (), least: float = 1e-10) -> DataFrame:
-    """Rows of the genes whose sample variance reaches ``least``."""
-    keep = df.groupBy(*by, gene).agg(F.var_samp(value).alias("v")).filter(F.col("v") >= least).select(*by, gene)
+    """Rows of the genes whose sample variance reaches ``least``; one equal to it but for the last digits, which follow from the order of the rows, does."""
+    keep = df.groupBy(*by, gene).agg(F.var_samp(value).alias("v")).filter(F.col("v") >= least * (1 - 1e-12)).select(*by, gene)
     return df.join(keep, [*by, gene], "left_semi")
 
 

@@ -252,3 +252,13 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     want = [r.prediction for r in model.transform(ready.transform(df)).select("prediction").collect()]
     assert [r.prediction for r in again.transform(df).select("prediction").collect()] == want
     assert ml.importances(again.stages[-1], ["x", "y"])[0][0] == "x"
+
+
+def test_variance_at_the_limit_counts_in_any_order(spark):
+    """Tenths with a sample variance of 0.15 exactly: (n * sum of squares - square of the sum) / (n * (n - 1)) is 15."""
+    rng = random.Random(3)
+    sets = [k for k in ([rng.randint(-9, 9) for _ in range(11)] for _ in range(200_000)) if 11 * sum(x * x for x in k) - sum(k) ** 2 == 15 * 110][:40]
+    rows = [(i, x / 10) for i, k in enumerate(sets) for x in k] + [(-1, x / 10) for x in [*sets[0][:-1], sets[0][-1] / 2]]
+    got = T.varying(spark.createDataFrame(rows, "g int, x double").coalesce(1), "g", "x", least=0.15)
+    assert len(sets) == 40 and {r.g for r in got.collect()} - {-1} == set(range(40))
+    assert T.varying(spark.createDataFrame([(0, 0.1)] * 5, "g int, x double"), "g", "x").count() == 0
