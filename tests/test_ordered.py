@@ -138,3 +138,25 @@ def test_names_fall_into_the_first_group(spark):
     df = spark.createDataFrame([("Brain Cortex",), ("LIVER",), ("blood",), (None,)], "x string")
     got = [r[0] for r in df.select(A.grouped_names(F.col("x"), {"Brain": ("brain", "cortex"), "Organ": ("liver", "cortex")})).collect()]
     assert got == ["Brain", "Organ", "Other", None]
+
+
+@pytest.mark.parametrize("spare", [M.SPARE if hasattr(M, "SPARE") else 100, -35.0])
+def test_draws_order_few_rows(spark, monkeypatch, spare):
+    """The drawn keys are the first by md5, also where the bound lets too few through; few rows are put in order."""
+    import hashlib
+
+    monkeypatch.setattr(M, "SPARE", spare, raising=False)
+    seen, whole = [], M.running
+    monkeypatch.setattr(M, "running", lambda df, *rest: (seen.append(df.count()), whole(df, *rest))[1])
+    universe = spark.range(3_000).select(F.col("id").alias("gene"), F.when(F.col("id") < 2_995, F.col("id") % 2).otherwise(2).alias("bin"))
+    sizes = spark.createDataFrame([(0, 20), (1, 25), (2, 9)], "bin int, n long")
+    md5 = lambda rep, g: hashlib.md5(f"7:{rep}:{g}".encode()).hexdigest()
+    want = set()
+    for rep in range(1, 11):
+        for own, n in ((range(0, 2_995, 2), 20), (range(1, 2_995, 2), 25), (range(2_995, 3_000), 9)):
+            want |= {(rep, g) for g in sorted(own, key=lambda g: md5(rep, g))[:n]}
+    got = M._drawn(universe, sizes, "gene", ["bin"], 10, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert spare < 0 or seen[0] < 10 * 3 * (2 * 25 + 100)
+    free = M._drawn(universe, spark.createDataFrame([(20,)], "n long"), "gene", [], 10, 7)
+    assert {tuple(r) for r in free.collect()} == {(rep, g) for rep in range(1, 11) for g in sorted(range(3_000), key=lambda g: md5(rep, g))[:20]}
