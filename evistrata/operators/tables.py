@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.operators.ordered import exact_percentiles, numbered
+from evistrata.operators.ordered import exact_percentiles, numbered, present, running
+from evistrata.operators.written import checkpointed
 
 
 def resolve_columns(df: DataFrame, spec: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
@@ -186,6 +187,31 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return left.join(right, [*key, "__part"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("__class", "__bin", "__part")
 
 
+def range_summary(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, key: str, value: str) -> DataFrame:
+    """(key, n, first): how many points lie in a key's closed ranges, and the smallest ``value`` of them; no row without points.
+
+    No pair of a point and a range is made. Points' distinct places are numbered, a range is an
+    interval of numbers, and an interval is parted into at most two blocks of each power of two,
+    whose counts and smallest values are at hand. Reversed ranges, nulls and NaN match nothing.
+    """
+    place = points.filter(present(points, at)).groupBy(F.col(at).alias("__x")).agg(F.count("*").alias("__n"), F.min(value).alias("__min"))
+    place = checkpointed(numbered(place, [F.asc("__x")], "__r").withColumn("__r", F.col("__r") - 1))
+    levels = max(1, place.count().bit_length())
+    powers = lambda: F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    blocks = place.select("__n", "__min", "__r", powers().alias("__k")).groupBy("__k", F.expr("shiftright(__r, __k)").alias("__b")).agg(F.sum("__n").alias("__n"), F.min("__min").alias("__min"))
+    own = ranges.filter(present(ranges, low) & present(ranges, high) & (F.col(low) <= F.col(high))).select(F.col(key).alias("__key"), F.col(low).alias("__low"), F.col(high).alias("__high"))
+    own = checkpointed(numbered(own, [F.asc("__low"), F.asc("__high"), F.asc("__key")], "__id"))
+    # Of places and ends in order, a low end stands before a place that is equal to it, and a high one behind.
+    ends = own.select("__id", F.explode(F.array(F.struct(F.col("__low").alias("x"), F.lit(0).alias("kind")), F.struct(F.col("__high").alias("x"), F.lit(2).alias("kind")))).alias("e"))
+    every = place.select(F.lit(None).cast("long").alias("__id"), F.col("__x").alias("x"), F.lit(1).alias("kind")).unionByName(ends.select("__id", "e.x", "e.kind"))
+    upto = running(every, [F.asc("x"), F.asc("kind"), F.asc("__id")], {"__p": ("sum", (F.col("kind") == 1).cast("long"))}).filter("__id IS NOT NULL")
+    spans = upto.groupBy("__id").agg(F.max(F.when(F.col("kind") == 0, F.col("__p"))).alias("a"), F.max(F.when(F.col("kind") == 2, F.col("__p"))).alias("b")).filter("a < b")
+    each = spans.select("__id", "a", "b", powers().alias("__k")).selectExpr("__id", "__k", "shiftright(a + shiftleft(1L, __k) - 1, __k) AS l", "shiftright(b, __k) AS r").filter("l < r")
+    cover = each.select("__id", "__k", F.explode(F.expr("filter(array(if(l % 2 = 1, l, null), if(r % 2 = 1, r - 1, null)), x -> x IS NOT NULL)")).alias("__b"))
+    found = cover.join(blocks, ["__k", "__b"]).groupBy("__id").agg(F.sum("__n").alias("n"), F.min("__min").alias("first"))
+    return found.join(own, "__id").groupBy(F.col("__key").alias(key)).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def positional_join(a: DataFrame, b: DataFrame, order_a: list[Column], order_b: list[Column]) -> DataFrame:
     """Row i beside row i of two ordered tables, as far as the shorter goes.
 

@@ -138,7 +138,7 @@ def j10_mixed_ranges(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("at"))
     span = F.element_at(F.array(*map(F.lit, (0.0, 1.0, 30.0, 1000.0, 20000.0))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     ranges = table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + span).alias("high"))
-    return T.range_join(points, ranges, "at", "low", "high", 1.0).groupBy("suppkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+    return T.range_summary(points, ranges, "at", "low", "high", "suppkey", "c_custkey")
 
 
 @query(

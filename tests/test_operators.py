@@ -262,3 +262,18 @@ def test_variance_at_the_limit_counts_in_any_order(spark):
     got = T.varying(spark.createDataFrame(rows, "g int, x double").coalesce(1), "g", "x", least=0.15)
     assert len(sets) == 40 and {r.g for r in got.collect()} - {-1} == set(range(40))
     assert T.varying(spark.createDataFrame([(0, 0.1)] * 5, "g int, x double"), "g", "x").count() == 0
+
+
+def test_range_summary_equals_all_pairs(spark):
+    rng = random.Random(5)
+    pts = [(i, rng.choice([rng.uniform(-50, 50), float(rng.randint(-5, 5))])) for i in range(200)] + [(900, None), (901, float("nan"))]
+    rgs = [(i % 50, a := rng.choice([rng.uniform(-60, 60), float(rng.randint(-5, 5))]), a + rng.choice([-1, 0, 1, 3, 40, 1e8])) for i in range(80)] + [(90, None, 1.0), (91, 0.0, None), (92, 0.0, float("nan"))]
+    p, r = spark.createDataFrame(pts, "p int, at double"), spark.createDataFrame(rgs, "r int, low double, high double")
+    want = {}
+    for k, a, b in rgs:
+        for i, x in pts:
+            if None not in (x, a, b) and a <= x <= b:
+                want.setdefault(k, []).append(i)
+    got = T.range_summary(p, r, "at", "low", "high", "r", "p")
+    assert {x.r: (x.n, x.first) for x in got.collect()} == {k: (len(v), min(v)) for k, v in want.items()}
+    assert T.range_summary(p, r.limit(0), "at", "low", "high", "r", "p").count() == 0 and T.range_summary(p.limit(0), r, "at", "low", "high", "r", "p").count() == 0
