@@ -50,3 +50,25 @@ def test_bed_files(spark, tmp_path, n, monkeypatch):
     cols = ["sample", "snp", "ref", "alt", "dosage"]
     want = Counter(tuple(r) for r in R.plink(spark, str(tmp_path / "g")).select(*cols).collect())
     assert Counter(tuple(r) for r in P.unpack(packed, index).select(*cols).collect()) == want
+
+
+def test_a_batch_is_multiplied_in_slices():
+    """Calls are doubles in the product, so a large batch at once would take a multiple of its bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 2_000
+    kind = pa.list_(pa.struct([("gene", pa.string()), ("weight", pa.float64()), ("turned", pa.bool_())]))
+    weights = pa.array([[{"gene": f"g{i % 3}", "weight": 1.0, "turned": False}] for i in range(n)], kind)
+    calls = pa.array([bytes([0b10101010]) * (P.BLOCK // 4)] * n, pa.binary())  # one alternative allele each
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([0] * n, pa.int32()), calls, weights], names=["snp", "block", "calls", "weights"])
+    total = {}
+    tracemalloc.start()
+    for out in P._products(iter([batch])):
+        for g, v in zip(out.column("gene").to_pylist(), out.column("score")):
+            total[g] = total.get(g, 0.0) + v.values[0].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == {f"g{j}": float(len(range(j, n, 3))) for j in range(3)}
+    assert peak < 100_000_000
