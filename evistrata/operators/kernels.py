@@ -1,7 +1,8 @@
 """Iterative and resampling kernels: numpy on blocks of genes, a block of a group a task.
 
 Every function takes long rows (group keys, gene, sample, value) and cuts the genes of a group into
-blocks of about ``BLOCK_GENES`` by hash, so a task holds a block times the group's samples and no more.
+blocks of about ``BLOCK_GENES`` by hash, and of fewer where these have more than ``BLOCK_ROWS`` rows,
+so a task holds a block times the group's samples and no more: a gene's samples at the least.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from evistrata.functions.pvalues import normal_two_sided, t_two_sided
 
 #: Genes of a block, about; the number of blocks follows from the number of genes.
 BLOCK_GENES = 32
+#: Rows of a block, about; and of shuffled labels, those that are held at once.
+BLOCK_ROWS, MASK_VALUES = 500_000, 4_000_000
 
 
-def _blocked(df: DataFrame, keys: list[str], gene: str):
-    blocks = max(1, -(-df.select(gene).distinct().count() // BLOCK_GENES))
-    return df.withColumn("__block", F.pmod(F.xxhash64(gene), F.lit(blocks))).groupBy(*keys, "__block")
+def _blocked(df: DataFrame, keys: list[str], gene: str, *values: str):
+    """Groups of the keys and a block; of other columns the ``values`` alone are sent."""
+    per = df.groupBy(gene).agg(F.count("*").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-per[0] // BLOCK_GENES), min(per[0], -(-per[1] // BLOCK_ROWS)))
+    return df.select(*keys, gene, *values).withColumn("__block", F.pmod(F.xxhash64(gene), F.lit(blocks))).groupBy(*keys, "__block")
 
 
 def _schema(df: DataFrame, keys: list[str], gene: str, rest: str) -> str:
@@ -84,7 +89,7 @@ def logistic(df: DataFrame, keys: list[str], kind: str, gene: str = "gene") -> D
             out[k] = pdf[k].iloc[0]
         return out[[*keys, gene, "log_or", "se", "z", "p", "ci_low", "ci_high", "converged"]]
 
-    return _blocked(df, keys, gene).applyInPandas(fit, _schema(df, keys, gene, "log_or double, se double, z double, p double, ci_low double, ci_high double, converged boolean"))
+    return _blocked(df, keys, gene, "sample", "value", "status").applyInPandas(fit, _schema(df, keys, gene, "log_or double, se double, z double, p double, ci_low double, ci_high double, converged boolean"))
 
 
 def permutation_test(df: DataFrame, keys: list[str], reps: int = 1000, seed: int = 42, gene: str = "gene") -> DataFrame:
@@ -103,14 +108,16 @@ def permutation_test(df: DataFrame, keys: list[str], reps: int = 1000, seed: int
         total = x.sum(axis=0)
         diff = lambda mask: (mask @ x) / n1 - (total - mask @ x) / n0
         seen = diff(case.astype(float))
-        masks = np.stack([rng.permutation(case) for _ in range(reps)]).astype(float)
-        hits = (np.abs(diff(masks)) >= np.abs(seen) - 1e-12).sum(axis=0)
+        hits, step = np.zeros(x.shape[1], int), max(1, MASK_VALUES // len(case))
+        for first in range(0, reps, step):
+            masks = np.stack([rng.permutation(case) for _ in range(first, min(reps, first + step))]).astype(float)
+            hits += (np.abs(diff(masks)) >= np.abs(seen) - 1e-12).sum(axis=0)
         out = pd.DataFrame({gene: np.array(wide.columns, dtype=object), "difference": seen, "p": (hits + 1) / (reps + 1)})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[[*keys, gene, "difference", "p"]]
 
-    return _blocked(df, keys, gene).applyInPandas(test, _schema(df, keys, gene, "difference double, p double"))
+    return _blocked(df, keys, gene, "sample", "value", "status").applyInPandas(test, _schema(df, keys, gene, "difference double, p double"))
 
 
 def residualised(df: DataFrame, covariates: DataFrame, keys: list[str], cols: list[str], add_mean: bool = True, gene: str = "gene") -> DataFrame:
@@ -136,7 +143,7 @@ def residualised(df: DataFrame, covariates: DataFrame, keys: list[str], cols: li
         return out[[*keys, gene, "sample", "value"]]
 
     kinds = dict(df.dtypes)
-    return _blocked(rows, keys, gene).applyInPandas(fit, _schema(df, keys, gene, f"sample {kinds['sample']}, value double"))
+    return _blocked(rows, keys, gene, "sample", "value", *cols).applyInPandas(fit, _schema(df, keys, gene, f"sample {kinds['sample']}, value double"))
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:

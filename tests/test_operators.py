@@ -277,3 +277,16 @@ def test_range_summary_equals_all_pairs(spark):
     got = T.range_summary(p, r, "at", "low", "high", "r", "p")
     assert {x.r: (x.n, x.first) for x in got.collect()} == {k: (len(v), min(v)) for k, v in want.items()}
     assert T.range_summary(p, r.limit(0), "at", "low", "high", "r", "p").count() == 0 and T.range_summary(p.limit(0), r, "at", "low", "high", "r", "p").count() == 0
+
+
+def test_blocks_have_few_rows_and_labels_are_dealt_in_parts(spark, monkeypatch):
+    """Results do not depend on the blocks; a task gets the rows of few genes where these have many samples."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([("a", g, s, s % 2, rng.gauss(0.1 * g * (s % 2), 1.0), "long text") for g in range(12) for s in range(60)], "grp string, gene int, sample int, status int, value double, more string")
+    own = lambda: sorted(map(tuple, K.permutation_test(df, ["grp"], reps=50).collect()))
+    whole = own()
+    assert K._blocked(df, ["grp"], "gene", "value")._df.columns == ["grp", "gene", "value", "__block"]
+    monkeypatch.setattr(K, "BLOCK_ROWS", 120)
+    monkeypatch.setattr(K, "MASK_VALUES", 500)
+    assert len({r[0] for r in K._blocked(df, ["grp"], "gene", "value").agg(F.count("*")).select("__block").collect()}) > 2
+    assert [(g, k, p) for g, k, _, p in own()] == [(g, k, p) for g, k, _, p in whole]
