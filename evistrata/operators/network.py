@@ -12,12 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evistrata.operators.ordered import running
 from evistrata.operators.ranking import ranked
 from evistrata.operators.scoring import shuffle_key
 from evistrata.operators.written import checkpointed
 
 #: Rows of (source, node) that one sweep of the search holds, about.
 SWEEP_ROWS = 200_000_000
+#: Sources of a word, words of a row, and rows of words that a level of the search over sets holds, about.
+WORD, WORDS, SET_ROWS = 64, 32, 2_000_000
 #: Moves and merges gain more than this.
 LEAST_GAIN = 1e-12
 
@@ -74,13 +77,48 @@ def sampled(nodes: DataFrame, by: list[str], k: Column, seed: int) -> DataFrame:
     return placed.filter(F.col("__place") <= k).drop("__place")
 
 
+def reached_from_all(arcs: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, reached, total): how many nodes reach each node, itself among them, and the sum of their distances.
+
+    Sources are bits: a row is a node and a block of sources, and a level's row is the union of its
+    neighbours' sets, so a level costs a bit for what would be a row of (source, node). Of sets that
+    meet on the way only unions are shuffled. Blocks of sources run after each other, so that a level
+    has ``SET_ROWS`` rows at the most, about.
+    """
+    words, own = [f"w{k}" for k in range(WORDS)], WORD * WORDS
+    placed = checkpointed(running(nodes.select(*by, "node"), [F.col("node")], {"__i": ("sum", F.lit(1).cast("long"))}, by).withColumn("__i", F.col("__i") - 1))
+    size = placed.agg(F.count("*"), F.max("__i")).first()
+    blocks = -(-((size[1] or 0) + 1) // own)
+    step = max(1, SET_ROWS // max(1, size[0]))
+    bit = lambda k: F.when(F.floor(F.col("__i") % own / WORD) == k, F.expr(f"shiftleft(1L, CAST(__i % {WORD} AS INT))")).otherwise(F.lit(0).cast("long"))
+    key, found = [*by, "__block", "node"], []
+    edges = arcs.select(*by, "u", "v")
+    some = reduce(lambda a, b: a | b, (F.col(w) != 0 for w in words))
+    count = reduce(lambda a, b: a + b, (F.bit_count(w).cast("long") for w in words))
+    for first in range(0, blocks, step):
+        block = F.floor(F.col("__i") / own).cast("int")
+        ahead = checkpointed(placed.filter(block.between(first, first + step - 1)).select(*by, block.alias("__block"), "node", *(bit(k).alias(w) for k, w in enumerate(words))))
+        levels = [ahead]
+        while not ahead.isEmpty():
+            near = ahead.withColumnRenamed("node", "u").join(edges, [*by, "u"]).groupBy(*by, "__block", F.col("v").alias("node")).agg(*(F.bit_or(w).alias(w) for w in words))
+            # An undirected search never skips a level: what is new is in neither this one nor the one before.
+            for n, before in enumerate(levels[-2:]):
+                past = before.select(*key, *(F.col(w).alias(f"__{n}{w}") for w in words))
+                near = near.join(past, key, "left").select(*key, *(F.expr(f"{w} & ~coalesce(__{n}{w}, 0L)").alias(w) for w in words))
+            ahead = checkpointed(near.filter(some))
+            levels.append(ahead)
+        found += [x.select(*by, "node", count.alias("reached"), (count * d).alias("total")) for d, x in enumerate(levels)]
+    return checkpointed(_union(found).groupBy(*by, "node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total")))
+
+
 def centralities(edges: DataFrame, by: list[str] = (), k: int | None = None, seed: int = 42) -> DataFrame:
     """(by, node, betweenness, closeness) of every node with an edge.
 
     Closeness is exact: the share of nodes reached over their mean distance. Betweenness counts the
     shortest paths from ``k`` sources, scaled to all of them; None takes all, 0 the larger of 100
     and the square root of the number of nodes. Duplicate edges count once; a graph of two nodes has
-    betweenness 0. The search runs from all nodes at once, in sweeps of ``SWEEP_ROWS`` at the most.
+    betweenness 0. Closeness searches over sets of sources. Betweenness searches from its sources at
+    once, in sweeps of ``SWEEP_ROWS`` at the most.
     """
     by = list(by)
     arcs = checkpointed(_arcs(edges, by).distinct())
@@ -94,18 +132,15 @@ def centralities(edges: DataFrame, by: list[str] = (), k: int | None = None, see
         some = sampled(sized, by, most, seed).select(*by, "node", F.lit(True).alias("counts"))
         chosen = sized.join(some, [*by, "node"], "left").withColumn("counts", F.coalesce("counts", F.lit(False)))
     chosen = checkpointed(chosen)
-    sweeps = max(1, -(-(chosen.agg(F.sum("n")).first()[0] or 0) // SWEEP_ROWS))
-    near, through = [], []
+    counted = chosen.filter("counts")
+    sweeps = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // SWEEP_ROWS))
+    near, through = reached_from_all(arcs, chosen, by), []
     for sweep in range(sweeps):
-        own = chosen.filter(F.pmod(F.xxhash64("node"), F.lit(sweeps)) == sweep)
-        levels = shortest_paths(arcs, own.select(*by, F.col("node").alias("source")), by)
-        far = [x.groupBy(*by, F.col("source").alias("node")).agg(F.count("*").alias("reached"), (F.count("*") * d).alias("total")) for d, x in enumerate(levels)]
-        near.append(_union(far).groupBy(*by, "node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total")))
-        counted = own.filter("counts").select(*by, F.col("node").alias("source"))
-        shares = _dependencies(arcs, levels if k is None else [x.join(counted, [*by, "source"], "left_semi") for x in levels], by)
+        own = counted.filter(F.pmod(F.xxhash64("node"), F.lit(sweeps)) == sweep)
+        shares = _dependencies(arcs, shortest_paths(arcs, own.select(*by, F.col("node").alias("source")), by), by)
         through += [] if shares is None else [shares]
     used = chosen.filter("counts").groupBy(*by).agg(F.count("*").alias("used")) if by else chosen.filter("counts").agg(F.count("*").alias("used"))
-    rows = _left_with(chosen.join(_union(near), [*by, "node"]), used, by, "inner")
+    rows = _left_with(chosen.join(near, [*by, "node"]), used, by, "inner")
     rows = rows.join(_union(through).groupBy(*by, "node").agg(F.sum("share").alias("share")), [*by, "node"], "left") if through else rows.withColumn("share", F.lit(0.0))
     others = F.col("reached") - 1
     close = F.when(F.col("total") > 0, others / F.col("total") * others / (F.col("n") - 1)).otherwise(0.0)

@@ -130,3 +130,23 @@ def test_one_graph_and_none(spark):
     assert N.communities(two.limit(0)).count() == 0 and N.centralities(two.limit(0)).count() == 0
     pair = {r.node: (r.betweenness, r.closeness) for r in N.centralities(spark.createDataFrame([(1, 2, 1.0)], "u long, v long, w double")).collect()}
     assert pair == {1: (0.0, 1.0), 2: (0.0, 1.0)}
+
+
+def test_sets_of_sources_in_blocks(spark, monkeypatch):
+    """Closeness searches over bits of sources: 70 nodes take two blocks of a word, and rows are nodes and blocks, not pairs of nodes."""
+    from evistrata.operators import network
+
+    monkeypatch.setattr(network, "WORDS", 1)
+    monkeypatch.setattr(network, "SET_ROWS", 10)
+    pairs = [(0, i) for i in range(1, 60)] + [(59, 60), (61, 62)] + [(61, i) for i in range(63, 70)]
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(70)}
+    want = {}
+    for i in near:
+        far, level, d = {i: 0}, {i}, 0
+        while level := {v for u in level for v in near[u]} - set(far):
+            d += 1
+            far |= dict.fromkeys(level, d)
+        want[i] = (len(far), sum(far.values()))
+    arcs = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u int, v int")
+    got = network.reached_from_all(arcs, arcs.select(arcs.u.alias("node")).distinct(), [])
+    assert {r.node: (r.reached, r.total) for r in got.collect()} == want
