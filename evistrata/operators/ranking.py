@@ -72,6 +72,11 @@ def ranked(df: DataFrame, order: list[Column], by: list[str] = (), name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
+def placed(df: DataFrame, order: list[Column], by: list[str], name: str = "rank") -> DataFrame:
+    """As ``ranked``, within few groups of many rows: by ranges of the order, so a group is not one task."""
+    return running(df, order, {name: ("sum", F.lit(1).cast("long"))}, by)
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows, kept partial before they meet."""
     return df.orderBy(*order).limit(k)

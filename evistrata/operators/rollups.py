@@ -38,8 +38,11 @@ def symbol_sets(map_: DataFrame, symbol: str, ident: str) -> DataFrame:
 
 
 def fold_drugs(fold_genes: DataFrame, drug_map: DataFrame, fold: str, gene: str, rank: str, weight: str, drug: str) -> DataFrame:
-    """Per fold and drug over its genes: summed weight, genes, best rank; many to many, aggregated before it meets anything else."""
-    return fold_genes.join(drug_map.select(gene, drug).distinct(), gene).groupBy(fold, drug).agg(F.sum(weight).alias("drug_score"), F.count_distinct(gene).alias("n_genes"), F.min(rank).alias("best_rank"))
+    """Per fold and drug over its genes: summed weight, genes, best rank; many to many, aggregated before it meets anything else.
+
+    A gene has one row a fold, so its rows with distinct pairs are counted without telling them apart again.
+    """
+    return fold_genes.join(drug_map.select(gene, drug).distinct(), gene).groupBy(fold, drug).agg(F.sum(weight).alias("drug_score"), F.count("*").alias("n_genes"), F.min(rank).alias("best_rank"))
 
 
 def grouped_hits(pairs: DataFrame, chosen: DataFrame, key: str, by: str) -> DataFrame:

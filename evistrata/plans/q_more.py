@@ -63,7 +63,7 @@ FOLD_GENES = "fold_genes AS (SELECT fold, gene, count(*) AS weight, row_number()
 @query("SELECT fold, drug, CAST(sum(weight) AS BIGINT) AS drug_score, count(*) AS n_genes, min(rank) AS best_rank FROM fold_genes JOIN (SELECT DISTINCT gene, drug FROM evidence) USING (gene) GROUP BY fold, drug", VOLCANO, SIGNIFICANT, EVIDENCE, FOLD_GENES)
 def j17_fold_drugs(spark: SparkSession, d: str) -> DataFrame:
     per = significant(spark, d).groupBy("fold", "gene").agg(F.count("*").alias("weight"))
-    return A.fold_drugs(R.ranked(per, [F.desc("weight"), F.asc("gene")], ["fold"]), evidence(spark, d), "fold", "gene", "rank", "weight", "drug")
+    return A.fold_drugs(R.placed(per, [F.desc("weight"), F.asc("gene")], ["fold"]), evidence(spark, d), "fold", "gene", "rank", "weight", "drug")
 
 
 @query("SELECT gene % 50 AS disease, count(DISTINCT drug) AS n_hits, string_agg(DISTINCT CAST(drug AS VARCHAR), '|' ORDER BY CAST(drug AS VARCHAR)) AS hits FROM evidence SEMI JOIN ref USING (drug) GROUP BY 1", EVIDENCE, REFERENCE)

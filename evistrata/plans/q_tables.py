@@ -311,7 +311,7 @@ def u8_in_every_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT gene, count(DISTINCT fold) AS n_groups, min(rank) AS best_rank, round(avg(rank), 6) AS mean_rank FROM (SELECT fold, gene, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, gene) AS rank FROM sig GROUP BY fold, gene) WHERE rank <= 50 GROUP BY gene", VOLCANO, SIGNIFICANT)
 def a25_recurrent(spark: SparkSession, d: str) -> DataFrame:
-    r = R.ranked(significant(spark, d).groupBy("fold", "gene").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("gene")], ["fold"])
+    r = R.placed(significant(spark, d).groupBy("fold", "gene").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("gene")], ["fold"])
     return U.recurrent(r, "fold", "gene", "rank", 50).withColumn("mean_rank", F.round("mean_rank", 6))
 
 
