@@ -106,7 +106,7 @@ def pathway_evidence(rows: DataFrame) -> DataFrame:
     genes = F.filter(F.transform(F.split("genes", "/"), lambda g: F.trim(g)), lambda g: g != "")
     return rows.groupBy("term", "source", "direction").agg(
         F.count_distinct("k").alias("support_k"), F.min("fdr").alias("best_fdr"), F.avg("fdr").alias("mean_fdr"), F.sum(weight).alias("pathway_weight"),
-        F.avg("term_size").alias("avg_term_size"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(genes)))).alias("all_genes"),
+        F.avg("term_size").alias("avg_term_size"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(genes)))).alias("all_genes"),
     )
 
 

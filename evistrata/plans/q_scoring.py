@@ -121,9 +121,8 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     term = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("term")
     direction = F.when(F.col("l_returnflag") == "A", "up").when(F.col("l_returnflag") == "N", "combined").otherwise("down").alias("direction")
-    return li.groupBy(term, F.col("l_linestatus").alias("source"), direction, (F.col("l_orderkey") % 3).alias("k")).agg(
-        (F.min("l_quantity") / 51).alias("fdr"), F.count_distinct("l_partkey").alias("term_size"), F.array_join(F.collect_set(F.col("l_partkey").cast("string")), "/").alias("genes")
-    )
+    per = li.groupBy(term, F.col("l_linestatus").alias("source"), direction, (F.col("l_orderkey") % 3).alias("k"), F.col("l_partkey").cast("string").alias("gene")).agg(F.min("l_quantity").alias("quantity"))
+    return per.groupBy("term", "source", "direction", "k").agg((F.min("quantity") / 51).alias("fdr"), F.count("gene").alias("term_size"), F.array_join(F.collect_list("gene"), "/").alias("genes"))
 
 
 @query("SELECT term, source, direction, support_k, round(best_fdr, 9) AS best_fdr, round(mean_fdr, 9) AS mean_fdr, round(pathway_weight, 6) AS pathway_weight, round(avg_term_size, 6) AS avg_term_size, len(all_genes) AS n_genes, md5(array_to_string(all_genes, '|')) AS genes_md5 FROM terms", PATHS)
@@ -273,7 +272,7 @@ def m29_fold_stability(spark: SparkSession, d: str) -> DataFrame:
     from evistrata.operators.sets import stability_at_k
 
     per = significant(spark, d).groupBy("fold", "gene").agg(F.count("*").alias("n"))
-    r = R.ranked(per, [F.desc("n"), F.asc("gene")], ["fold"])
+    r = R.placed(per, [F.desc("n"), F.asc("gene")], ["fold"])
     out = stability_at_k(r, "fold", "gene", "rank", [10, 50])
     return out.withColumns({c: F.round(c, 6) for c in ("mean_jaccard", "mean_overlap")})
 
