@@ -62,18 +62,39 @@ def log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
 
 
+def hypergeometric_tails(k: np.ndarray, population: np.ndarray, successes: np.ndarray, draws: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """P(X >= k) where ``upper``, else P(X <= k); 1 where nothing is drawn or nothing can succeed.
+
+    Terms are summed away from the mode, each from the one before, until they no longer count; a tail
+    that holds the mode is 1 less the other one. So a row costs some tens of terms, whatever its sizes.
+    """
+    k, m, s, d = (np.asarray(x, float) for x in (k, population, successes, draws))
+    upper = np.asarray(upper, bool)
+    low, high, mode = np.maximum(0, d - (m - s)), np.minimum(s, d), np.floor((d + 1) * (s + 1) / (m + 2))
+    other = np.where(upper, k <= mode, k >= mode)
+    up = upper != other
+    at = np.where(other, np.where(upper, k - 1, k + 1), k)
+    rows = np.flatnonzero((at >= low) & (at <= high))
+    total = np.zeros(len(k))
+    i, m, s, d, high, low, up_ = at[rows], m[rows], s[rows], d[rows], high[rows], low[rows], up[rows]
+    term = np.exp(log_choose(s, i) + log_choose(m - s, d - i) - log_choose(m, d))
+    total[rows] = term
+    while len(rows):
+        ends = np.where(up_, i >= high, i <= low) | (term <= 1e-18 * total[rows])
+        if ends.any():
+            rows, i, m, s, d, high, low, up_, term = (x[~ends] for x in (rows, i, m, s, d, high, low, up_, term))
+        rest = m - s - d + i
+        above, below = np.where(up_, (s - i) * (d - i), i * rest), np.where(up_, (i + 1) * (rest + 1), (s - i + 1) * (d - i + 1))
+        term = term * (above / below)
+        i = np.where(up_, i + 1, i - 1)
+        total[rows] += term
+    total = np.clip(total, 0, 1)
+    return np.where(other, 1 - total, total)
+
+
 def hypergeometric(k: int, population: int, successes: int, draws: int, upper: bool = True) -> float:
     """P(X >= k), or P(X <= k); 1 where nothing is drawn or nothing can succeed."""
-    low, high = max(0, draws - (population - successes)), min(successes, draws)
-    a, b = (max(k, low), high) if upper else (low, min(k, high))
-    if upper and k <= low or not upper and k >= high:
-        return 1.0
-    if a > b:
-        return 0.0
-    i = np.arange(a, b + 1)
-    logs = log_choose(np.array(successes), i) + log_choose(np.array(population - successes), draws - i) - log_choose(np.array(population), np.array(draws))
-    top = logs.max()
-    return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
+    return float(hypergeometric_tails([k], [population], [successes], [draws], [upper])[0])
 
 
 def _wrapped(kernel):
@@ -108,13 +129,12 @@ def hypergeometric_p(k: Column, population: Column, successes: Column, draws: Co
 
     @F.pandas_udf("double")
     def p(k: pd.Series, m: pd.Series, s: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c, e in zip(k, m, s, d):
-            if any(pd.isna(v) for v in (a, b, c, e)) or b <= 0 or c < 0 or e < 0 or c > b or e > b:
-                out.append(None)
-            else:
-                out.append(hypergeometric(int(a), int(b), int(c), int(e), not two_tails or a * b >= c * e))
-        return pd.Series(out, dtype="float64")
+        rows = pd.DataFrame({"k": k, "m": m, "s": s, "d": d}).astype(float)
+        good = (rows.notna().all(axis=1) & (rows.m > 0) & (rows.s >= 0) & (rows.d >= 0) & (rows.s <= rows.m) & (rows.d <= rows.m)).to_numpy()
+        out = np.full(len(rows), np.nan)
+        k, m, s, d = rows[good].to_numpy().T
+        out[good] = hypergeometric_tails(k, m, s, d, k * m >= s * d if two_tails else np.ones(len(k), bool))
+        return pd.Series(out).where(good)
 
     return p(k, population, successes, draws)
 
@@ -140,7 +160,7 @@ def register(spark: SparkSession) -> None:
 
     @F.pandas_udf("double")
     def hyper(k: pd.Series, m: pd.Series, s: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric(int(a), int(b), int(c), int(e)) for a, b, c, e in zip(k, m, s, d)], dtype="float64")
+        return pd.Series(hypergeometric_tails(k, m, s, d, np.ones(len(k), bool)))
 
     @F.pandas_udf("double")
     def normal(z: pd.Series) -> pd.Series:

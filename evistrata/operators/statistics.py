@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evistrata.functions.pvalues import hypergeometric_p, normal_p, t_p
 from evistrata.operators.ranking import average_rank, benjamini_hochberg
+from evistrata.operators.written import parts_for
 
 
 def _by_status(df: DataFrame, keys: list[str], value: str, status: str) -> DataFrame:
@@ -114,10 +115,12 @@ def over_representation(sets: DataFrame, terms: DataFrame, universe: DataFrame,
     """Per group and term that share items: k of n group items in a term of M of N universe items, and the upper tail.
 
     Joined on the item, so pairs without a common item never arise; everything is counted within
-    the universe.
+    the universe. All three tables are dealt once, by item, to parts of about as many rows at every
+    size; what is distinct, in the universe and shared is found within a part.
     """
-    u = universe.select(item).distinct()
-    s, t = (x.select(g, item).distinct().join(u, item, "left_semi") for x, g in ((sets, group), (terms, term)))
+    parts = parts_for(sets, terms, universe)
+    u = universe.select(item).repartition(parts, item).distinct()
+    s, t = (x.select(g, item).repartition(parts, item).distinct().join(u, item, "left_semi") for x, g in ((sets, group), (terms, term)))
     n = u.agg(F.count("*").alias("universe"))
     sizes = s.groupBy(group).agg(F.count("*").alias("set_size"))
     term_sizes = t.groupBy(term).agg(F.count("*").alias("term_size"))

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a part, about, where parts are asked for by number.
+PART_ROWS = 250_000
+
 _made: list[str] = []
 
 
@@ -41,6 +44,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(*tables: DataFrame) -> int:
+    """How many parts hold ``PART_ROWS`` rows each of the longest table.
+
+    Small integers pack so well that parts of a fixed size in bytes, or a fixed number of parts, have
+    more and more rows a task; a number of parts in proportion to the rows keeps a task's memory.
+    """
+    return max(1, -(-max(df.count() for df in tables) // PART_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Delete what was written so far; results that were not read yet cannot be read then."""
     jvm = spark.sparkContext._jvm
