@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evistrata.llm import language_id, line_dedup, mixing, ngram_join, sentencepiece_codec
-from evistrata.llm._shared import materialise, mark, release, table, text_or_empty
+from evistrata.llm._shared import materialise, mark, release, release_unread, table, text_or_empty, written_since
 from evistrata.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,7 +59,10 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     first = found.groupBy(F.col("component_key").alias("__c")).agg(F.min(place).alias("__first"))
     lost = found.join(first, (F.col("component_key") == F.col("__c")) & (F.col("__first") != place)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     lost = materialise(lost, "near-copies-lost")
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__key")), "left_anti")
+    key, maybe = F.xxhash64(text_or_empty()), ngram_join.hash_filter(lost, "__key")
+    # Only texts that may go are shuffled to be compared.
+    rest = docs.filter(maybe(key)).join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    return docs.filter(~maybe(key)).unionByName(rest)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,13 +78,35 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"), keep=("source", "lang"))
 
 
-STAGES: list[tuple[str, Stage]] = [
+#: Folders that a stage has written on its way and that are still there, by the stage's place.
+_left: dict[int, list[str]] = {}
+
+
+def _in_place(place: int, stage: Stage) -> Stage:
+    """``stage``, which first deletes what the stages before it have written on their way.
+
+    What its own input still reads stays, so stages may also be chained without writing their results.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for before in range(place):
+            _left[before] = release_unread(_left.get(before, []), docs)
+        begin = mark()
+        done = stage(spark, docs, sf_dir)
+        _left[place] = _left.get(place, []) + written_since(begin)
+        return done
+
+    return run_stage
+
+
+_IN_ORDER: list[tuple[str, Stage]] = [
     ("language_id", with_language),
     ("line_dedup", without_boilerplate),
     ("ngram_join", one_of_similar),
     ("mix_sources", mixed),
     ("sentencepiece", encoded),
 ]
+STAGES: list[tuple[str, Stage]] = [(name, _in_place(k, stage)) for k, (name, stage) in enumerate(_IN_ORDER)]
 
 #: No SQL: neither the language model's words nor the piece ids are within SQL's reach.
 ORACLE_SQL: str | None = None

@@ -61,6 +61,27 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Have the driver drop plans of written tables now, as executors keep the shuffle files of a plan as long as it is there."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def release_unread(paths: list[str], df: DataFrame) -> list[str]:
+    """Of written folders delete those that ``df`` does not read; the others are returned."""
+    read = {part for file in df.inputFiles() for part in file.split("/")}
+    kept = [path for path in paths if path.rsplit("/", 1)[1] in read]
+    for path in paths:
+        if path not in kept and path in _made:
+            _made.remove(path)
+            _delete(df.sparkSession, path)
+    return kept
+
+
+def written_since(begin: int) -> list[str]:
+    """Folders written since ``mark`` gave ``begin``."""
+    return _made[begin:]
+
+
 def mark() -> int:
     """Where the list of written folders ends now."""
     return len(_made)

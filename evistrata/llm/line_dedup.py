@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.llm._shared import WORD, materialise, text_or_empty
+from evistrata.llm._shared import WORD, clean, discard, materialise, text_or_empty
 
 #: Leading tokens in the tree, documents that make a template recur, tokens and constant share it needs.
 DEPTH, MIN_DOCS, MIN_TOKENS, MIN_CONSTANT = 5, 10, 4, 0.5
@@ -91,6 +91,8 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
     hits = inside.select(*LINE, *DOC, "at", "n_tokens").join(found, [*LINE], "left_semi").select(*DOC, "at", "n_tokens").distinct()
     per_doc = hits.groupBy(F.col("d1").alias("__k1"), F.col("d2").alias("__k2")).agg(F.collect_list("at").alias("__at"), F.sum(F.col("n_tokens").cast("long")).alias("__words"))
     per_doc = materialise(per_doc, "lines-dropped")
+    discard(lines, inside)
+    clean(docs.sparkSession)
     split = keyed.withColumn(text_col, F.split(text_col, "\n", -1))
     joined = split.join(per_doc, (F.col("__d1") == F.col("__k1")) & (F.col("__d2") == F.col("__k2")), "left")
     some = F.col("__at").isNotNull()

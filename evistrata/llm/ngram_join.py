@@ -11,6 +11,8 @@ so a shared passage brings candidates only where hardly anything else is in a te
   into it. Two sketches differ in at most as many bits as the sets have different shingles, so a
   pair whose sketches differ in too many bits cannot link, and no other pair is dropped by it. A
   group is compared in the bits that all its classes have in common.
+- A first pass over the hashes alone finds the shingles that stand in two prefixes or more; only
+  their places, with sketches, are shuffled to lists.
 - First every list is a star: the group nearest to the majority of the list's sketches, as an
   original is among its edited copies, against the others. Pairs are expanded to class
   representatives, filtered by sketches and verified on the texts; the links give components.
@@ -28,13 +30,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evistrata.llm._shared import discard, materialise, text_or_empty
+from evistrata.llm._shared import clean, discard, materialise, text_or_empty
 from evistrata.llm._tasks import column, concat_ranges, key_chunks, record, tidy
 from evistrata.llm._words import SMALL_SLICE_BYTES, gram_hashes, hashed, mixed, slices, split_words
 from evistrata.operators.graph import connected_components
@@ -127,6 +130,17 @@ def _marked(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def hash_filter(keys: DataFrame, name: str):
+    """A function on a column of hashes: true for all that the written table ``keys`` has in column ``name``, and for a few others."""
+    marks = keys.sparkSession.sparkContext.broadcast(_bitmap(keys, name))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(_marked(hashes.to_numpy().view(np.uint64), marks.value))
+
+    return maybe
+
+
 def _maybe_wanted(marks):
     """Rows whose text's hash is marked."""
 
@@ -206,6 +220,24 @@ def _from_majority(sketches: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -
     return away
 
 
+def _postings(marks):
+    """Of groups: a row for each place of a prefix whose shingle's hash is marked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            shingle = prefix.flatten().to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(_marked(shingle.view(np.uint64), marks.value))
+            of, pos = np.repeat(np.arange(len(sizes)), sizes)[keep], concat_ranges(np.zeros(len(sizes), np.int64), sizes)[keep]
+            for at in range(0, len(keep), LIST_ROWS):
+                row = pa.array(of[at : at + LIST_ROWS])
+                taken = {name: batch.column(name).take(row) for name in ("group_key", "n", "sketch")}
+                yield record(shingle=shingle[keep[at : at + LIST_ROWS]], group_key=taken["group_key"], n=taken["n"], pos=pos[at : at + LIST_ROWS], sketch=taken["sketch"])
+
+    return rows
+
+
 def _lists(percent: int):
     """Of postings sorted by shingle: the entries of lists with two or more, and star pairs."""
 
@@ -219,7 +251,7 @@ def _lists(percent: int):
             shingle, group, n, pos = (column(many, c) for c in ("shingle", "group_key", "n", "pos"))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             sketches = _sketches(many["sketch"])
-            yield record(shingle=shingle, a=group, b=group, n=n, pos=pos, is_pair=np.zeros(len(shingle), bool), sketch=pa.concat_arrays(many["sketch"].chunks))
+            yield record(shingle=shingle, a=group, b=group, n=n, pos=pos, is_pair=np.zeros(len(shingle), bool))
             sizes = sizes[sizes > 1]
             away = _from_majority(sketches, np.cumsum(sizes) - sizes, sizes)
             rest = np.lexsort((away, shingle))
@@ -243,7 +275,7 @@ def _pair_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
     found = found[found[:, 0] != found[:, 1]]
     found = np.unique(np.sort(found, axis=1), axis=0)
     zero = np.zeros(len(found), np.int64)
-    return record(shingle=zero, a=found[:, 0].copy(), b=found[:, 1].copy(), n=zero, pos=zero, is_pair=np.ones(len(found), bool), sketch=pa.nulls(len(found), pa.list_(pa.int64())))
+    return record(shingle=zero, a=found[:, 0].copy(), b=found[:, 1].copy(), n=zero, pos=zero, is_pair=np.ones(len(found), bool))
 
 
 def _open_pairs(percent: int):
@@ -348,7 +380,8 @@ def _verified(words: int, percent: int):
     return rows
 
 
-POSTING = "shingle long, a long, b long, n long, pos long, is_pair boolean, sketch array<long>"
+POSTING = "shingle long, group_key long, n long, pos long, sketch array<long>"
+LIST = "shingle long, a long, b long, n long, pos long, is_pair boolean"
 LINK = "class_a binary, class_b binary"
 
 
@@ -361,6 +394,7 @@ class _Join:
         spark = docs.sparkSession
         counted = docs.select("text").mapInArrow(tidy(_document_frequencies(words, percent)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
         counted = materialise(counted, "shingles-shared")
+        clean(spark)
         shared = _bitmap(counted, "shingle")
         frequent = counted.filter(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "shingle").limit(COMMON_MAX).select("shingle").toArrow()
         common = np.sort(column(frequent, "shingle").view(np.uint64))
@@ -371,16 +405,24 @@ class _Join:
         classes = sets.filter("is_first").groupBy("class_key", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("text_of"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
         classes = materialise(classes.withColumn("group_key", F.xxhash64("prefix", "n")), "shingle-classes")
         discard(sets)
+        clean(spark)
         self.members = materialise(classes.drop("prefix"), "shingle-members")
         bits = [F.bit_and(F.col("sketch")[i]) for i in range(SKETCH_WORDS)]
         same = [F.bitwise_not(F.bit_and(F.col("sketch")[i]).bitwiseXOR(F.bit_or(F.col("sketch")[i]))) for i in range(SKETCH_WORDS)]
         groups = classes.groupBy("group_key", "prefix", "n").agg(F.array(*bits, *same).alias("sketch"), F.min("class_key").alias("lead"), F.count("*").alias("size"))
         groups = materialise(groups, "shingle-groups")
         discard(classes)  # of all copies of the prefixes the groups' own stays, until their postings are written
-        postings = groups.select("n", "sketch", "group_key", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "group_key", "n", "pos", "sketch")
-        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(tidy(_lists(percent)), POSTING), "shingle-lists")
-        self.groups = materialise(groups.select("group_key", "lead", "size"), "shingle-leads")
-        discard(groups)
+        clean(spark)
+        # Most shingles of a prefix stand in no other one: only hashes are shuffled to find those that do, and only their postings carry sketches.
+        listed = materialise(groups.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().filter("count > 1").select("shingle"), "shingles-listed")
+        clean(spark)
+        marks = spark.sparkContext.broadcast(_bitmap(listed, "shingle"))
+        postings = groups.select("group_key", "n", "prefix", "sketch").mapInArrow(tidy(_postings(marks)), POSTING)
+        self.lists = materialise(postings.repartition("shingle").sortWithinPartitions("shingle", "n", "group_key").mapInArrow(tidy(_lists(percent)), LIST), "shingle-lists")
+        marks.unpersist()
+        self.groups = materialise(groups.select("group_key", "lead", "size", "sketch"), "shingle-leads")
+        discard(groups, listed)
+        clean(spark)
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of class pairs (class_a, class_b) those that verify on the texts.
@@ -398,6 +440,7 @@ class _Join:
         # Repeated rows have one text.
         texts = near.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).groupBy("class_key").agg(F.first("text").alias("text"))
         texts = materialise(texts, "pairs-texts")
+        clean(self.docs.sparkSession)
         of = lambda x: texts.select(F.col("class_key").alias(f"class_{x}"), F.col("text").alias(f"text_{x}")).hint("merge")
         both = kept.join(of("a"), "class_a").join(of("b"), "class_b")
         return materialise(both.mapInArrow(tidy(_verified(self.words, self.percent)), LINK), "links")
@@ -411,10 +454,17 @@ class _Join:
         labels = self.members.join(found, F.col("class_key") == F.col("node"), "left").select("group_key", "class_key", "n", "sketch", F.coalesce("component", "class_key").alias("label"))
         labels = materialise(labels, "labels")
         of_group = materialise(labels.groupBy("group_key").agg(F.min("label").alias("label"), (F.min("label") < F.max("label")).alias("mixed"), F.count("*").alias("size")), "group-labels")
-        entries = self.lists.filter("NOT is_pair").select("shingle", "a", "n", "pos", "sketch").join(of_group.drop("size").hint("merge"), F.col("a") == F.col("group_key")).select("shingle", "a", "n", "pos", "sketch", F.xxhash64("label").alias("label"), "mixed")
-        across = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(tidy(_open_pairs(self.percent)), POSTING).select("a", "b").distinct()
+        named = of_group.select("group_key", F.xxhash64("label").alias("label"), "mixed").hint("merge")
+        entries = self.lists.filter("NOT is_pair").select("shingle", F.col("a").alias("group_key"), "n", "pos").join(named, "group_key")
+        entries = materialise(entries.select("shingle", F.col("group_key").alias("a"), "n", "pos", "label", "mixed"), "list-entries")
+        # Lists within one component have nothing left to find; only the others' entries carry sketches.
+        left = entries.groupBy("shingle").agg((F.min("label") < F.max("label")).alias("differs"), F.max("mixed").alias("mixed")).filter("differs OR mixed").select("shingle")
+        sketches = self.groups.select(F.col("group_key").alias("a"), "sketch").hint("merge")
+        entries = entries.join(left, "shingle", "left_semi").join(sketches, "a").select("shingle", "a", "n", "pos", "sketch", "label", "mixed")
+        across = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(tidy(_open_pairs(self.percent)), LIST).select("a", "b").distinct()
         inside = of_group.filter("mixed").select(F.col("group_key").alias("a"), F.col("group_key").alias("b"))
         pairs = materialise(across.unionByName(inside), "open-groups")
+        clean(self.docs.sparkSession)
         open_groups = pairs.select(F.col("a").alias("group_key")).unionByName(pairs.select(F.col("b").alias("group_key"))).distinct().join(of_group.select("group_key", "size"), "group_key")
         block = F.pmod(F.xxhash64("class_key"), F.ceil(F.col("size") / BLOCK))
         blocks = labels.join(open_groups, "group_key").groupBy("group_key", "n", block.alias("block")).agg(F.collect_list(F.struct("class_key", "label", "sketch")).alias("m"))

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as P  # noqa: E402
@@ -96,3 +97,46 @@ def test_run_on_awkward_rows(spark, tmp_path):
     for at, df in (("some", rows), ("none", rows.limit(0))):
         df.write.parquet(f"{tmp_path}/{at}/documents.parquet")
         P.run(spark, f"{tmp_path}/{at}").collect()
+
+
+def test_stages_delete_what_earlier_ones_left_but_not_what_is_read(spark, sf_dir, tmp_path):
+    """Stages called one by one, as a driver does: their tables on the way go, also where the results are not written."""
+    import corpus_pipeline
+    from evistrata.llm._shared import _made, mark
+
+    begin = mark()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    (_, language), (_, lines), (_, join) = corpus_pipeline.STAGES[:3]
+    language(spark, docs, sf_dir).write.parquet(str(tmp_path / "0"))
+    assert len(_made) > begin
+    lines(spark, spark.read.parquet(str(tmp_path / "0")), sf_dir).write.parquet(str(tmp_path / "1"))
+    first = set(_made[begin:])
+    join(spark, spark.read.parquet(str(tmp_path / "1")), sf_dir).write.parquet(str(tmp_path / "2"))
+    assert not first & set(_made)
+    chained = join(spark, lines(spark, language(spark, docs, sf_dir), sf_dir), sf_dir)
+    assert sorted(r.doc_id for r in chained.collect()) == sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "2")).collect())
+
+
+def test_only_places_of_listed_shingles_are_shuffled_with_sketches(spark):
+    from evistrata.llm import ngram_join as N
+
+    groups = spark.createDataFrame([(k, 9, [1000 * k, 1000 * k + 1, 7], [k] * 16) for k in range(1, 4)], "group_key long, n long, prefix array<long>, sketch array<long>")
+    listed = spark.createDataFrame([(7,)], "shingle long")
+    marks = spark.sparkContext.broadcast(N._bitmap(listed, "shingle"))
+    found = groups.mapInArrow(N._postings(marks), N.POSTING).collect()
+    assert sorted((r.shingle, r.group_key, r.n, r.pos, r.sketch == [r.group_key] * 16) for r in found if r.shingle == 7) == [(7, k, 9, 2, True) for k in range(1, 4)]
+    assert len(found) == 3
+
+
+def test_texts_that_stay_for_sure_are_not_shuffled(spark, sf_dir, monkeypatch):
+    """Of near copies one stays, as a plain join gives it; the filter of hashes leaves few texts to that join."""
+    import corpus_pipeline as C
+    from evistrata.llm import ngram_join as N
+
+    kept, words = [], [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:59] + [f"x{k}"])) for k in range(4)] + [(None, " ".join(words))] + [(10 + k, " ".join(f"{k}v{j}" for j in range(30))) for k in range(40)] + [(99, None), (98, "")]
+    monkeypatch.setattr(N, "hash_filter", lambda keys, name, real=N.hash_filter: kept.append(real(keys, name)) or kept[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = C.one_of_similar(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in found.collect()) == [0, *range(10, 50), 98, 99]
+    assert 4 <= docs.filter(kept[0](F.xxhash64(F.coalesce("text", F.lit(""))))).count() < 12
