@@ -132,6 +132,25 @@ def test_one_graph_and_none(spark):
     assert pair == {1: (0.0, 1.0), 2: (0.0, 1.0)}
 
 
+def test_communities_send_no_table_of_nodes_to_the_driver(spark, monkeypatch):
+    """Tables whose files are small, as those of numbers are, were broadcast: of two keys or more, a graph's and a node's or community's."""
+    import re
+
+    from evistrata.operators import graph, network
+
+    plans, write = [], network.checkpointed
+    monkeypatch.setattr(network, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    ends = [(a, b, 1.0) for k in (0, 10) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(0, 10, 1.0)]
+    df = spark.createDataFrame(ends, "src long, dst long, weight double")
+    edges = graph.induced(df, df.selectExpr("src AS node").union(df.selectExpr("dst")))
+    found = network.communities(edges, trials=2, rounds=2, levels=1)
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (edges, found)]
+    keys = [k for p in plans for k in re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),(?:true|false)\)", p)]
+    assert len(plans) > 10 and not [k for k in keys if k.count("input[") > 1]
+    assert "BroadcastExchange" not in plans[-2]
+    assert {r.node: r.community for r in found.collect()} == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 15), 10)}
+
+
 def test_sets_of_sources_in_blocks(spark, monkeypatch):
     """Closeness searches over bits of sources: 70 nodes take two blocks of a word, and rows are nodes and blocks, not pairs of nodes."""
     from evistrata.operators import network
