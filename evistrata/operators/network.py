@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evistrata.operators.ordered import running
+from evistrata.operators import searches
+from evistrata.operators.ordered import numbered, running
 from evistrata.operators.ranking import ranked
 from evistrata.operators.scoring import shuffle_key
 from evistrata.operators.written import checkpointed
@@ -117,14 +118,14 @@ def centralities(edges: DataFrame, by: list[str] = (), k: int | None = None, see
     Closeness is exact: the share of nodes reached over their mean distance. Betweenness counts the
     shortest paths from ``k`` sources, scaled to all of them; None takes all, 0 the larger of 100
     and the square root of the number of nodes. Duplicate edges count once; a graph of two nodes has
-    betweenness 0. Closeness searches over sets of sources. Betweenness searches from its sources at
-    once, in sweeps of ``SWEEP_ROWS`` at the most.
+    betweenness 0. Components are searched in tasks that hold one and some of its sources; those of
+    more than ``searches.LARGEST`` edges by joins, in sweeps of ``SWEEP_ROWS`` at the most.
     """
     by = list(by)
     arcs = checkpointed(_arcs(edges, by).distinct())
     nodes = arcs.select(*by, F.col("u").alias("node")).distinct()
     size = nodes.groupBy(*by).agg(F.count("*").alias("n")) if by else nodes.agg(F.count("*").alias("n"))
-    sized = checkpointed(_left_with(nodes, size, by, "inner"))
+    sized = checkpointed(numbered(_left_with(nodes, size, by, "inner"), [F.col(c) for c in (*by, "node")], "i"))
     if k is None:
         chosen = sized.withColumn("counts", F.lit(True))
     else:
@@ -132,16 +133,25 @@ def centralities(edges: DataFrame, by: list[str] = (), k: int | None = None, see
         some = sampled(sized, by, most, seed).select(*by, "node", F.lit(True).alias("counts"))
         chosen = sized.join(some, [*by, "node"], "left").withColumn("counts", F.coalesce("counts", F.lit(False)))
     chosen = checkpointed(chosen)
-    counted = chosen.filter("counts")
-    sweeps = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // SWEEP_ROWS))
-    near, through = reached_from_all(arcs, chosen, by), []
-    for sweep in range(sweeps):
-        own = counted.filter(F.pmod(F.xxhash64("node"), F.lit(sweeps)) == sweep)
-        shares = _dependencies(arcs, shortest_paths(arcs, own.select(*by, F.col("node").alias("source")), by), by)
-        through += [] if shares is None else [shares]
+    a, b = (sized.select(*by, F.col("node").alias(e), F.col("i").alias(n)) for e, n in (("u", "a"), ("v", "b")))
+    ends = checkpointed(_by_rows(_by_rows(arcs.filter("u < v"), a, [*by, "u"]), b, [*by, "v"]).select("a", "b"))
+    pieces, sizes, of = searches.packed(ends, chosen.filter("counts").select("i"))
+    reached = _by_rows(of, sizes.select("component", F.col("n").alias("reached"), "m"), ["component"])
+    near = [_by_rows(searches.distance_sums(pieces, sizes), reached, ["i"]).select("i", "reached", "total")]
+    through = [searches.path_shares(pieces, sizes)]
+    if not sizes.filter(F.col("m") > searches.LARGEST).isEmpty():
+        large = checkpointed(_by_rows(chosen, reached.filter(F.col("m") > searches.LARGEST).select("i"), ["i"], "left_semi"))
+        own = _by_rows(arcs, large.select(*by, F.col("node").alias("u")), [*by, "u"], "left_semi")
+        near.append(_by_rows(large.select("i", *by, "node"), reached_from_all(own, large, by), [*by, "node"]).select("i", "reached", "total"))
+        counted = large.filter("counts")
+        sweeps = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // SWEEP_ROWS))
+        for sweep in range(sweeps):
+            part = counted.filter(F.pmod(F.xxhash64("node"), F.lit(sweeps)) == sweep)
+            shares = _dependencies(own, shortest_paths(own, part.select(*by, F.col("node").alias("source")), by), by)
+            through += [] if shares is None else [_by_rows(large.select("i", *by, "node"), shares, [*by, "node"]).select("i", "share")]
     used = chosen.filter("counts").groupBy(*by).agg(F.count("*").alias("used")) if by else chosen.filter("counts").agg(F.count("*").alias("used"))
-    rows = _left_with(chosen.join(near, [*by, "node"]), used, by, "inner")
-    rows = rows.join(_union(through).groupBy(*by, "node").agg(F.sum("share").alias("share")), [*by, "node"], "left") if through else rows.withColumn("share", F.lit(0.0))
+    rows = _left_with(chosen.join(_union(near), "i"), used, by, "inner")
+    rows = rows.join(_union(through).groupBy("i").agg(F.sum("share").alias("share")), "i", "left")
     others = F.col("reached") - 1
     close = F.when(F.col("total") > 0, others / F.col("total") * others / (F.col("n") - 1)).otherwise(0.0)
     between = F.when(F.col("n") > 2, F.coalesce("share", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2)) * F.col("n") / F.col("used")).otherwise(0.0)

@@ -169,3 +169,57 @@ def test_sets_of_sources_in_blocks(spark, monkeypatch):
     arcs = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u int, v int")
     got = network.reached_from_all(arcs, arcs.select(arcs.u.alias("node")).distinct(), [])
     assert {r.node: (r.reached, r.total) for r in got.collect()} == want
+
+
+def test_searches_in_tasks_equal_plain_ones(monkeypatch):
+    """Of random components, with leaves, nodes of many neighbours, several parts and blocks of sources."""
+    import numpy as np
+    import pyarrow as pa
+
+    from evistrata.operators import searches as S
+
+    for name, value in (("COLUMNS", 3), ("ROWS", 4), ("STATE", 400)):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(3)
+    for trial in range(40):
+        n, parts = rng.randint(2, 70), rng.randint(1, 3)
+        pairs = sorted({(7 * rng.randrange(i), 7 * i) for i in range(1, n)} | {tuple(7 * x for x in sorted(rng.sample(range(n), 2))) for _ in range(rng.choice([0, 3, n]))})
+        want, sources = {}, sorted(rng.sample(range(0, 7 * n, 7), min(n, 9)))
+        for i in (near := neighbours(pairs)):
+            far, queue = {i: 0}, [i]
+            for x in queue:
+                for y in near[x] - set(far):
+                    far[y] = far[x] + 1
+                    queue.append(y)
+            want[i] = sum(far.values())
+        packed = [np.array(x, np.int64).tobytes() for x in (*zip(*pairs), sources)]
+        total, share, like = dict.fromkeys(near, 0), dict.fromkeys(near, 0.0), []
+        for part in range(parts):
+            row = pa.RecordBatch.from_pylist([{"component": 0, "part": part, "parts": parts, **dict(zip("abs", packed))}])
+            for r in (r for out in S._distances(iter([row])) for r in out.to_pylist()):
+                if r["like"] is None:
+                    total[r["i"]] += r["total"]
+                else:
+                    like.append(r)
+            for r in (r for out in S._through(iter([row])) for r in out.to_pylist()):
+                share[r["i"]] += r["share"]
+        assert total | {r["i"]: total[r["like"]] + r["total"] for r in like} == want
+        scale = n / len(sources) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        assert {i: x * scale for i, x in share.items()} == pytest.approx({i: b for i, (b, _) in plain_centralities(pairs, sources).items()}, abs=1e-12)
+
+
+@pytest.mark.parametrize("largest", [None, 12])
+def test_only_large_components_are_searched_by_joins(spark, monkeypatch, largest):
+    """Rows of sources and nodes were joined level by level for every graph, which took minutes from some ten thousand nodes on."""
+    from evistrata.operators import searches
+
+    by_joins = []
+    if largest:
+        monkeypatch.setattr(searches, "LARGEST", largest)
+    for name in ("reached_from_all", "shortest_paths"):
+        monkeypatch.setattr(N, name, lambda arcs, *rest, of=getattr(N, name): by_joins.append(arcs.count()) or of(arcs, *rest))
+    rows = random_graphs(2, 11, (20, 24))
+    got = {(r.graph, r.node): (r.betweenness, r.closeness) for r in N.centralities(spark.createDataFrame(rows, "graph int, u string, v string, w double"), ["graph"]).collect()}
+    want = {(g, v): x for g in range(2) for v, x in plain_centralities([r[1:] for r in rows if r[0] == g]).items()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert bool(by_joins) == bool(largest)
