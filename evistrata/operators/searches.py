@@ -98,13 +98,6 @@ class _Near:
             for at in range(0, len(others), ROWS):
                 by(out[j], by.reduce(x[others[at : at + ROWS]], axis=0), out=out[j])
 
-    def joined(self, x: np.ndarray, by: np.ufunc) -> np.ndarray:
-        """Of each node the rows of its neighbours, joined by ``by``; every node has one."""
-        out, spare = np.empty_like(x), np.empty_like(x[:ROWS])
-        for i in range(0, len(x), ROWS):
-            self.some(x, by, i, out[i : i + ROWS], spare)
-        return out
-
 
 def _by_degree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Nodes by falling degree, the edges by their places, and the degrees."""
@@ -188,22 +181,34 @@ def distance_sums(pieces: DataFrame, size: DataFrame) -> DataFrame:
 
 def _shares(near: _Near, sources: np.ndarray, n: int) -> np.ndarray:
     """Of each node its share of the shortest paths from the sources, as columns of a table."""
-    each, out = np.arange(len(sources)), None
-    ahead = np.zeros((n, len(sources)))
-    ahead[sources, each] = 1.0
-    paths, level, d = ahead.copy(), np.full(ahead.shape, -1, np.int32), 0
-    level[sources, each] = 0
-    while ahead.any():
-        d += 1
-        ahead = near.joined(ahead, np.add)
-        ahead[level >= 0] = 0.0
-        level[ahead > 0] = d
-        paths += ahead
-    out = np.zeros_like(paths)
+    each, d, going = np.arange(len(sources)), 0, True
+    ahead, level = np.zeros((n, len(sources))), np.full((n, len(sources)), -1, np.int32)
+    ahead[sources, each], level[sources, each] = 1.0, 0
+    paths, out, spare = ahead.copy(), np.empty_like(ahead), np.empty_like(ahead[:ROWS])
+    chunks = [slice(i, i + ROWS) for i in range(0, n, ROWS)]
+    while going:
+        d, going = d + 1, False
+        for x in chunks:
+            near.some(ahead, np.add, x.start, out[x], spare)
+            out[x][level[x] >= 0] = 0.0
+            new = out[x] > 0
+            if new.any():
+                going = True
+                level[x][new] = d
+                paths[x] += out[x]
+        ahead, out = out, ahead
+    out.fill(0.0)
+    flow = np.empty_like(spare)
     for here in range(d - 1, 0, -1):
-        flow = near.joined(np.divide(1 + out, paths, out=np.zeros_like(paths), where=level == here), np.add)
-        at = level == here - 1
-        out[at] = (paths * flow)[at]
+        ahead.fill(0.0)
+        for x in chunks:
+            np.divide(1 + out[x], paths[x], out=ahead[x], where=level[x] == here)
+        for x in chunks:
+            at = level[x] == here - 1
+            if at.any():
+                own = flow[: len(at)]
+                near.some(ahead, np.add, x.start, own, spare)
+                np.multiply(paths[x], own, out=out[x], where=at)
     out[sources, each] = 0.0
     return out.sum(axis=1)
 
@@ -213,7 +218,7 @@ def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, u, v, degree = _by_degree(a, b)
         near, share, place = _Near(u, v, degree), np.zeros(len(ids)), np.argsort(ids)
         own = place[np.searchsorted(ids[place], np.sort(s)[part::parts])]
-        wide = int(min(32, max(1, STATE // (8 * len(ids)))))
+        wide = int(min(32, max(1, STATE // (16 * len(ids)))))
         for at in range(0, len(own), wide):
             share += _shares(near, own[at : at + wide], len(ids))
         some = share > 0
