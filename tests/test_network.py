@@ -223,3 +223,18 @@ def test_only_large_components_are_searched_by_joins(spark, monkeypatch, largest
     want = {(g, v): x for g in range(2) for v, x in plain_centralities([r[1:] for r in rows if r[0] == g]).items()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert bool(by_joins) == bool(largest)
+
+
+def test_the_query_on_communities_does_its_whole_work(spark, sf_dir, monkeypatch):
+    """It asked for one trial, five rounds and one level."""
+    import inspect
+
+    from evistrata.plans import q_stats
+
+    asked = []
+    monkeypatch.setattr(q_stats.NW, "communities", lambda edges, *bounds, **named: asked.append((bounds, named)) or edges)
+    q_stats.g5_communities(spark, sf_dir)
+    assert asked == [((), {})]
+    monkeypatch.undo()
+    given = inspect.signature(N.communities).parameters
+    assert given["trials"].default == 4 and given["rounds"].default is None and given["levels"].default is None
