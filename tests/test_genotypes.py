@@ -72,3 +72,29 @@ def test_a_batch_is_multiplied_in_slices():
     tracemalloc.stop()
     assert total == {f"g{j}": float(len(range(j, n, 3))) for j in range(3)}
     assert peak < 100_000_000
+
+
+def test_batches_of_a_block_are_summed_in_the_task(monkeypatch):
+    """Each batch handed on its genes' vectors of 64 KB, however few variants it had."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "PRODUCT", 2)
+    kind = pa.list_(pa.struct([("gene", pa.string()), ("weight", pa.float64()), ("turned", pa.bool_())]))
+    weights = pa.array([[{"gene": f"g{i % 3}", "weight": 1.0 + i, "turned": False}] for i in range(12)], kind)
+    calls = pa.array([bytes([0b10101010]) * 2] * 12, pa.binary())  # one alternative allele each
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(12)]), pa.array([0] * 6 + [1] * 6, pa.int32()), calls, weights], names=["snp", "block", "calls", "weights"])
+
+    def summed():
+        rows = [r for out in P._products(iter([batch])) for r in out.to_pylist()]
+        total = Counter()
+        for r in rows:
+            assert len(set(r["score"])) == len(set(r["n"])) == 1 and len(r["score"]) == 8
+            total[r["gene"], r["block"]] += r["score"][0]
+        return len(rows), total
+
+    want = Counter()
+    for i in range(12):
+        want[f"g{i % 3}", i // 6] += 1.0 + i
+    assert summed() == (6, want)
+    monkeypatch.setattr(P, "HELD", 2)
+    assert summed()[1] == want
